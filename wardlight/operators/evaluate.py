@@ -99,11 +99,11 @@ def evaluate_scores(df: DataFrame, columns: list[str] | None = None, label: str
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"))
     totals = ordered_totals(counted, ["model"], "score", ["n", "pos"], descending=False)
     sizes = counted.groupBy("model").agg(
-        F.sum("n").alias("N"), F.sum("pos").alias("P"),
+        F.sum("n").alias("rows_all"), F.sum("pos").alias("pos_all"),
         (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score_mean"))
     rows = totals.join(sizes, "model")
 
-    s, n, pos, size, p = (F.col(c) for c in ("score", "n", "pos", "N", "P"))
+    s, n, pos, size, p = (F.col(c) for c in ("score", "n", "pos", "rows_all", "pos_all"))
     f = min(max(float(top_fraction), 0.01), 0.5)
     take = F.greatest(F.lit(1), F.ceil(size * F.lit(f)))
     zero = F.lit(0).cast("long")
@@ -115,10 +115,10 @@ def evaluate_scores(df: DataFrame, columns: list[str] | None = None, label: str
     tp_at = p - (F.col("cum_pos") - pos)
     taken_at = size - (F.col("cum_n") - n)
     aggs = [
-        F.first("N").alias("N"), F.first("P").alias("P"), F.first("score_mean").alias("score_mean"),
+        F.first("rows_all").alias("rows_all"), F.first("pos_all").alias("pos_all"), F.first("score_mean").alias("score_mean"),
         F.min("score").alias("score_min"),
-        F.sqrt(F.sum(n * (s - F.col("score_mean")) * (s - F.col("score_mean"))) / F.first("N")).alias("score_std"),
-        (F.sum(F.when(hit, n).otherwise(0)) / F.first("N")).alias("above_threshold_rate"),
+        F.sqrt(F.sum(n * (s - F.col("score_mean")) * (s - F.col("score_mean"))) / F.first("rows_all")).alias("score_std"),
+        (F.sum(F.when(hit, n).otherwise(0)) / F.first("rows_all")).alias("above_threshold_rate"),
         (F.sum(s * top) / F.sum(top)).alias("top_fraction_mean"),
         (F.sum(s * bottom) / F.sum(bottom)).alias("bottom_fraction_mean"),
         F.sum(F.when(hit, pos).otherwise(0)).alias("tp"),
@@ -130,9 +130,9 @@ def evaluate_scores(df: DataFrame, columns: list[str] | None = None, label: str
         low, high = quantile_parts(prob, "score", size)
         aggs += [low.alias(f"_l_{name}"), high.alias(f"_h_{name}")]
     g = rows.groupBy("model").agg(*aggs)
-    q = {k: interpolate(F.col(f"_l_{k}"), F.col(f"_h_{k}"), v, F.col("N")) for k, v in QUARTILES.items()}
+    q = {k: interpolate(F.col(f"_l_{k}"), F.col(f"_h_{k}"), v, F.col("rows_all")) for k, v in QUARTILES.items()}
     out = [
-        F.col("model"), F.col("N").alias("count"), "score_min", "score_mean", q["q50"].alias("score_median"),
+        F.col("model"), F.col("rows_all").alias("count"), "score_min", "score_mean", q["q50"].alias("score_median"),
         "score_std", (q["q75"] - q["q25"]).alias("score_iqr"), q["q95"].alias("score_p95"),
         q["q99"].alias("score_p99"), "above_threshold_rate", "top_fraction_mean", "bottom_fraction_mean",
         (F.col("top_fraction_mean") - F.col("bottom_fraction_mean")).alias("score_spread"),
@@ -140,14 +140,14 @@ def evaluate_scores(df: DataFrame, columns: list[str] | None = None, label: str
     if label is None:
         return g.select(*out)
     tp, fp = F.col("tp"), F.col("fp")
-    fn = F.col("P") - tp
-    tn = F.col("N") - F.col("P") - fp
-    both = (F.col("P") > 0) & (F.col("P") < F.col("N"))
+    fn = F.col("pos_all") - tp
+    tn = F.col("rows_all") - F.col("pos_all") - fp
+    both = (F.col("pos_all") > 0) & (F.col("pos_all") < F.col("rows_all"))
     return g.select(
         *out,
         ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
-        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, F.col("N")).alias("accuracy"),
-        F.when(both, F.col("_u") / (F.col("P") * (F.col("N") - F.col("P")))).alias("roc_auc"),
+        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), ratio(tp + tn, F.col("rows_all")).alias("accuracy"),
+        F.when(both, F.col("_u") / (F.col("pos_all") * (F.col("rows_all") - F.col("pos_all")))).alias("roc_auc"),
         F.when(both, F.col("_ap")).alias("auprc"),
     )
 
@@ -213,15 +213,15 @@ def threshold_grid(df: DataFrame, score: str, label: str, candidates: int = 201)
         "slot", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("pos", F.lit(0)).alias("pos"))
     grid = ordered_totals(filled.withColumn("slot", F.col("slot").cast("double")), [], "slot", ["n", "pos"])
     grid = grid.withColumn("all", F.lit(1))
-    size = grid.groupBy("all").agg(F.max("cum_n").alias("N"), F.max("cum_pos").alias("P"))
+    size = grid.groupBy("all").agg(F.max("cum_n").alias("rows_all"), F.max("cum_pos").alias("pos_all"))
     grid = grid.join(size, "all").where("slot >= 0")
     tp, fp = F.col("cum_pos"), F.col("cum_n") - F.col("cum_pos")
-    fn = F.col("P") - tp
-    tn = F.col("N") - F.col("P") - fp
+    fn = F.col("pos_all") - tp
+    tn = F.col("rows_all") - F.col("pos_all") - fp
     return grid.select(
         (F.col("slot") * step).alias("threshold"), ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        ratio(tp + tn, F.col("N")).alias("accuracy"))
+        ratio(tp + tn, F.col("rows_all")).alias("accuracy"))
 
 
 def calibrate_threshold(df: DataFrame, score: str, label: str, candidates: int = 201,

@@ -299,11 +299,11 @@ UNION ALL SELECT '{B}', ab, 1.0, bc FROM r UNION ALL SELECT '{C}', ac, bc, 1.0 F
 d AS (SELECT *, (a <> b)::INT + (a <> c)::INT + (b <> c)::INT AS disagreement_count,
       greatest({A}, {B}, {C}) - least({A}, {B}, {C}) AS score_range FROM flags),
 t AS (SELECT * FROM d ORDER BY disagreement_count DESC, score_range DESC, row_id LIMIT 20),
-w AS (SELECT *, CASE WHEN disagreement_count = 0 THEN ['{A}__{B}', '{A}__{C}', '{B}__{C}'] ELSE
-      list_filter([CASE WHEN a <> b THEN '{A}__{B}' END, CASE WHEN a <> c THEN '{A}__{C}' END,
-                   CASE WHEN b <> c THEN '{B}__{C}' END], x -> x IS NOT NULL) END AS pairs FROM t)
+w AS (SELECT *, CASE WHEN disagreement_count = 0 OR a <> b THEN '{A}__{B}' END AS p1,
+      CASE WHEN disagreement_count = 0 OR a <> c THEN '{A}__{C}' END AS p2,
+      CASE WHEN disagreement_count = 0 OR b <> c THEN '{B}__{C}' END AS p3 FROM t)
 SELECT row_id, disagreement_count, round(score_range, 6) AS score_range, a::VARCHAR || b::VARCHAR || c::VARCHAR AS flag_pattern,
-       pairs[1] AS worst_disagreement_pair, array_to_string(pairs, ',') AS worst_pairs FROM w""",
+       coalesce(p1, p2, p3) AS worst_disagreement_pair, concat_ws(',', p1, p2, p3) AS worst_pairs FROM w""",
     "d12_daily_trend": f"""WITH {SCORED}
 SELECT date_trunc('day', recorded_at)::TIMESTAMP AS day, round(avg(anomaly_score), 6) AS mean_score,
        round(max(anomaly_score), 6) AS max_score, count(*) FILTER (anomaly_score >= 0.7) AS alerts, count(*) AS rows
