@@ -85,41 +85,60 @@ def align(df: DataFrame, columns: dict[str, str]) -> DataFrame:
         F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in columns.items()])
 
 
-def existing(df: DataFrame, name: str) -> Column | None:
-    """A flat column, a literally dotted column, or a nested struct field."""
-    if name in df.columns:
-        return F.col(f"`{name}`")
-    if "." in name:
-        node: T.DataType = df.schema
+class Fields:
+    """Alias look-ups against one frame; the schema is read once."""
+
+    def __init__(self, df: DataFrame):
+        self.schema = df.schema
+        self.types = {f.name: f.dataType for f in self.schema.fields}
+
+    def kind(self, name: str) -> T.DataType | None:
+        if name in self.types:
+            return self.types[name]
+        node: T.DataType = self.schema
         for part in name.split("."):
             if not isinstance(node, T.StructType) or part not in node.names:
                 return None
             node = node[part].dataType
-        return F.col(name)
-    return None
-
-
-def pick(df: DataFrame, *names: str) -> Column | None:
-    """First non-null value among the aliases present, as text when types differ."""
-    found = [c for c in (existing(df, n) for n in names) if c is not None]
-    if not found:
-        return None
-    if len(found) == 1:
-        return found[0]
-    kinds = {df.select(c).schema[0].dataType.simpleString() for c in found}
-    return F.coalesce(*(found if len(kinds) == 1 else [c.cast("string") for c in found]))
-
-
-def pick_number(df: DataFrame, *names: str) -> Column:
-    """First alias that parses as a number."""
-    found = [c for c in (existing(df, n) for n in names) if c is not None]
-    return F.coalesce(*[to_number(c) for c in found]) if found else F.lit(None).cast("double")
-
-
-def scaled_source(df: DataFrame, *names: str) -> Column:
-    """First non-null alias, then read as a number."""
-    c = pick(df, *names)
-    return to_number(c) if c is not None else F.lit(None).cast("double")
+        return node
+
+    def get(self, name: str) -> Column | None:
+        """A flat column, a literally dotted column, or a nested struct field."""
+        if name in self.types:
+            return F.col(f"`{name}`")
+        return F.col(name) if "." in name and self.kind(name) is not None else None
+
+    def present(self, names) -> list[str]:
+        return [n for n in names if self.get(n) is not None]
+
+    def pick(self, *names: str) -> Column | None:
+        """First non-null value among the aliases present, as text when types differ."""
+        found = self.present(names)
+        if not found:
+            return None
+        cols = [self.get(n) for n in found]
+        if len({self.kind(n).simpleString() for n in found}) > 1:
+            cols = [c.cast("string") for c in cols]
+        return F.coalesce(*cols) if len(cols) > 1 else cols[0]
+
+    def number(self, *names: str) -> Column:
+        """First alias that parses as a number."""
+        found = self.present(names)
+        return F.coalesce(*[self.as_number(n) for n in found]) if found else F.lit(None).cast("double")
+
+    def as_number(self, name: str) -> Column:
+        c = self.get(name)
+        if isinstance(self.kind(name), (T.IntegerType, T.LongType, T.ShortType)):
+            return c.cast("double")
+        return to_number(c)
+
+    def reading(self, *names: str) -> Column:
+        """First non-null alias, then read as a number."""
+        found = self.present(names)
+        if len(found) == 1:
+            return self.as_number(found[0])
+        c = self.pick(*names)
+        return to_number(c) if c is not None else F.lit(None).cast("double")
 
 
 def feedback_label(c: Column, strict: bool = False) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.cleaning import body_mass_index, to_number
+from wardlight.functions.cleaning import Fields, body_mass_index, to_number
 from wardlight.functions.numeric import add_all, clamp01
 from wardlight.operators.risk import (
     HIGH_RISK, MODERATE_RISK, condition_tokens, risk_category)
@@ -127,17 +127,14 @@ def extract_fields(df: DataFrame, text: str = "text", word_start: bool = True) -
 # -- findings ---------------------------------------------------------------
 
 
-def _value(df: DataFrame, name: str) -> Column:
-    return to_number(F.col(name).cast("string")) if name in df.columns else F.lit(None).cast("double")
-
-
-def _blank(df: DataFrame, name: str) -> Column:
-    if name not in df.columns:
+def _blank(fields: Fields, name: str) -> Column:
+    c = fields.get(name)
+    if c is None:
         return F.lit(True)
-    c = F.col(name)
-    if dict(df.dtypes)[name].startswith("array"):
+    kind = fields.kind(name).simpleString()
+    if kind.startswith("array"):
         return c.isNull() | (F.size(c) == 0)
-    return c.isNull() | (F.trim(c.cast("string")) == "")
+    return c.isNull() | (F.trim(c) == "") if kind == "string" else c.isNull()
 
 
 def excursion(x: Column, low: float | None, high: float | None) -> Column:
@@ -155,72 +152,105 @@ def _range_text(low: float | None, high: float | None) -> str:
     return f"Usually over {_plain(low)}" if high is None else f"Usually {_plain(low)} to {_plain(high)}"
 
 
-def range_findings(df: DataFrame) -> DataFrame:
-    """``findings``: what is out of range or missing per row, most severe first.
+def check_severities(df: DataFrame) -> DataFrame:
+    """One severity column per check (``_s0`` ...), 0 where nothing is wrong.
 
-    Row-wise: checks become an array that is filtered and sorted in place. Rows
-    lacking any intake value or any lab value give no findings.
+    ``_m<i>`` marks a blank field and ``_h<i>`` a value above its range. Rows
+    lacking any intake value or any lab value score 0 throughout.
     """
-    x = df
-    if "bmi" not in df.columns:
-        bmi = body_mass_index(_value(df, "weight"), _value(df, "height"))
-        x = df.withColumn("bmi", F.round(bmi, 6))
-    entries = []
-    for i, (source, domain, label, field, required) in enumerate(CHECKS):
-        blank = _blank(x, field)
-        if field == "systolicBp":
-            blank = blank | _blank(x, "diastolicBp")
-        low, high = RANGES.get(field, (None, None))
-        ranged = low is not None or high is not None
-        value = _value(x, field)
-        size = F.coalesce(excursion(value, low, high), F.lit(0.0)) if ranged else F.lit(0.0)
-        severity = F.when(blank, F.lit(MISSING_SEVERITY if required else 0.0)).otherwise(size)
-        over = (value > high) if high is not None else F.lit(False)
-        note = F.when(blank, "This field is still blank.")
-        if ranged:
-            note = note.when(over, f"Higher than the usual range of {_range_text(low, high)}.").otherwise(
-                f"Lower than the usual range of {_range_text(low, high)}.")
-        status = F.when(blank | (severity >= ATTENTION_AT), "needs attention").otherwise("watch")
-        entries.append(F.struct(
-            (-severity).alias("order"), F.lit(i).alias("check"), F.lit(source).alias("source"),
-            F.lit(domain).alias("domain"), F.lit(label).alias("label"), severity.alias("severity"),
-            status.alias("status"), note.alias("note")))
+    have = Fields(df)
+    if have.get("bmi") is None:
+        bmi = body_mass_index(have.number("weight"), have.number("height"))
+        df = df.withColumn("bmi", F.round(bmi, 6))
+        have = Fields(df)
     intake = ["patient_id", "age", "comorbidities", "heartRate", "systolicBp", "diastolicBp", "spo2",
               "temperature", "respiratoryRate", "weight", "height"]
-    some = reduce(lambda a, b: a | b, [~_blank(x, c) for c in intake])
-    some_lab = reduce(lambda a, b: a | b, [~_blank(x, c) for c in ALIASES])
-    found = F.array_sort(F.filter(F.array(*entries), lambda e: e["severity"] > 0))
-    return x.withColumn("findings", F.when(some & some_lab, found).otherwise(F.slice(found, 1, 0)))
+    usable = (reduce(lambda a, b: a | b, [~_blank(have, c) for c in intake])
+              & reduce(lambda a, b: a | b, [~_blank(have, c) for c in ALIASES]))
+    first, marks, severity = {"_usable": usable}, {}, {}
+    for i, (_, _, _, field, required) in enumerate(CHECKS):
+        blank = _blank(have, field)
+        if field == "systolicBp":
+            blank = blank | _blank(have, "diastolicBp")
+        size = F.lit(0.0)
+        marks[f"_h{i}"] = F.lit(False)
+        if field in RANGES:
+            low, high = RANGES[field]
+            first[f"_v{i}"] = have.number(field)
+            size = F.coalesce(excursion(F.col(f"_v{i}"), low, high), F.lit(0.0))
+            if high is not None:
+                marks[f"_h{i}"] = F.coalesce(F.col(f"_v{i}") > high, F.lit(False))
+        first[f"_m{i}"] = blank
+        severity[f"_s{i}"] = F.when(~F.col("_usable"), 0.0).when(
+            F.col(f"_m{i}"), MISSING_SEVERITY if required else 0.0).otherwise(size)
+    out = df.withColumns(first).withColumns({**marks, **severity})
+    return out.drop("_usable", *[c for c in first if c.startswith("_v")])
 
 
-def finding_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per finding with its rank."""
-    return df.select(*keys, F.posexplode("findings").alias("_p", "_f")).select(
-        *keys, (F.col("_p") + 1).alias("rank"), "_f.source", "_f.domain", "_f.label", "_f.severity",
-        "_f.status", "_f.note")
+CHECK_SCRATCH = [f"_{k}{i}" for k in "smh" for i in range(len(CHECKS))]
+
 
+def finding_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per finding, most severe first within its report.
 
-def _mean_severity(items: Column) -> Column:
-    total = F.aggregate(items, F.lit(0.0), lambda a, f: a + f["severity"])
-    return F.when(F.size(items) > 0, total / F.size(items)).otherwise(0.0)
+    Each report expands to at most one row per check; ranks are array positions,
+    so nothing is shuffled.
+    """
+    scored = check_severities(df)
+    state = [F.when(F.col(f"_m{i}"), 0).when(F.col(f"_h{i}"), 1).otherwise(2) for i in range(len(CHECKS))]
+    listed = F.array(*[
+        F.when(F.col(f"_s{i}") > 0, F.struct((-F.col(f"_s{i}")).alias("order"), F.lit(i).alias("check"),
+                                             s.alias("state"))) for i, s in enumerate(state)])
+    rows = scored.select(*keys, F.sort_array(F.array_compact(listed)).alias("_f"))
+    # The outer form keeps Spark from copying the whole array expression into a filter.
+    rows = rows.select(*keys, F.posexplode_outer("_f").alias("_p", "_e")).where("_e IS NOT NULL")
+    rows = rows.select(*keys, (F.col("_p") + 1).alias("rank"), F.col("_e.check").alias("check"),
+                       (-F.col("_e.order")).alias("severity"), F.col("_e.state").alias("state"))
+    texts = df.sparkSession.createDataFrame(check_texts(), (
+        "check int, state int, source string, domain string, label string, note string"))
+    # One row per check and state: a fixed table.
+    out = rows.join(F.broadcast(texts), ["check", "state"])
+    status = F.when((F.col("state") == 0) | (F.col("severity") >= ATTENTION_AT), "needs attention").otherwise("watch")
+    return out.withColumn("status", status).drop("check", "state")
+
+
+def check_texts() -> list[tuple]:
+    rows = []
+    for i, (source, domain, label, field, _) in enumerate(CHECKS):
+        usual = _range_text(*RANGES[field]) if field in RANGES else ""
+        notes = ["This field is still blank.", f"Higher than the usual range of {usual}.",
+                 f"Lower than the usual range of {usual}."]
+        rows += [(i, state, source, domain, label, note) for state, note in enumerate(notes)]
+    return rows
 
 
 def care_summary(df: DataFrame) -> DataFrame:
     """Domain scores, mean severity, risk band and counts per source, all per row."""
-    def named(d):
-        return d.lower().replace(" ", "_")
+    scored = check_severities(df)
+
+    def total(ids):
+        return add_all([F.col(f"_s{i}") for i in ids])
+
+    def hits(ids):
+        return add_all([(F.col(f"_s{i}") > 0).cast("int") for i in ids])
+
+    def mean(ids):
+        n = hits(ids)
+        return F.when(n > 0, total(ids) / n).otherwise(0.0)
+
+    def ids_of(at, value):
+        return [i for i, check in enumerate(CHECKS) if check[at] == value]
 
-    cols = {}
+    everything = list(range(len(CHECKS)))
+    cols = {"findings": hits(everything), "total_severity": mean(everything),
+            "intake_findings": hits(ids_of(0, INTAKE)), "lab_findings": hits(ids_of(0, LAB))}
     for d in DOMAINS:
-        items = F.filter("findings", lambda f, d=d: f["domain"] == d)
-        cols[f"{named(d)}_score"] = clamp01(_mean_severity(items))
-        cols[f"{named(d)}_count"] = F.size(items)
-    total = _mean_severity(F.col("findings"))
-    cols["total_severity"] = total
-    cols["care_risk"] = F.when(total >= 0.55, "High").when(total >= 0.28, "Medium").otherwise("Low")
-    cols["intake_findings"] = F.size(F.filter("findings", lambda f: f["source"] == INTAKE))
-    cols["lab_findings"] = F.size(F.filter("findings", lambda f: f["source"] == LAB))
-    return df.withColumns(cols)
+        name = d.lower().replace(" ", "_")
+        cols[f"{name}_score"] = mean(ids_of(1, d))
+        cols[f"{name}_count"] = hits(ids_of(1, d))
+    out = scored.withColumns(cols).drop(*CHECK_SCRATCH)
+    t = F.col("total_severity")
+    return out.withColumn("care_risk", F.when(t >= 0.55, "High").when(t >= 0.28, "Medium").otherwise("Low"))
 
 
 def heat_cells(findings: DataFrame) -> DataFrame:
@@ -235,7 +265,8 @@ def heat_cells(findings: DataFrame) -> DataFrame:
 
 def composite_features(df: DataFrame) -> DataFrame:
     """Nine clinical composites in [0, 1]; a missing input leaves its composite null."""
-    v = {n: _value(df, n) for n in [*ALIASES, "systolicBp", "diastolicBp", "spo2", "weight", "height"]}
+    have = Fields(df)
+    v = {n: have.number(n) for n in [*ALIASES, "systolicBp", "diastolicBp", "spo2", "weight", "height"]}
     return df.withColumns({k: clamp01(e) for k, e in {
         "glycemic_pressure": ((v["fastingGlucose"] - 70) / 60 + (v["postprandialGlucose"] - 140) / 120
                               + (v["hba1c"] - 5.6) / 4) / 3 + 0.25,
@@ -257,7 +288,7 @@ def composite_features(df: DataFrame) -> DataFrame:
 def coded_features(df: DataFrame, sex: str = "sex", location: str = "locationType",
                    triage: str = "triagePriority", age: str = "age") -> DataFrame:
     """Ordinal codes for sex, place, triage and age band."""
-    years = F.coalesce(_value(df, age), F.lit(0.0))
+    years = F.coalesce(Fields(df).number(age), F.lit(0.0))
     return df.withColumns({
         "sex_code": F.when(F.col(sex) == "Female", 1.0).when(F.col(sex) == "Male", 0.82).otherwise(0.5),
         "location_code": F.when(F.col(location) == "Clinic", 0.68).when(F.col(location) == "Home", 0.4).otherwise(0.85),
@@ -270,7 +301,8 @@ def coded_features(df: DataFrame, sex: str = "sex", location: str = "locationTyp
 
 def completeness(df: DataFrame, fields: list[str]) -> DataFrame:
     """Filled and missing counts over ``fields`` and a ready / warning status."""
-    missing = add_all([_blank(df, f).cast("int") for f in fields])
+    have = Fields(df)
+    missing = add_all([_blank(have, f).cast("int") for f in fields])
     return df.withColumns({
         "filled_count": F.lit(len(fields)) - missing, "missing_count": missing,
         "completeness_status": F.when(missing == 0, "ready").otherwise("warning")})
@@ -292,23 +324,25 @@ DEVIATION_FIELDS = [
 ]
 
 
-def _deviation(df: DataFrame, field: str, x: Column | None = None) -> Column:
+def _deviation(have: Fields, field: str, x: Column | None = None) -> Column:
     """Excursion with missing read as 0, as the screening form does."""
-    value = F.coalesce(x if x is not None else _value(df, field), F.lit(0.0))
+    value = F.coalesce(x if x is not None else have.number(field), F.lit(0.0))
     return excursion(value, *RANGES[field])
 
 
 def radar_scores(df: DataFrame) -> DataFrame:
+    have = Fields(df)
     return df.withColumns({
-        f"radar_{d}": clamp01(add_all([_deviation(df, f) for f in fs]) / float(len(fs))) for d, fs in RADAR.items()})
+        f"radar_{d}": clamp01(add_all([_deviation(have, f) for f in fs]) / float(len(fs))) for d, fs in RADAR.items()})
 
 
 def screening_risk(df: DataFrame) -> DataFrame:
     """Alternate risk of the intake form: summed range deviations, boost, floors and limits."""
-    v = {n: F.coalesce(_value(df, n), F.lit(0.0)) for n in
+    have = Fields(df)
+    v = {n: F.coalesce(have.number(n), F.lit(0.0)) for n in
          ("bloodGlucose", "fastingGlucose", "hba1c", "creatinine", "urea", "systolicBp", "spo2")}
     glucose = F.greatest(v["bloodGlucose"], v["fastingGlucose"])
-    x = df.withColumn("_cond", condition_tokens(df, ("comorbidities",)))
+    x = df.withColumn("_cond", condition_tokens(have, ("comorbidities",)))
     count = F.size("_cond")
     high = F.size(F.array_intersect("_cond", F.array(*[F.lit(t) for t in HIGH_RISK])))
     moderate = F.size(F.array_intersect("_cond", F.array(*[F.lit(t) for t in MODERATE_RISK])))
@@ -316,7 +350,7 @@ def screening_risk(df: DataFrame) -> DataFrame:
         ((glucose > 0) & ((glucose < 50) | (glucose > 400))) | (v["creatinine"] > 2.0) | (v["urea"] > 40.0)
         | ((v["systolicBp"] > 0) & ((v["systolicBp"] > 180) | (v["systolicBp"] < 80)))
         | ((v["spo2"] > 0) & (v["spo2"] < 90)) | (v["hba1c"] > 9.0))
-    deviations = [_deviation(df, "fastingGlucose", glucose), *[_deviation(df, f) for f in DEVIATION_FIELDS]]
+    deviations = [_deviation(have, "fastingGlucose", glucose), *[_deviation(have, f) for f in DEVIATION_FIELDS]]
     base = clamp01(F.lit(0.22) + add_all(deviations) / 18.0)
     floor = F.when(count >= 8, 0.65).when(count >= 5, 0.55).when(count >= 3, 0.4).otherwise(0.0)
     floor = F.when(critical, F.greatest(floor, F.lit(0.75))).otherwise(floor)

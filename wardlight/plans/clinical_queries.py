@@ -15,10 +15,10 @@ KEY_SQL = ", ".join(line_key())
 
 
 def risk(spark, d):
-    df = encounters(spark, d).withColumn("anomaly_score", F.col("bun_mg_dl") / 60.0)
+    df = encounters(spark, d).withColumn("anomaly_score", F.sqrt("bun_mg_dl") / 8.0)
     out = clinical_risk(df)
     return out.select(
-        *line_key(), "risk_score_normalized", "risk_score", "risk_category", "alert_triggered",
+        *line_key(), "risk_score_normalized", "risk_category", "alert_triggered",
         "critical_override_triggered", F.size("critical_override_reasons").alias("critical_reasons"),
         "comorbidity_count", "high_risk_comorbidity_count", "moderate_comorbidity_count",
         "comorbidity_boost", "risk_floor", F.size("risk_warnings").alias("warnings"),
@@ -114,14 +114,14 @@ def lab_reports(spark, d):
 
 
 def findings(spark, d):
-    out = labs.care_summary(labs.range_findings(lab_reports(spark, d)))
+    out = labs.care_summary(lab_reports(spark, d))
     cols = [c for c in out.columns if c.endswith(("_score", "_count"))]
-    return rounded(out.select(*line_key(), F.size("findings").alias("findings"), *cols, "total_severity",
-                              "care_risk", "intake_findings", "lab_findings"), keep=("l_extendedprice",))
+    return rounded(out.select(*line_key(), "findings", *cols, "total_severity",
+                              "care_risk", "intake_findings", "lab_findings"), keep=("l_extendedprice",), digits=8)
 
 
 def finding_cells(spark, d):
-    rows = labs.heat_cells(labs.finding_rows(labs.range_findings(lab_reports(spark, d)), line_key()))
+    rows = labs.heat_cells(labs.finding_rows(lab_reports(spark, d), line_key()))
     return rounded(rows.groupBy("domain", "tone", "in_trend").agg(
         F.count(F.lit(1)).alias("cells"), F.avg("severity").alias("mean_severity")))
 
@@ -283,7 +283,7 @@ def _checks():
 
 FOUND = f"found AS (SELECT * FROM ({' UNION ALL '.join(_checks())}) WHERE severity > 0)"
 DOMAIN_COLS = ", ".join(
-    f"round(coalesce(avg(severity) FILTER (domain = '{x}'), 0), 6) AS {x.lower().replace(' ', '_')}_score, "
+    f"round(coalesce(avg(severity) FILTER (domain = '{x}'), 0), 8) AS {x.lower().replace(' ', '_')}_score, "
     f"count(severity) FILTER (domain = '{x}') AS {x.lower().replace(' ', '_')}_count" for x in labs.DOMAINS)
 
 
@@ -316,11 +316,11 @@ SELECT {KEY_SQL}, failed, CASE WHEN failed = '' THEN 'ok' ELSE 'suspect' END AS
     "b17_bmi": """
 SELECT p_partkey, round((p_retailprice / 20.0) / ((p_size * 4.0 / 100.0) * (p_size * 4.0 / 100.0)), 6) AS bmi_kg_m2 FROM part""",
     "r1_r6_clinical_risk": f"""
-WITH {ENC}, {risk_sql("bun / 60.0")}
-SELECT {KEY_SQL}, round(final, 4) AS risk_score_normalized, round(final * 100, 1) AS risk_score, {CAT} AS risk_category,
+WITH {ENC}, {risk_sql("sqrt(bun) / 8.0")}
+SELECT {KEY_SQL}, round(final, 4) AS risk_score_normalized, {CAT} AS risk_category,
        {CAT} = 'High' AS alert_triggered, crit > 0 AS critical_override_triggered, crit AS critical_reasons,
        n AS comorbidity_count, hi AS high_risk_comorbidity_count, mo AS moderate_comorbidity_count,
-       round(boost, 4) AS comorbidity_boost, floor_ AS risk_floor,
+       round(boost, 4)::DOUBLE AS comorbidity_boost, floor_::DOUBLE AS risk_floor,
        conflict::INT + low::INT + (crit > 0)::INT AS warnings,
        5 + low::INT + (n > 0)::INT + (crit > 0)::INT AS drivers FROM risk""",
     "r9_risk_actions": f"""
@@ -342,7 +342,7 @@ s AS (SELECT {KEY_SQL}, count(*) AS findings, {DOMAIN_COLS}, avg(severity) AS t,
       count(*) FILTER (source = '{labs.LAB}') AS lab_findings FROM found GROUP BY ALL)
 SELECT lab.{", lab.".join(line_key())}, coalesce(findings, 0) AS findings,
        {", ".join(f"coalesce({x.lower().replace(' ', '_')}_{y}, 0) AS {x.lower().replace(' ', '_')}_{y}" for x in labs.DOMAINS for y in ("score", "count"))},
-       round(coalesce(t, 0), 6) AS total_severity,
+       round(coalesce(t, 0), 8) AS total_severity,
        CASE WHEN t >= 0.55 THEN 'High' WHEN t >= 0.28 THEN 'Medium' ELSE 'Low' END AS care_risk,
        coalesce(intake_findings, 0) AS intake_findings, coalesce(lab_findings, 0) AS lab_findings
 FROM lab LEFT JOIN s USING ({KEY_SQL})""",
