@@ -1,0 +1,393 @@
+"""Data-parallel training of small networks: per-partition gradient sums, one update per pass.
+
+Each pass is one Spark job: tasks compute the loss and gradient of their rows in
+numpy, Spark adds them up in two steps, and the driver holds only the parameter
+vector. Scoring runs in Arrow batches with the parameters broadcast.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SLOTS = 16
+
+
+class Var:
+    """A numpy value that remembers how to pass its gradient back."""
+
+    def __init__(self, value, parents=()):
+        self.value, self.parents, self.grad = np.asarray(value, dtype=float), parents, None
+
+    def __add__(self, o):
+        o = o if isinstance(o, Var) else Var(o)
+        return Var(self.value + o.value, ((self, lambda g: _fit(g, self.value)), (o, lambda g: _fit(g, o.value))))
+
+    def __mul__(self, o):
+        o = o if isinstance(o, Var) else Var(o)
+        return Var(self.value * o.value, ((self, lambda g: _fit(g * o.value, self.value)),
+                                          (o, lambda g: _fit(g * self.value, o.value))))
+
+    def __sub__(self, o):
+        return self + (o * -1.0 if isinstance(o, Var) else Var(-np.asarray(o)))
+
+    def __matmul__(self, o):
+        return Var(self.value @ o.value, (
+            (self, lambda g: g @ o.value.T),
+            (o, lambda g: self.value.reshape(-1, self.value.shape[-1]).T @ g.reshape(-1, g.shape[-1]))))
+
+    def apply(self, value, slope):
+        return Var(value, ((self, lambda g: g * slope),))
+
+    def relu(self):
+        return self.apply(np.maximum(self.value, 0.0), (self.value > 0).astype(float))
+
+    def exp(self):
+        e = np.exp(np.clip(self.value, -30, 30))
+        return self.apply(e, e)
+
+    def square(self):
+        return self.apply(self.value ** 2, 2.0 * self.value)
+
+    def sum(self):
+        return Var(self.value.sum(), ((self, lambda g: g * np.ones_like(self.value)),))
+
+    def softmax(self):
+        e = np.exp(self.value - self.value.max(axis=-1, keepdims=True))
+        p = e / e.sum(axis=-1, keepdims=True)
+        return Var(p, ((self, lambda g: p * (g - (g * p).sum(axis=-1, keepdims=True))),))
+
+    def take(self, index):
+        """Gather along axis 1 with zero padding at index -1 (convolution windows)."""
+        padded = np.concatenate([self.value, np.zeros_like(self.value[:, :1])], axis=1)
+
+        def back(g):
+            out = np.zeros_like(padded)
+            np.add.at(out, (slice(None), index), g)
+            return out[:, :-1]
+
+        return Var(padded[:, index], ((self, back),))
+
+    def reshape(self, *shape):
+        return Var(self.value.reshape(shape), ((self, lambda g: g.reshape(self.value.shape)),))
+
+    def backward(self):
+        order, seen = [], set()
+
+        def walk(v):
+            if id(v) not in seen:
+                seen.add(id(v))
+                for p, _ in v.parents:
+                    walk(p)
+                order.append(v)
+
+        walk(self)
+        self.grad = np.ones_like(self.value)
+        for v in reversed(order):
+            for p, back in v.parents:
+                g = back(v.grad)
+                p.grad = g if p.grad is None else p.grad + g
+
+
+def _fit(g, like):
+    """Sum a broadcast gradient back to the shape it came from."""
+    while g.ndim > like.ndim:
+        g = g.sum(axis=0)
+    for i, n in enumerate(like.shape):
+        if n == 1 and g.shape[i] != 1:
+            g = g.sum(axis=i, keepdims=True)
+    return g
+
+
+@dataclass(frozen=True)
+class Net:
+    """Shapes of the parameters, the per-batch loss (summed over rows) and the score outputs."""
+
+    shapes: tuple[tuple[int, ...], ...]
+    loss: Callable
+    outputs: Callable
+
+    def start(self, seed: int) -> np.ndarray:
+        rng = np.random.default_rng(seed)
+        parts = [rng.normal(0, np.sqrt(2.0 / s[0]), s).ravel() if len(s) > 1 else np.zeros(s) for s in self.shapes]
+        return np.concatenate(parts)
+
+    def unpack(self, flat: np.ndarray) -> list[Var]:
+        out, at = [], 0
+        for s in self.shapes:
+            n = int(np.prod(s))
+            out.append(Var(flat[at:at + n].reshape(s)))
+            at += n
+        return out
+
+
+def dense_shapes(*sizes: int) -> list[tuple[int, ...]]:
+    return [s for a, b in zip(sizes, sizes[1:]) for s in ((a, b), (b,))]
+
+
+def run_dense(x: Var, params: list[Var], last_linear: bool = True) -> Var:
+    n = len(params) // 2
+    for i in range(n):
+        x = x @ params[2 * i] + params[2 * i + 1]
+        if i < n - 1 or not last_linear:
+            x = x.relu()
+    return x
+
+
+def matrix(pdf: pd.DataFrame, column: str = "_x") -> np.ndarray:
+    return np.stack(pdf[column].to_numpy()).astype(float) if len(pdf) else np.empty((0, 0))
+
+
+def gradient(df: DataFrame, net: Net, flat: np.ndarray) -> tuple[int, float, np.ndarray]:
+    """Rows, summed loss and summed gradient over ``df`` (column ``_x``: array)."""
+    shared = df.sparkSession.sparkContext.broadcast(flat)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, loss, grad = 0, 0.0, np.zeros_like(shared.value)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            params = net.unpack(shared.value)
+            value = net.loss(Var(matrix(pdf)), params)
+            value.backward()
+            grad += np.concatenate([
+                (p.grad if p.grad is not None else np.zeros_like(p.value)).ravel() for p in params])
+            loss += float(value.value)
+            n += len(pdf)
+        if n:
+            slot = TaskContext.get().partitionId() % SLOTS
+            yield pd.DataFrame({"slot": [slot], "g": [np.concatenate([[float(n), loss], grad])]})
+
+    parts = df.select("_x").mapInPandas(partial, "slot int, g array<double>")
+    sums = (parts.groupBy("slot").agg(Summarizer.sum(array_to_vector("g")).alias("s"))
+            .select(vector_to_array("s").alias("s")).collect())  # at most SLOTS rows
+    shared.unpersist()
+    total = np.sum([np.asarray(r["s"]) for r in sums], axis=0) if sums else np.zeros(len(flat) + 2)
+    return int(total[0]), float(total[1]), total[2:]
+
+
+def train(df: DataFrame, net: Net, seed: int = 42, epochs: int = 30, rate: float = 1e-2, l2: float = 1e-5,
+          patience: int = 10, validation: DataFrame | None = None, start: np.ndarray | None = None) -> np.ndarray:
+    """Adam on full passes; stops when the watched loss stalls and returns the best parameters."""
+    flat = net.start(seed) if start is None else start
+    m, v = np.zeros_like(flat), np.zeros_like(flat)
+    best, best_loss, stale = flat, np.inf, 0
+    for step in range(1, epochs + 1):
+        n, loss, grad = gradient(df, net, flat)
+        if not n:
+            break
+        watched = loss / n
+        if validation is not None:
+            vn, vloss, _ = gradient(validation, net, flat)
+            watched = vloss / vn if vn else watched
+        if watched < best_loss - 1e-9:
+            best, best_loss, stale = flat, watched, 0
+        else:
+            stale += 1
+            if stale >= patience:
+                break
+        g = grad / n + l2 * flat
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        flat = flat - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    return best
+
+
+def score_net(df: DataFrame, net: Net, flat: np.ndarray, output: str = "_net") -> DataFrame:
+    """Adds ``output``: an array of the net's outputs per row (first value is the score)."""
+    shared = df.sparkSession.sparkContext.broadcast(flat)
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        out = net.outputs(Var(np.stack(x.to_numpy()).astype(float)), net.unpack(shared.value))
+        return pd.Series(list(np.column_stack(out)))
+
+    return df.withColumn(output, run("_x"))
+
+
+def _mse(x: Var, y: Var) -> np.ndarray:
+    return ((x.value - y.value) ** 2).mean(axis=1)
+
+
+def _reconstruction(x: Var, y: Var, *extra) -> list[np.ndarray]:
+    """Score first, then mean squared error, mean absolute error, extras and the residuals."""
+    r = x.value - y.value
+    return [(r ** 2).mean(axis=1), np.abs(r).mean(axis=1), *extra, r]
+
+
+def autoencoder(d: int, latent: int = 8) -> Net:
+    """Dense d-128-64-32-latent-32-64-128-d."""
+    shapes = dense_shapes(d, 128, 64, 32, latent, 32, 64, 128, d)
+
+    def loss(x, p):
+        return (run_dense(x, p) - x).square().sum() * (1.0 / d)
+
+    def outputs(x, p):
+        y = run_dense(x, p)
+        return [_mse(x, y), *_reconstruction(x, y)]
+
+    return Net(tuple(shapes), loss, outputs)
+
+
+def variational(d: int, hidden: int = 64, latent: int = 8, beta: float = 1.0) -> Net:
+    """Dense variational autoencoder; no noise when scoring."""
+    shapes = dense_shapes(d, hidden) + dense_shapes(hidden, latent) + dense_shapes(hidden, latent)
+    shapes += dense_shapes(latent, hidden, d)
+
+    def encode(x, p):
+        h = run_dense(x, p[:2], False)
+        return h @ p[2] + p[3], h @ p[4] + p[5]
+
+    def loss(x, p):
+        mu, logvar = encode(x, p)
+        noise = np.random.default_rng(len(x.value)).standard_normal(mu.value.shape)
+        z = mu + (logvar * 0.5).exp() * noise
+        y = run_dense(z, p[6:])
+        kl = (mu.square() + logvar.exp() - logvar - 1.0).sum() * 0.5
+        return (y - x).square().sum() * (1.0 / d) + kl * (beta / d)
+
+    def outputs(x, p):
+        mu, _ = encode(x, p)
+        y = run_dense(mu, p[6:])
+        return [_mse(x, y), *_reconstruction(x, y)]
+
+    return Net(tuple(shapes), loss, outputs)
+
+
+def ganomaly(d: int, hidden: int = 64, latent: int = 8, weight: float = 1.0) -> Net:
+    """Encoder - decoder - encoder; the score adds the latent inconsistency."""
+    shapes = dense_shapes(d, hidden, latent) + dense_shapes(latent, hidden, d) + dense_shapes(d, hidden, latent)
+
+    def run(x, p):
+        z = run_dense(x, p[:4])
+        y = run_dense(z, p[4:8])
+        return z, y, run_dense(y, p[8:])
+
+    def loss(x, p):
+        z, y, z2 = run(x, p)
+        return (y - x).square().sum() * (1.0 / d) + (z2 - z).square().sum() * (weight / latent)
+
+    def outputs(x, p):
+        z, y, z2 = run(x, p)
+        gap = ((z2.value - z.value) ** 2).mean(axis=1)
+        return [_mse(x, y) + weight * gap, *_reconstruction(x, y, gap)]
+
+    return Net(tuple(shapes), loss, outputs)
+
+
+def attention(d: int, hidden: int = 64, latent: int = 8, weight: float = 0.5, temperature: float = 1.0) -> Net:
+    """Feature-attention autoencoder; the score adds how far attention is from uniform."""
+    shapes = [(d, d), (d,)] + dense_shapes(d, hidden, latent, hidden, d)
+
+    def run(x, p):
+        a = ((x @ p[0] + p[1]) * (1.0 / temperature)).softmax()
+        return a, run_dense(x * a * float(d), p[2:])
+
+    def loss(x, p):
+        return (run(x, p)[1] - x).square().sum() * (1.0 / d)
+
+    def outputs(x, p):
+        a, y = run(x, p)
+        kl = (a.value * np.log(np.maximum(a.value, 1e-12) * d)).sum(axis=1)
+        gap = np.clip(kl / np.log(max(d, 2)), 0.0, 1.0)
+        return [_mse(x, y) + weight * gap, *_reconstruction(x, y, gap)]
+
+    return Net(tuple(shapes), loss, outputs)
+
+
+def _windows(n: int, k: int) -> np.ndarray:
+    at = np.arange(n)[:, None] + np.arange(k)[None, :] - k // 2
+    return np.where((at >= 0) & (at < n), at, -1)
+
+
+def convolutional(d: int, filters: int = 8, kernel: int = 3, latent: int = 8) -> Net:
+    """One-dimensional convolution over the feature order, then a dense bottleneck."""
+    shapes = [(kernel, filters), (filters,)] + dense_shapes(d * filters, latent, d)
+    index = _windows(d, kernel)
+
+    def run(x, p):
+        h = (x.take(index) @ p[0] + p[1]).relu().reshape(-1, d * filters)
+        return run_dense(h, p[2:])
+
+    def loss(x, p):
+        return (run(x, p) - x).square().sum() * (1.0 / d)
+
+    def outputs(x, p):
+        y = run(x, p)
+        return [_mse(x, y), *_reconstruction(x, y)]
+
+    return Net(tuple(shapes), loss, outputs)
+
+
+def sequence(steps: int, d: int, filters: int = 16, kernel: int = 3, latent: int = 8) -> Net:
+    """Temporal convolution autoencoder over a window of visits (``_x`` is the flattened window)."""
+    width = steps * d
+    shapes = [(kernel * d, filters), (filters,)] + dense_shapes(steps * filters, latent, width)
+    at = _windows(steps, kernel)
+    index = np.where(at[:, :, None] >= 0, at[:, :, None] * d + np.arange(d), -1).reshape(steps, kernel * d)
+
+    def run(x, p):
+        h = (x.take(index) @ p[0] + p[1]).relu().reshape(-1, steps * filters)
+        return run_dense(h, p[2:])
+
+    def loss(x, p):
+        return (run(x, p) - x).square().sum() * (1.0 / width)
+
+    def outputs(x, p):
+        y = run(x, p)
+        return [_mse(x, y), *_reconstruction(x, y)]
+
+    return Net(tuple(shapes), loss, outputs)
+
+
+def svdd(d: int, centre: np.ndarray | None, sizes: tuple[int, ...] = (128, 64, 32, 8)) -> Net:
+    """Distance to a fixed centre in latent space; no biases, so the map cannot collapse."""
+    dims = (d, *sizes)
+    shapes = tuple((a, b) for a, b in zip(dims, dims[1:]))
+
+    def latent(x, p):
+        for i, w in enumerate(p):
+            x = x @ w
+            if i < len(p) - 1:
+                x = x.relu()
+        return x
+
+    def loss(x, p):
+        return (latent(x, p) - centre).square().sum()
+
+    def outputs(x, p):
+        z = latent(x, p)
+        if centre is None:
+            return [z.value]
+        return [((z.value - centre) ** 2).sum(axis=1), z.value]
+
+    return Net(shapes, loss, outputs)
+
+
+def one_class(d: int, gamma: float, nu: float, width: int = 256, seed: int = 42) -> Net:
+    """Linear one-class machine on random Fourier features of the RBF kernel (an approximation)."""
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, np.sqrt(2 * gamma), (d, width)), rng.uniform(0, 2 * np.pi, width)
+
+    def features(x):
+        return Var(np.cos(x.value @ w + b) * np.sqrt(2.0 / width))
+
+    def loss(x, p):
+        n = len(x.value)
+        side = features(x) @ p[0]
+        slack = (p[1] * 1.0 - side).relu().sum() * (1.0 / nu)
+        return slack + p[0].square().sum() * (0.5 * n) - p[1].sum() * float(n)
+
+    def outputs(x, p):
+        return [p[1].value[0] - (features(x).value @ p[0].value)[:, 0]]
+
+    return Net(((width, 1), (1,)), loss, outputs)
