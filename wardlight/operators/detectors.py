@@ -30,7 +30,7 @@ class Fitted:
     raw: Callable[[DataFrame, str], DataFrame]
     mean: float = 0.0
     std: float = 1.0
-    details: dict = field(default_factory=dict)
+    state: dict = field(default_factory=dict)
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``<name>_raw_score`` and the standardised ``<name>_score``."""
@@ -40,6 +40,13 @@ class Fitted:
 
 
 DETECTORS: dict[str, Callable[..., Fitted]] = {}
+# name -> build(spark, features, state): the raw scorer from plain arrays, so a
+# saved detector can be loaded in another session.
+BUILDERS: dict[str, Callable[..., Callable[[DataFrame, str], DataFrame]]] = {}
+
+
+def build(name: str, spark, features: list[str], state: dict, mean: float = 0.0, std: float = 1.0) -> Fitted:
+    return Fitted(name, features, BUILDERS[name](spark, features, state), mean, std, state)
 
 
 def register_detector(name: str, fit: Callable[..., Fitted] | None = None):
@@ -57,15 +64,14 @@ def register_scorer(name: str, fit_state: Callable, score_batch: Callable[[objec
     ``fit_state(df, features)`` returns a small picklable state;
     ``score_batch(state, matrix)`` scores a numpy batch.
     """
-    def fit(df, features, **_):
-        shared = df.sparkSession.sparkContext.broadcast(fit_state(df, features))
-
-        def raw(frame, output):
-            return frame.withColumn(output, _batch(lambda x: score_batch(shared.value, x), features))
+    def make(spark, features, state):
+        shared = spark.sparkContext.broadcast(state["state"])
+        return lambda frame, output: frame.withColumn(
+            output, _batch(lambda x: score_batch(shared.value, x), features))
 
-        return Fitted(name, features, raw)
-
-    DETECTORS[name] = fit
+    BUILDERS[name] = make
+    DETECTORS[name] = lambda df, features, **_: build(
+        name, df.sparkSession, features, {"state": fit_state(df, features)})
 
 
 def fit_detector(name: str, df: DataFrame, features: list[str], **options) -> Fitted:
@@ -153,26 +159,33 @@ def fit_isolation_forest(df: DataFrame, features: list[str], row: str = ROW, tre
     def table(name, fill, dtype):
         return np.array([r[name] + [fill] * (width - len(r[name])) for r in rows], dtype=dtype)
 
-    forest = spark.sparkContext.broadcast(
-        (table("feature", -1, int), table("cut", 0.0, float), table("left", 0, int), table("depth", 0.0, float)))
-    norm = max(float(_average_path(psi)), 1e-12)
+    return build("isolation_forest", spark, features, {
+        "feature": table("feature", -1, int), "cut": table("cut", 0.0, float), "left": table("left", 0, int),
+        "depth": table("depth", 0.0, float), "limit": limit, "norm": max(float(_average_path(psi)), 1e-12)})
+
+
+def _forest_scorer(spark, features, state):
+    forest = spark.sparkContext.broadcast(state)
 
     def path_score(x: np.ndarray) -> np.ndarray:
-        feature, cut, left, depth = forest.value
+        s = forest.value
+        feature, cut, left, depth = s["feature"], s["cut"], s["left"], s["depth"]
         t = np.arange(len(feature))[None, :]
         out = np.empty(len(x))
         for i in range(0, len(x), 1024):
             part = x[i:i + 1024]
             node = np.zeros((len(part), len(feature)), dtype=int)
-            for _ in range(limit):
+            for _ in range(s["limit"]):
                 f = feature[t, node]
                 go = np.take_along_axis(part, np.maximum(f, 0), axis=1) > cut[t, node]
                 node = np.where(f >= 0, left[t, node] + go, node)
-            out[i:i + 1024] = 2.0 ** (-depth[t, node].mean(axis=1) / norm)
+            out[i:i + 1024] = 2.0 ** (-depth[t, node].mean(axis=1) / s["norm"])
         return out
 
-    return Fitted("isolation_forest", features,
-                  lambda frame, output: frame.withColumn(output, _batch(path_score, features)))
+    return lambda frame, output: frame.withColumn(output, _batch(path_score, features))
+
+
+BUILDERS["isolation_forest"] = _forest_scorer
 
 
 # -- reconstruction detectors -----------------------------------------------
@@ -188,6 +201,12 @@ def fit_pca_reconstruction(df: DataFrame, features: list[str], share: float = 0.
     keep = min(len(features) - 1, int(np.searchsorted(np.cumsum(ratios), share)) + 1) if len(features) > 1 else 1
     axes = model.pc.toArray()[:, :max(keep, 1)]
 
+    return build("pca_reconstruction", df.sparkSession, features, {"axes": axes, "centre": centre})
+
+
+def _projection_scorer(spark, features, state):
+    axes, centre = state["axes"], state["centre"]
+
     @F.pandas_udf("array<double>")
     def residual(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([c.to_numpy(dtype=float) for c in cols]) - centre
@@ -202,22 +221,28 @@ def fit_pca_reconstruction(df: DataFrame, features: list[str], share: float = 0.
             "pca_reconstruction_reconstruction_error": F.aggregate(r, F.lit(0.0), lambda a, v: a + v * v) / n,
             "pca_reconstruction_reconstruction_mae": F.aggregate(r, F.lit(0.0), lambda a, v: a + F.abs(v)) / n})
 
-    return Fitted("pca_reconstruction", features, raw, details={"axes": axes, "centre": centre})
+    return raw
+
 
+BUILDERS["pca_reconstruction"] = _projection_scorer
 
 EXTRA_COLUMN = {"ganomaly": "latent_consistency_error", "anomaly_transformer": "attention_discrepancy"}
 
 
-def _fit_net(name: str, build):
+def _register_net(name: str, make_net):
     def fit(df, features, epochs: int = 30, seed: int = 42, row: str = ROW, **options) -> Fitted:
-        net = build(len(features), **options)
+        net = make_net(len(features), **options)
         rows = as_vector(df, features).select(row, "_x").persist()
         held = F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(5)) == 0  # a fifth watches for stalling
         flat = nets.train(rows.where(~held), net, seed, epochs, validation=rows.where(held))
         rows.unpersist()
+        return build(name, df.sparkSession, features, {"parameters": flat, "options": options})
+
+    def scorer(spark, features, state):
+        net = make_net(len(features), **state["options"])
 
         def raw(frame, output):
-            out = nets.score_net(as_vector(frame, features), net, flat)
+            out = nets.score_net(as_vector(frame, features), net, state["parameters"])
             cols = {output: F.col("_net")[0], f"{name}_reconstruction_error": F.col("_net")[1],
                     f"{name}_reconstruction_mae": F.col("_net")[2]}
             start = 4
@@ -227,16 +252,16 @@ def _fit_net(name: str, build):
             cols[f"{name}_residual"] = F.slice("_net", start, len(features))
             return out.withColumns(cols).drop("_net", "_x")
 
-        return Fitted(name, features, raw, details={"parameters": flat})
+        return raw
 
-    DETECTORS[name] = fit
+    DETECTORS[name], BUILDERS[name] = fit, scorer
 
 
-_fit_net("autoencoder", nets.autoencoder)
-_fit_net("variational_autoencoder", nets.variational)
-_fit_net("ganomaly", nets.ganomaly)
-_fit_net("anomaly_transformer", nets.attention)
-_fit_net("cnn_autoencoder", nets.convolutional)
+_register_net("autoencoder", nets.autoencoder)
+_register_net("variational_autoencoder", nets.variational)
+_register_net("ganomaly", nets.ganomaly)
+_register_net("anomaly_transformer", nets.attention)
+_register_net("cnn_autoencoder", nets.convolutional)
 
 
 @register_detector("deep_svdd")
@@ -255,13 +280,23 @@ def fit_deep_svdd(df: DataFrame, features: list[str], nu: float = 0.05, epochs:
     distance = nets.score_net(rows, net, flat).select(F.col("_net")[0].alias("d"))
     radius = exact_quantiles(distance, "d", {"r": 1.0 - nu}).first()["r"]
     rows.unpersist()
+    return build("deep_svdd", df.sparkSession, features, {
+        "parameters": flat, "centre": centre, "sizes": sizes, "radius": radius})
+
+
+def _svdd_scorer(spark, features, state):
+    net = nets.svdd(len(features), state["centre"], state["sizes"])
 
     def raw(frame, output):
-        out = nets.score_net(as_vector(frame, features), net, flat)
-        return out.withColumns({output: F.col("_net")[0], "deep_svdd_distance": F.col("_net")[0],
-                                "deep_svdd_inside": F.col("_net")[0] <= F.lit(radius)}).drop("_net", "_x")
+        out = nets.score_net(as_vector(frame, features), net, state["parameters"])
+        return out.withColumns({
+            output: F.col("_net")[0], "deep_svdd_distance": F.col("_net")[0],
+            "deep_svdd_inside": F.col("_net")[0] <= F.lit(state["radius"])}).drop("_net", "_x")
+
+    return raw
+
 
-    return Fitted("deep_svdd", features, raw, details={"radius": radius, "centre": centre})
+BUILDERS["deep_svdd"] = _svdd_scorer
 
 
 @register_detector("one_class_svm")
@@ -275,12 +310,21 @@ def fit_one_class_svm(df: DataFrame, features: list[str], nu: float = 0.05, epoc
     rows = as_vector(df, features).select("_x").persist()
     flat = nets.train(rows, net, seed, epochs, rate=5e-2, l2=0.0)
     rows.unpersist()
+    return build("one_class_svm", df.sparkSession, features, {
+        "parameters": flat, "gamma": gamma, "nu": nu, "seed": seed})
+
+
+def _svm_scorer(spark, features, state):
+    net = nets.one_class(len(features), state["gamma"], state["nu"], seed=state["seed"])
 
     def raw(frame, output):
-        out = nets.score_net(as_vector(frame, features), net, flat)
+        out = nets.score_net(as_vector(frame, features), net, state["parameters"])
         return out.withColumn(output, F.col("_net")[0]).drop("_net", "_x")
 
-    return Fitted("one_class_svm", features, raw)
+    return raw
+
+
+BUILDERS["one_class_svm"] = _svm_scorer
 
 
 @register_detector("local_outlier_factor")
@@ -289,6 +333,12 @@ def fit_local_outlier_factor(df: DataFrame, features: list[str], row: str = ROW,
     """Local density against the reference rows (the training table unless a profile is given)."""
     ref = (df if reference is None else reference).select(row, *features)
     k = max(1, min(neighbors, ref.count() - 1))
+    return build("local_outlier_factor", df.sparkSession, features, {"reference": ref, "row": row, "neighbors": k})
+
+
+def _density_scorer(spark, features, state):
+    """``reference`` stays a table: it is saved and loaded as one."""
+    ref, row, k = state["reference"], state["row"], state["neighbors"]
     pairs = nearest(ref, ref, features, k, row, skip_self=True)
     reach_to = pairs.groupBy(row).agg(F.max("distance").alias("_kd")).select(F.col(row).alias("neighbour"), "_kd")
 
@@ -306,14 +356,17 @@ def fit_local_outlier_factor(df: DataFrame, features: list[str], row: str = ROW,
         factor = own.join(around, row).select(row, (F.col("_around") / F.col("_lrd")).alias(output))
         return frame.join(factor, row, "left")
 
-    return Fitted("local_outlier_factor", features, raw)
+    return raw
+
+
+BUILDERS["local_outlier_factor"] = _density_scorer
 
 
 def fit_sequence(df: DataFrame, features: list[str], steps: int = 4, epochs: int = 30, seed: int = 42,
                  quantile: float = 0.975) -> dict | None:
     """Autoencoder over visit windows (column ``sequence_window``); full windows train where there are any.
 
-    Returns the scorer, the error mean and std, and the alarm threshold.
+    Returns the parameters, the error mean and std, and the alarm threshold.
     """
     full = df.where(F.col("sequence_history_length") >= steps)
     windows = full if full.limit(2).count() == 2 else df
@@ -327,8 +380,11 @@ def fit_sequence(df: DataFrame, features: list[str], steps: int = 4, epochs: int
     threshold = exact_quantiles(errors, "e", {"t": quantile}).first()["t"]
     rows.unpersist()
 
-    def score(frame: DataFrame, output: str = "sequence_anomaly_score") -> DataFrame:
-        held = nets.score_net(frame.withColumn("_x", F.flatten("sequence_window")), net, flat)
-        return held.withColumn(output, F.col("_net")[0]).drop("_net", "_x")
+    return {"parameters": flat, "steps": steps, "features": len(features), "mean": stats["m"], "std": stats["s"],
+            "threshold": threshold}
+
 
-    return {"score": score, "mean": stats["m"], "std": stats["s"], "threshold": threshold}
+def score_sequence(frame: DataFrame, model: dict, output: str = "sequence_anomaly_score") -> DataFrame:
+    net = nets.sequence(model["steps"], model["features"])
+    held = nets.score_net(frame.withColumn("_x", F.flatten("sequence_window")), net, model["parameters"])
+    return held.withColumn(output, F.col("_net")[0]).drop("_net", "_x")

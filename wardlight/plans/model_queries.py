@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardlight.operators import fusion
-from wardlight.operators.detectors import fit_detector, fit_sequence
+from wardlight.operators.detectors import fit_detector, fit_sequence, score_sequence
 from wardlight.operators.history import sequence_windows
 from wardlight.operators.monitor import fit_monitor, score_batch
 from wardlight.operators.ordered import PatientOrder
@@ -89,7 +89,7 @@ def sequence_errors(spark, d):
     df = order.done().withColumn("sequence_window", F.transform(
         "sequence_window", lambda v: F.array(v[0] / 100.0, v[1] / 100.0)))
     model = fit_sequence(df, ["value", "k"], epochs=8)
-    out = model["score"](df).withColumn("blended", fusion.blend_sequence(
+    out = score_sequence(df, model).withColumn("blended", fusion.blend_sequence(
         F.lit(0.5), F.col("sequence_anomaly_score"), model["mean"], model["std"]))
     return rounded(out.select("row_id", "sequence_anomaly_score", "blended"))
 
