@@ -124,7 +124,7 @@ def evaluate_scores(df: DataFrame, columns: list[str] | None = None, label: str
         F.sum(F.when(hit, pos).otherwise(0)).alias("tp"),
         F.sum(F.when(hit, neg).otherwise(0)).alias("fp"),
         F.sum(pos * (neg_below + neg * 0.5)).alias("_u"),
-        F.sum(pos / p * tp_at / taken_at).alias("_ap"),
+        F.sum(pos / F.when(p > 0, p) * tp_at / taken_at).alias("_ap"),
     ]
     for name, prob in QUARTILES.items():
         low, high = quantile_parts(prob, "score", size)

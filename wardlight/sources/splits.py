@@ -83,9 +83,9 @@ def load_lab_reports(spark: SparkSession, path: str) -> DataFrame:
     if fields:
         renamed = raw.withColumnsRenamed({c: f for c, f in fields.items() if c != f})
         return clean_frame(renamed, list(set(fields.values())))
-    # No header row: keys and values sit in the first two cells of each line,
-    # and the last value given for a field wins.
-    pairs = (spark.read.option("header", False).csv(path)
+    # Keys and values sit in the first two cells of each line, and the last value
+    # given for a field wins. Multi-line mode keeps a report in one task, in order.
+    pairs = (spark.read.option("header", False).option("multiLine", True).csv(path)
              .select(F.input_file_name().alias("report"), F.col("_c0").alias("key"), F.col("_c1").alias("value"),
                      F.monotonically_increasing_id().alias("_line")))
     return pivot_fields(resolve_fields(pairs), ["report"], order="_line")
