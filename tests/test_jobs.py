@@ -58,12 +58,13 @@ def test_save_and_load(spark, data, model, tmp_path):
 
 
 def test_split_training_and_retraining(spark, data):
-    parts = dict(zip(("train", "validation", "test"), data.randomSplit([0.6, 0.2, 0.2], 1)))
-    fitted, metrics = train_from_splits(parts, "label", SMALL, sequence=False)
+    quick = Settings(**{**SMALL.__dict__, "detectors": ("pca_reconstruction",), "fusion_weights": None})
+    parts = {n: f.persist() for n, f in zip(("train", "validation", "test"), data.randomSplit([0.6, 0.2, 0.2], 1))}
+    fitted, metrics = train_from_splits(parts, "label", quick, sequence=False)
     assert fitted.calibration_source == "validation_normal_only" and metrics["test_metrics"]["roc_auc"] > 0.5
     reviewed = data.limit(20).select("row_id", "patient_id", "recorded_at", "source_type", "value", "k",
                                      F.lit("tp").alias("feedback_label"))
-    again = retrain(data.drop("label"), normalize_feedback(reviewed), SMALL, sequence=False)
+    again = retrain(data.drop("label"), normalize_feedback(reviewed), quick, sequence=False)
     assert again.calibration_source == "train_normal_only"
 
 

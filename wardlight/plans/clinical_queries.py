@@ -9,6 +9,7 @@ from wardlight.functions.cleaning import (
 from wardlight.operators import labs
 from wardlight.operators.risk import clinical_risk, risk_actions
 from wardlight.plans.evaluation_queries import MODELS, SCORED, rounded, scored
+from wardlight.session import spread
 from wardlight.sources.standins import CONDITIONS, encounters, line_key, table
 
 KEY_SQL = ", ".join(line_key())
@@ -73,7 +74,7 @@ def reviewer_words(spark, d):
 
 
 def lab_text(spark, d):
-    out = labs.extract_fields(table(spark, d, "documents").select("doc_id", "text"))
+    out = labs.extract_fields(spread(table(spark, d, "documents").select("doc_id", "text")))
     return out.select("doc_id", *labs.ALIASES)
 
 
@@ -94,7 +95,7 @@ def lab_pivot(spark, d):
 
 
 def lab_reports(spark, d):
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem"))
     q, price, disc, tax = (F.col(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
     return li.select(
         *line_key(), F.when(F.col("l_linenumber") > 1, q + 20).alias("age"),

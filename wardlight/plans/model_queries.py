@@ -10,6 +10,7 @@ from wardlight.operators.history import sequence_windows
 from wardlight.operators.monitor import fit_monitor, score_batch
 from wardlight.operators.ordered import PatientOrder
 from wardlight.plans.evaluation_queries import MODELS, SCORED, rounded, scored
+from wardlight.session import spread
 from wardlight.sources.standins import table, visits
 
 DIMS = [f"x{i}" for i in range(64)]
@@ -30,7 +31,7 @@ def _detector(name, n=64, **options):
 
 
 def line_forest(spark, d):
-    li = table(spark, d, "lineitem").select(
+    li = spread(table(spark, d, "lineitem")).select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("row_id"),
         "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     fitted = fit_detector("isolation_forest", li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], trees=100)

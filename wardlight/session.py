@@ -22,6 +22,9 @@ def build_session(app: str = "wardlight", cpus: int | str = "*", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Generated methods above 8 kB are not compiled by the JVM; let wide rule
+        # expressions fall back to split projections instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .getOrCreate()
@@ -72,3 +75,12 @@ def collect_bounded(df: DataFrame, rows: int) -> list:
     if len(out) > rows:
         raise ValueError(f"expected at most {rows} rows on the driver")
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer splits than cores (one big unsplittable file).
+
+    At scale scans have far more splits than cores and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
