@@ -131,7 +131,7 @@ def composites(spark, d):
     out = labs.composite_features(lab_reports(spark, d))
     return rounded(out.select(*line_key(), "glycemic_pressure", "glucose_gap", "blood_pressure_strain",
                               "oxygen_reserve", "renal_burden", "electrolyte_drift", "hematology_stress",
-                              "liver_load", "body_size"), keep=("l_extendedprice",))
+                              "liver_load", "body_size"), keep=("l_extendedprice",), digits=9)
 
 
 def screening(spark, d):
@@ -153,7 +153,7 @@ def codes(spark, d):
 
 def model_consensus(spark, d):
     out = labs.consensus(scored(spark, d), MODELS)
-    return rounded(out.select("row_id", "consensus_score", "consensus_spread", "consensus_band"))
+    return rounded(out.select("row_id", "consensus_score", "consensus_spread", "consensus_band"), digits=9)
 
 
 def model_bands(spark, d):
@@ -289,7 +289,7 @@ DOMAIN_COLS = ", ".join(
 
 
 def _c01(e):
-    return f"round(least(greatest({e}, 0.0), 1.0), 6)"
+    return f"round(least(greatest({e}, 0.0), 1.0), 9)"
 
 
 def _dev(f, x=None):
@@ -391,7 +391,7 @@ SELECT c_custkey, CASE sex WHEN 'Female' THEN 1.0 WHEN 'Male' THEN 0.82 ELSE 0.5
 WITH {SCORED},
 t AS (SELECT row_id, list_sort([least(greatest(isolation_forest_anomaly_score, 0), 1), least(greatest(autoencoder_anomaly_score, 0), 1),
       least(greatest(deep_svdd_anomaly_score, 0), 1), least(greatest(anomaly_score, 0), 1)], 'DESC') AS s FROM scored)
-SELECT row_id, round((s[1] + s[2] + s[3] + s[4]) / 4, 6) AS consensus_score, round(s[1] - s[4], 6) AS consensus_spread,
+SELECT row_id, round((s[1] + s[2] + s[3] + s[4]) / 4, 9) AS consensus_score, round(s[1] - s[4], 9) AS consensus_spread,
   CASE WHEN s[2] >= 0.7 THEN 'High' WHEN len(list_filter(s, lambda x: x >= 0.4 AND x < 0.7)) >= 2 THEN 'Medium' ELSE 'Low' END
   AS consensus_band FROM t""",
     "d24_band_averages": f"""
