@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.operators.ordered import PatientOrder
+from wardlight.session import collect_bounded
+
+# Every test name becomes a column; more than this is an error, never a cut.
+MAX_TESTS = 2_000
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_row: str,
@@ -41,7 +45,8 @@ def assemble(encounters: DataFrame, patients: DataFrame, vitals: DataFrame | Non
     if vitals is not None:
         out = out.join(vitals, "encounter_id", "left")
     if lab_results is not None:
-        names = lab_names or sorted(r[0] for r in lab_results.select("test_name").distinct().limit(1000).collect())
+        names = lab_names or sorted(
+            r[0] for r in collect_bounded(lab_results.select("test_name").distinct(), MAX_TESTS) if r[0] is not None)
         wide = lab_results.groupBy("encounter_id").pivot("test_name", names).agg(F.max("result_value"))
         out = out.join(wide, "encounter_id", "left")
     for table, name in ((comorbidities, "comorbidities"), (medications, "current_medications")):

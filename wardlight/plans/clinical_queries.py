@@ -16,7 +16,7 @@ KEY_SQL = ", ".join(line_key())
 
 
 def risk(spark, d):
-    df = encounters(spark, d).withColumn("anomaly_score", F.sqrt("bun_mg_dl") / 8.0)
+    df = encounters(spark, d).withColumn("anomaly_score", F.ln("glucose_fasting_mg_dl") / 7.0)
     out = clinical_risk(df)
     return out.select(
         *line_key(), "risk_score_normalized", "risk_category", "alert_triggered",
@@ -317,7 +317,7 @@ SELECT {KEY_SQL}, failed, CASE WHEN failed = '' THEN 'ok' ELSE 'suspect' END AS
     "b17_bmi": """
 SELECT p_partkey, round((p_retailprice / 20.0) / ((p_size * 4.0 / 100.0) * (p_size * 4.0 / 100.0)), 6) AS bmi_kg_m2 FROM part""",
     "r1_r6_clinical_risk": f"""
-WITH {ENC}, {risk_sql("sqrt(bun) / 8.0")}
+WITH {ENC}, {risk_sql("ln(fast) / 7.0")}
 SELECT {KEY_SQL}, round(final, 4) AS risk_score_normalized, {CAT} AS risk_category,
        {CAT} = 'High' AS alert_triggered, crit > 0 AS critical_override_triggered, crit AS critical_reasons,
        n AS comorbidity_count, hi AS high_risk_comorbidity_count, mo AS moderate_comorbidity_count,

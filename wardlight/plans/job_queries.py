@@ -81,6 +81,24 @@ def payloads(spark, d):
     return rounded(explain.parse_explanations(li, "blob").select("row_id", "feature", "shap_value", "absolute_shap_value", "method", "rank"))
 
 
+def _coordinate_attributions(spark, d):
+    """Embedding coordinates read as signed contributions of six features."""
+    df = vectors(spark, d, 6)
+    return df, df.unpivot(["row_id"], DIMS[:6], "feature", "attribution")
+
+
+def local_interactions(spark, d):
+    _, long = _coordinate_attributions(spark, d)
+    return rounded(explain.local_interactions(explain.top_attributions(long, 4), 4), digits=9)
+
+
+def top_alerts(spark, d):
+    df, long = _coordinate_attributions(spark, d)
+    scored = df.select("row_id", F.greatest(*[F.abs(c) for c in DIMS[:6]]).alias("anomaly_score"))
+    out = explain.top_alerts(scored, explain.top_attributions(long, 6), alerts=10, features=3)
+    return rounded(out.select("row_id", "anomaly_score", "feature", "attribution", "rank"), digits=9)
+
+
 def collective_groups(spark, d):
     df = vectors(spark, d, 8)
     out = score_collective(df, {"first:a|b": DIMS[:3], "second:c": DIMS[3:8]})
@@ -97,6 +115,8 @@ QUERIES = {
     "x4_residual_table": residuals,
     "x5_latent_projection": latent_map,
     "x6_parsed_payloads": payloads,
+    "x7_local_interactions": local_interactions,
+    "t3_top_alerts": top_alerts,
 }
 
 _ABL = f"""
@@ -108,7 +128,20 @@ _DEV = ", ".join(f"embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE)
 _PAIRS = " UNION ALL ".join(
     f"SELECT vec_id, 'x{i}' AS feature_i, 'x{j}' AS feature_j, x{i} * x{j} / (p * p) AS v FROM d"
     for i in range(6) for j in range(i + 1, 6))
+_RANKED = """
+WITH e AS (SELECT vec_id, """ + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(6)) + """ FROM embeddings),
+long AS (UNPIVOT e ON x0, x1, x2, x3, x4, x5 INTO NAME feature VALUE v),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, feature) AS rank FROM long)"""
 ORACLE = {
+    "x7_local_interactions": f"""{_RANKED}, k AS (SELECT * FROM r WHERE rank <= 4)
+SELECT a.vec_id AS row_id, a.feature AS feature_i, b.feature AS feature_j,
+       round((CASE WHEN (a.v < 0) = (b.v < 0) THEN 1.0 ELSE -1.0 END) * sqrt(abs(a.v) * abs(b.v))
+             * (0.35 + (1.0 - (b.rank - a.rank) / 3.0) * 0.55), 9) AS interaction_value
+FROM k a JOIN k b ON a.vec_id = b.vec_id AND a.rank < b.rank""",
+    "t3_top_alerts": f"""{_RANKED},
+s AS (SELECT vec_id, max(abs(v)) AS score FROM long GROUP BY vec_id ORDER BY score DESC, vec_id LIMIT 10)
+SELECT s.vec_id AS row_id, round(score, 9) AS anomaly_score, feature, round(v, 9) AS attribution, rank
+FROM s JOIN r USING (vec_id) WHERE rank <= 3""",
     "x1_ablation": f"{_ABL} SELECT row_id, feature, round(attribution, 6) AS attribution FROM a",
     "x2_top_attribution": f"""{_ABL}
 SELECT row_id, feature, round(attribution, 6) AS attribution, 1 AS rank FROM a
