@@ -76,14 +76,13 @@ def fit_monitor(df: DataFrame, features: list[str], row: str = ROW, size: int =
 
 def batch_sums(df: DataFrame, monitor: Monitor) -> tuple[np.ndarray, int]:
     """Feature sums over the whole batch: one small vector per task, added by Spark."""
-    shared = df.sparkSession.sparkContext.broadcast(monitor)
+    names, gamma, seed = monitor.features, monitor.gamma, monitor.seed
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
         total, n = np.zeros(2 * WIDTH), 0
         for pdf in batches:
             if len(pdf):
-                total += m.project(pdf[m.features].to_numpy(dtype=float)).sum(0)
+                total += fourier(pdf[names].to_numpy(dtype=float), gamma, seed).sum(0)
                 n += len(pdf)
         yield pd.DataFrame({"i": np.arange(2 * WIDTH + 1), "v": np.append(total, n)})
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import wardlight
+
 # Rows a side may hold before it is shuffled instead of broadcast. Callers pass
 # narrow tables (a few doubles per row), so this stays far below Spark's 8 GB cap.
 BROADCAST_ROWS = 200_000
@@ -30,9 +33,20 @@ def build_session(app: str = "wardlight", cpus: int | str = "*", memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package()
     return spark
 
 
+def ship_package() -> None:
+    """Let Spark send this package's functions to the Python workers by value.
+
+    Not needed where the package is installed on the workers or named in
+    ``--py-files``; the state driver process of streaming queries gets no
+    archives, so shipping by value is the way that always works.
+    """
+    cloudpickle.register_pickle_by_value(wardlight)
+
+
 def setting(spark: SparkSession, key: str) -> str | None:
     value = spark.conf.get(key, None)
     return value if value else spark.sparkContext.getConf().get(key, None)
