@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import apportion, licenses, quotes
+from wardlight.llm import apportion, langid, licenses, nbsvm, quotes, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.screen(table(spark, sf_dir, "documents"))
+
+
+def op4_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -19,11 +27,52 @@ def op7_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apportion.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op6_license_rules, op7_sainte_lague, op10_quotation_linking)}
+QUERIES = {f.__name__: f for f in (
+    op3_rule_ledger, op4_nb_svm, op6_license_rules, op7_sainte_lague, op8_rank_order_profiles, op10_quotation_linking)}
+
+LEDGER_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+at AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+near AS (
+  SELECT id, i, word, lag(word) OVER o AS before, lead(word) OVER o AS next1, lead(word, 2) OVER o AS next2
+  FROM at WINDOW o AS (PARTITION BY id ORDER BY i)),
+windows AS (
+  SELECT id, i, count(*) OVER (PARTITION BY id, word, next1, next2) AS n FROM near WHERE next2 IS NOT NULL),
+covered AS (SELECT DISTINCT id, i + k AS i FROM windows, (VALUES (0), (1), (2)) AS s(k) WHERE n > 1),
+repeated AS (SELECT id, count(*) AS n FROM covered GROUP BY id),
+stutter AS (SELECT id, count(*) AS n FROM near WHERE word = before GROUP BY id),
+lines AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d),
+dups AS (
+  SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+m AS (
+  SELECT w.doc_id, len(words)::bigint AS n_words,
+         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::bigint AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols,
+         coalesce(dups.n_dup, 0)::bigint AS n_dup_lines, coalesce(repeated.n, 0)::bigint AS n_repeat_words,
+         coalesce(dups.n_lines, 0)::bigint AS n_lines, coalesce(stutter.n, 0)::bigint AS n_same_as_before,
+         length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint AS n_upper,
+         length(regexp_replace(t, '[^a-z]', '', 'g'))::bigint AS n_lower,
+         length(regexp_replace(t, '[^!]', '', 'g'))::bigint AS n_marks
+  FROM w LEFT JOIN repeated USING (id) LEFT JOIN stutter USING (id) LEFT JOIN dups USING (id)),
+f AS (
+  SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 2 * n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 60 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN 100 * n_same_as_before > 30 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN 100 * n_upper > 50 * (n_upper + n_lower) THEN 32 ELSE 0 END
+    + CASE WHEN 100 * n_marks > 50 * n_words THEN 64 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 128 ELSE 0 END)::bigint AS failed FROM m)
+SELECT *, failed = 0 AS kept, failed & 3 <> 0 AS base_failed FROM f
+"""
 
 QUOTES_SQL = r"""
 WITH RECURSIVE firsts AS (
@@ -77,4 +126,4 @@ LEFT JOIN tops t ON t.conv_id = m.conv_id AND t.turn = m.turn
 LEFT JOIN joined j ON j.conv_id = m.conv_id AND j.turn = m.turn
 """
 
-ORACLE: dict[str, str] = {"op10_quotation_linking": QUOTES_SQL}
+ORACLE: dict[str, str] = {"op3_rule_ledger": LEDGER_SQL, "op10_quotation_linking": QUOTES_SQL}
