@@ -41,13 +41,13 @@ QUERIES = {f.__name__: f for f in (
 LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT id, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
-at AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+words AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
 near AS (
   SELECT id, i, word, lag(word) OVER o AS before, lead(word) OVER o AS next1, lead(word, 2) OVER o AS next2
-  FROM at WINDOW o AS (PARTITION BY id ORDER BY i)),
-windows AS (
+  FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+triples AS (
   SELECT id, i, count(*) OVER (PARTITION BY id, word, next1, next2) AS n FROM near WHERE next2 IS NOT NULL),
-covered AS (SELECT DISTINCT id, i + k AS i FROM windows, (VALUES (0), (1), (2)) AS s(k) WHERE n > 1),
+covered AS (SELECT DISTINCT id, i + k AS i FROM triples, (VALUES (0), (1), (2)) AS s(k) WHERE n > 1),
 repeated AS (SELECT id, count(*) AS n FROM covered GROUP BY id),
 stutter AS (SELECT id, count(*) AS n FROM near WHERE word = before GROUP BY id),
 lines AS (SELECT id, unnest(string_split(t, chr(10))) AS line FROM d),
