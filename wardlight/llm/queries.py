@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import apportion, langid, licenses, nbsvm, quotes, rules
+from wardlight.llm import apportion, langid, licenses, nbsvm, packing, quotes, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -36,7 +40,7 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_rule_ledger, op4_nb_svm, op6_license_rules, op7_sainte_lague, op8_rank_order_profiles, op10_quotation_linking)}
+    op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague, op8_rank_order_profiles, op10_quotation_linking)}
 
 LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
