@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import apportion, langid, licenses, nbsvm, packing, quotes, rules
+from wardlight.llm import apportion, langid, licenses, nbsvm, packing, quotes, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.screen(table(spark, sf_dir, "documents"))
 
@@ -40,7 +44,8 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague, op8_rank_order_profiles, op10_quotation_linking)}
+    op2_simhash, op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague,
+    op8_rank_order_profiles, op10_quotation_linking)}
 
 LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
