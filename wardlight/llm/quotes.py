@@ -72,20 +72,21 @@ def reply_tree(rows: DataFrame) -> DataFrame:
     parents = (found.where("level = 1").groupBy("conv_id", "turn")
                .agg(F.max(F.struct("words", "original")).alias("best"))
                .select("conv_id", "turn", F.col("best.original").alias("parent_turn")))
-    tree = handed_over(
-        parents.select("*", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth")), "replies")
+    tree = handed_over(parents.select("*", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("depth"),
+                                      F.lit(True).alias("rising")), "replies")
     while True:
         up = tree.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("_root"),
                          F.col("depth").alias("_depth"))
-        moved = tree.join(up, ["conv_id", "root_turn"], "left").select(
+        # a message whose top has no parent has arrived; only the others go on
+        raised = tree.where("rising").join(up, ["conv_id", "root_turn"], "left").select(
             "conv_id", "turn", "parent_turn", F.coalesce("_root", "root_turn").alias("root_turn"),
             (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            F.col("_root").isNotNull().alias("moved"))
-        after = handed_over(moved, "replies")
+            F.col("_root").isNotNull().alias("rising"))
+        after = handed_over(tree.where("not rising").unionByName(raised), "replies")
         release(tree.sparkSession, tree)
-        tree = after.drop("moved")
-        if after.where("moved").limit(1).count() == 0:
-            return tree
+        tree = after
+        if tree.where("rising").limit(1).count() == 0:
+            return tree.drop("rising")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
