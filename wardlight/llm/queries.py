@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import apportion, langid, licenses, nbsvm, packing, quotes, rules, simhash
+from wardlight.llm import apportion, jaccard, langid, licenses, nbsvm, packing, quotes, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,13 +39,17 @@ def op8_rank_order_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {f.__name__: f for f in (
     op2_simhash, op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague,
-    op8_rank_order_profiles, op10_quotation_linking)}
+    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking)}
 
 LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
@@ -135,4 +139,26 @@ LEFT JOIN tops t ON t.conv_id = m.conv_id AND t.turn = m.turn
 LEFT JOIN joined j ON j.conv_id = m.conv_id AND j.turn = m.turn
 """
 
-ORACLE: dict[str, str] = {"op3_rule_ledger": LEDGER_SQL, "op10_quotation_linking": QUOTES_SQL}
+COMPONENTS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT id, doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct(list_transform(generate_series(1, len(w) - 2),
+    i -> array_to_string(w[i:i + 2], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM d),
+one AS (SELECT min(id) AS node, min(doc_id) AS doc_id, grams, len(grams) AS n FROM s WHERE len(grams) > 0 GROUP BY grams),
+flat AS (SELECT node, unnest(grams) AS gram FROM one),
+overlaps AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM flat a JOIN flat b ON a.gram = b.gram AND a.node < b.node
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM overlaps o JOIN one x ON x.node = a JOIN one y ON y.node = b
+  WHERE 100 * o.n >= 90 * (x.n + y.n - o.n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT node AS a, node AS b FROM one UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+classes AS (SELECT r.a AS node, min(o.doc_id) AS component_id FROM reach r JOIN one o ON o.node = r.b GROUP BY r.a)
+SELECT s.doc_id, len(s.grams)::bigint AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN one ON one.grams = s.grams LEFT JOIN classes c ON c.node = one.node
+"""
+
+ORACLE: dict[str, str] = {"op3_rule_ledger": LEDGER_SQL, "op9_prefix_tree_join": COMPONENTS_SQL,
+                          "op10_quotation_linking": QUOTES_SQL}
