@@ -148,10 +148,10 @@ s AS (
     i -> array_to_string(w[i:i + 2], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM d),
 one AS (SELECT min(id) AS node, min(doc_id) AS doc_id, grams, len(grams) AS n FROM s WHERE len(grams) > 0 GROUP BY grams),
 flat AS (SELECT node, unnest(grams) AS gram FROM one),
-overlaps AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM flat a JOIN flat b ON a.gram = b.gram AND a.node < b.node
+shared AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM flat a JOIN flat b ON a.gram = b.gram AND a.node < b.node
   GROUP BY ALL),
 links AS (
-  SELECT a, b FROM overlaps o JOIN one x ON x.node = a JOIN one y ON y.node = b
+  SELECT a, b FROM shared o JOIN one x ON x.node = a JOIN one y ON y.node = b
   WHERE 100 * o.n >= 90 * (x.n + y.n - o.n)),
 edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS (SELECT node AS a, node AS b FROM one UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
