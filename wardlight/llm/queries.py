@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import apportion, jaccard, langid, licenses, nbsvm, packing, quotes, rules, simhash
+from wardlight.llm import apportion, jaccard, langid, licenses, mixing, nbsvm, packing, quotes, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague,
+    op1_context_mixing, op2_simhash, op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague,
     op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking)}
 
 LEDGER_SQL = r"""
@@ -145,7 +149,7 @@ WITH RECURSIVE d AS (
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT id, doc_id, CASE WHEN len(w) >= 3 THEN list_sort(list_distinct(list_transform(generate_series(1, len(w) - 2),
-    i -> array_to_string(w[i:i + 2], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM d),
+    lambda i: array_to_string(w[i:i + 2], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS grams FROM d),
 one AS (SELECT min(id) AS node, min(doc_id) AS doc_id, grams, len(grams) AS n FROM s WHERE len(grams) > 0 GROUP BY grams),
 flat AS (SELECT node, unnest(grams) AS gram FROM one),
 shared AS (SELECT a.node AS a, b.node AS b, count(*) AS n FROM flat a JOIN flat b ON a.gram = b.gram AND a.node < b.node

@@ -167,7 +167,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         for j in range(8):
             part |= np.where(left > j, padded[at + j], 0).astype(np.uint64) << np.uint64(8 * j)
         with np.errstate(over="ignore"):
-            out[live] = mix64((out[live] ^ part) * np.uint64(0x9E3779B97F4A7C15) + part)
+            out[live] = mix64(out[live] * np.uint64(0x9E3779B97F4A7C15) ^ part)
         step += 8
         live = live[left > 8]
     return out
