@@ -17,10 +17,12 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ BITS = 18
 BYTE_GRAMS, SHAPE_GRAMS = (1, 2, 3, 4), (1, 2, 3)
 SAMPLE_ROWS = 8_000
 THRESHOLD = 0.3
+#: Counts travel as compressed ranges of places; so many tasks' ranges are summed in one group at first.
+RANGES, FAN = 16, 256
 SMOOTHING, PENALTY, EPOCHS, INTERPOLATION = 1.0, 1.0, 30, 0.5
 
 
@@ -116,8 +120,14 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, distinct = np.zeros((2, 1 << BITS), np.int64), _Distinct()
         seen = np.zeros(2, np.int64)
-        schema = pa.schema([("place", pa.int32()), ("n0", pa.int64()), ("n1", pa.int64()), ("label", pa.int32()),
+        schema = pa.schema([("task", pa.int32()), ("range", pa.int32()), ("counts", pa.binary()), ("label", pa.int32()),
                             ("held", pa.bool_()), ("places", pa.binary())])
+        task = TaskContext.get().partitionId()
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for part in slices(batches):
             label = part.column("label").to_numpy(zero_copy_only=False)
             drawn, held = part.column("drawn").to_pylist(), part.column("held").to_pylist()
@@ -127,20 +137,32 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Data
                 counts[label[i], places] += 1
                 seen[label[i]] += 1
                 if drawn[i]:
-                    out.append((None, None, None, int(label[i]), held[i], places.astype(np.int32).tobytes()))
+                    out.append((task, None, None, int(label[i]), held[i], places.astype(np.int32).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-        used = np.flatnonzero(counts.sum(axis=0))
-        n = len(used)
+                yield batch(out)
         if seen.sum():
-            places = np.append(used, -1).astype(np.int32)  # place -1: rows of each class
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(places), pa.array(np.append(counts[0, used], seen[0])),
-                 pa.array(np.append(counts[1, used], seen[1])), pa.nulls(n + 1, pa.int32()),
-                 pa.nulls(n + 1, pa.bool_()), pa.nulls(n + 1, pa.binary())], schema=schema)
+            yield batch([(task, -1, zlib.compress(seen.tobytes(), 1), None, None, None)] + [
+                (task, r, zlib.compress(np.ascontiguousarray(part).tobytes(), 1), None, None, None)
+                for r, part in enumerate(np.split(counts, RANGES, axis=1))])
+
+    return rows.mapInArrow(run, "task int, range int, counts binary, label int, held boolean, places binary")
+
+
+def _class_counts(rows: DataFrame) -> DataFrame:
+    """(place, n0, n1): rows of each class that have the place; place -1 counts the rows themselves."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64).reshape(2, -1) for x in table.column("counts").to_pylist())
+        at = np.flatnonzero(total.sum(axis=0))
+        place = at + table.column("range")[0].as_py() * ((1 << BITS) // RANGES)
+        if table.column("range")[0].as_py() < 0:
+            at, place = np.zeros(1, np.int64), np.full(1, -1)
+        return pa.table({"place": pa.array(place.astype(np.int32)), "n0": pa.array(total[0, at]),
+                         "n1": pa.array(total[1, at])})
 
-    return rows.mapInArrow(run, "place int, n0 long, n1 long, label int, held boolean, places binary")
+    return (rows.where("counts is not null").select("range", F.floor(F.col("task") / FAN).alias("group"), "counts")
+            .groupBy("range", "group").applyInArrow(add, "place int, n0 long, n1 long")
+            .groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
 def _descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, size: int) -> np.ndarray:
@@ -188,8 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     rows = handed_over(_training_rows(docs, labels, sample_rows), "nbsvm")
     n0, n1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
     totals = [0, 0]
-    for place, a, b in rows.where("place is not null").groupBy("place").agg(
-            F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow().to_pandas().itertuples(index=False):
+    for place, a, b in _class_counts(rows).toArrow().to_pandas().itertuples(index=False):
         if place < 0:
             totals = [int(a), int(b)]
         else:
