@@ -38,7 +38,11 @@ OPEN = 64
 FAN = 64
 END = 0
 #: Pieces whose ids a task keeps between slices; beyond it the store starts anew.
-STORE = 1_000_000
+STORE = 250_000
+#: Pieces encoded at once.
+ENCODED_AT_ONCE = 4096
+#: Bytes of text per slice.
+SLICE = 2 << 20
 #: A leftover window with no more room than this is not merged again.
 NEARLY_FULL = 8
 #: UTF-8 of the white space that the tokenizer's pattern knows beyond ASCII.
@@ -65,11 +69,12 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.store: dict[bytes, list[int]] = {}
+        self.store: dict[bytes, bytes] = {}  # ids as 32-bit numbers
 
-    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [e.ids for e in found]
+    def _encode(self, pieces: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces],
+                                                 add_special_tokens=False)
+        return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
         data, bounds = raw(column)
@@ -84,25 +89,26 @@ class PieceEncoder:
         if len(self.store) > STORE:
             self.store.clear()
         new = [p for p in distinct if p not in self.store]
-        for k in range(0, len(new), 50_000):
-            self.store.update(zip(new[k:k + 50_000], self._encode(new[k:k + 50_000]), strict=True))
+        for k in range(0, len(new), ENCODED_AT_ONCE):
+            part = new[k:k + ENCODED_AT_ONCE]
+            self.store.update(zip(part, self._encode(part), strict=True))
         ids = [self.store[p] for p in distinct]
-        sizes = np.array([len(x) for x in ids] or [0], np.int64)
-        flat = np.concatenate([np.zeros(0, np.int64), *(np.fromiter((i for x in ids[k:k + 4096] for i in x), np.int64)
-                                                        for k in range(0, len(ids), 4096))])
+        sizes = np.array([len(x) for x in ids] or [0], np.int64) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         first = np.cumsum(sizes) - sizes
         codes = pieces.indices.to_numpy(zero_copy_only=False)
         row = np.searchsorted(cuts, bounds)
         for i in range(len(bounds) - 1):
             if whole[i]:
-                yield np.array(self._encode([data[bounds[i]:bounds[i + 1]].tobytes()])[0] + [END], np.int64)
+                found = self._encode([data[bounds[i]:bounds[i + 1]].tobytes()])[0]
+                yield np.append(np.frombuffer(found, np.uint32), np.uint32(END))
                 continue
             mine = codes[row[i]:row[i + 1]]
             size = sizes[mine]
             ends = np.cumsum(size)
             total = int(ends[-1]) if len(ends) else 0
             at = np.repeat(first[mine] - (ends - size), size) + np.arange(total)
-            yield np.append(flat[at], END)
+            yield np.append(flat[at], np.uint32(END))
 
 
 def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -191,7 +197,7 @@ def _pack_partition(path: str, open_windows: int, length: int) -> Callable:
             made += 1
 
         windows = Windows(open_windows, emit, length)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             docs = batch.column("doc_id").to_pylist()
             for doc_id, ids in zip(docs, encode(batch.column("text")), strict=True):
                 exact = ids.astype("<u4")
