@@ -35,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlight.llm.textio import handed_over, lowered, mix64, raw, release, slices, text_of, word_edges, word_hashes
 
@@ -386,14 +387,50 @@ def links(docs: DataFrame, rows: DataFrame, n: int = WORDS, percent: int = PERCE
     return handed_over(near.union(_large_cluster_links(members.where(~small), percent)), "links")
 
 
+def labels(docs: DataFrame, rows: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(node, doc_id, label) of every node with n-grams: its smallest document and the class it is in."""
+    found = components(links(docs, rows, n, percent))
+    nodes = rows.where("n_grams > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return nodes.join(found, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
+
+
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
     rows = handed_over(signatures(docs, n, percent), "signatures")
-    found = components(links(docs, rows, n, percent))
-    nodes = rows.where("n_grams > 0").groupBy("node").agg(F.min("doc_id").alias("own"))
-    labelled = nodes.join(found, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("own").alias("component_id"))
+    labelled = labels(docs, rows, n, percent)
+    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(smallest, "label").select("node", "component_id")
     return rows.select("doc_id", "n_grams", "node").join(named, "node", "left").select(
         "doc_id", F.col("n_grams").alias("n_shingles"),
         F.when(F.col("n_grams") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one document of each class: that of the smallest id.
+
+    Rows with an empty set are in no class and stay; of equal rows one stays.
+    """
+    rows = handed_over(signatures(docs, n, percent), "signatures")
+    labelled = labels(docs, rows, n, percent)
+    kept = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
+                                         .alias("k")).select(F.col("k.node").alias("kept_node"),
+                                                             F.col("k.doc_id").alias("kept_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [(set_key(grams), len(grams)) for grams in gram_sets(part.column("text"), n)]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array([k for k, _ in sets], pa.int64()), pa.array([s for _, s in sets], pa.int64())],
+                names=[*part.schema.names, *own])
+
+    own = ["_node", "_grams"]
+    while set(own) & set(docs.columns):
+        own = [f"_{c}" for c in own]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in own)])
+    known = docs.mapInArrow(run, schema)
+    node, grams = (F.col(c) for c in own)
+    first = F.row_number().over(Window.partitionBy("doc_id", own[0]).orderBy(F.lit(0)))
+    chosen = (known.where(grams > 0)
+              .join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (node == F.col("kept_node")),
+                    "left_semi").withColumn(own[1], first).where(grams == 1))
+    return chosen.select(*docs.columns).unionByName(known.where(grams == 0).select(*docs.columns))

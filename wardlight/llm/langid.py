@@ -29,6 +29,8 @@ from wardlight.llm.textio import key_remainder, raw, slices, text_of
 ORDERS = 3
 PROFILE = 300
 UNKNOWN = "und"
+#: Below it a text is like none of the languages learned.
+LEAST_SCORE = 0.3
 
 
 def gram_arrays(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -140,23 +142,41 @@ class _Places:
         return self.langs[best], 1 - float(off[best]) / (self.profile * len(mine))
 
 
+def nearest_languages(column: pa.Array, places: _Places) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a slice."""
+    grams, bounds, has = gram_arrays(column)
+    found = [places.nearest(_row_grams(grams, bounds[i], bounds[i + 1])) if has[i] and places.langs
+             else (UNKNOWN, 0.0) for i in range(len(column))]
+    return [x[0] for x in found], np.array([x[1] for x in found], np.float64)
+
+
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], profile: int = PROFILE) -> DataFrame:
     """doc_id, lang_pred, score for every whole text, one Arrow pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places(profiles, profile)
         for part in slices(batches):
-            grams, bounds, has = gram_arrays(part.column("text"))
-            found = [places.nearest(_row_grams(grams, bounds[i], bounds[i + 1])) if has[i] and places.langs
-                     else (UNKNOWN, 0.0) for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([x[0] for x in found], pa.string()),
-                 pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            langs, score = nearest_languages(part.column("text"), places)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score)],
+                                             names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
         run, "doc_id long, lang_pred string, score double")
 
 
+def readable_documents(docs: DataFrame, profiles: dict[str, np.ndarray], least: float = LEAST_SCORE,
+                       profile: int = PROFILE) -> DataFrame:
+    """The rows of ``docs``, all columns, that are in a language learned."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = _Places(profiles, profile)
+        for part in slices(batches):
+            langs, score = nearest_languages(part.column("text"), places)
+            yield part.filter(pa.array((np.array(langs, object) != UNKNOWN) & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict_languages(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     """Learn from the training rows and predict all: doc_id, held_out, lang_pred, score."""
     profiles = learn(docs.where(key_remainder("doc_id", 4) != 2).select("text", "lang"), profile)

@@ -258,19 +258,25 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
             "slope": fitted[0]["slope"], "shift": fitted[0]["shift"]}
 
 
+def scores(column: pa.Array, model: dict, distinct: _Distinct) -> np.ndarray:
+    """The probability of label 1 for each text of a slice."""
+    out = np.full(len(column), model["prior"])
+    if "weights" in model:
+        for i, places in enumerate(features(column)):
+            at = distinct(places)
+            value = model["ratio"][at]
+            margin = float(model["weights"][at].sum()) / max(float(np.sqrt(value @ value)), 1e-9) + model["bias"]
+            out[i] = 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["shift"], -30, 30)))
+    return out
+
+
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted for every whole text, one Arrow pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct = _Distinct()
         for part in slices(batches):
-            out = np.full(part.num_rows, model["prior"])
-            if "weights" in model:
-                for i, places in enumerate(features(part.column("text"))):
-                    at = distinct(places)
-                    value = model["ratio"][at]
-                    margin = float(model["weights"][at].sum()) / max(float(np.sqrt(value @ value)), 1e-9) + model["bias"]
-                    out[i] = 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["shift"], -30, 30)))
+            out = scores(part.column("text"), model, distinct)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(out), pa.array((out >= threshold).astype(np.int32))],
                 names=["doc_id", "score", "predicted"])
@@ -279,6 +285,17 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
         run, "doc_id long, score double, predicted int")
 
 
+def good_documents(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that the model does not reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = _Distinct()
+        for part in slices(batches):
+            yield part.filter(pa.array(scores(part.column("text"), model, distinct) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Fit on the training rows and score all: doc_id, held_out, score, predicted."""
     out = score(docs, fit(docs, labels, sample_rows))

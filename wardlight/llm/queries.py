@@ -51,9 +51,15 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # it stands at the top and imports this subpackage
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_simhash, op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague,
-    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking)}
+    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking, pipeline)}
 
 LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
