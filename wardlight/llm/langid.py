@@ -59,13 +59,11 @@ def gram_arrays(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     keep = letters > 0
     has = np.add.reduceat(keep.astype(np.int64), bounds[:-1]) > 0 if len(bounds) > 1 else np.zeros(0, bool)
     keep[1:] |= letters[:-1] > 0
-    keep[bounds[:-1]] = True
+    keep[bounds] = True
     place = np.zeros(len(points) + 1, np.int64)
     np.cumsum(keep, out=place[1:])
     letters = np.maximum(letters[keep], 1)
     bounds = place[bounds]
-    if len(bounds) > 1:
-        bounds[-1] = len(letters)
     grams, gram = [letters], letters
     for n in range(1, ORDERS):
         gram = (gram[:-1] << np.uint64(21)) | letters[n:]
@@ -74,9 +72,10 @@ def gram_arrays(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndar
 
 
 def _row_grams(grams: list[np.ndarray], a: int, b: int) -> np.ndarray:
-    """A text's n-grams of all orders, without the lone blank."""
-    one = grams[0][a:b]
-    return np.concatenate([one[one > 1], *[g[a:max(a, b - n)] for n, g in enumerate(grams[1:], 1)]])
+    """A text's n-grams of all orders, without the lone blank; the blank before the next text closes the last word."""
+    end = b + 1 if grams[0][b - 1] > 1 else b
+    one = grams[0][a:end]
+    return np.concatenate([one[one > 1], *[g[a:max(a, end - n)] for n, g in enumerate(grams[1:], 1)]])
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,8 +4,9 @@ Each partition keeps ``OPEN`` windows of ``LENGTH`` tokens. A document is cut
 into full windows and one rest; the rest goes into the open window that it
 fills best; when none has room, a new window opens, and if all ``OPEN`` are
 in use the fullest is emitted first. Windows still open at the end of a
-partition are merged in groups of ``FAN`` partitions, level by level, so no
-task sees more than ``FAN * OPEN`` of them at once.
+partition are merged in groups of ``FAN`` partitions, level by level: their
+pieces are placed anew, longest first. No task sees more than a group's
+leftovers at once.
 
 Token ids come from a public tokenizer file. Texts are cut where its pattern
 always cuts (before a word with its blank, and around other white space), and
@@ -218,10 +219,7 @@ def _merge_group(level: int, last: bool, length: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
         group = rows[0]["part"] // FAN
-        items: dict[int, list] = {}
-        for r in rows:
-            items.setdefault(r["sequence_id"], []).append(
-                (r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+        items = [(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows]
         out: list[tuple] = []
         made = 0
 
@@ -230,9 +228,10 @@ def _merge_group(level: int, last: bool, length: int) -> Callable:
             made += 1
             return (level << 58) | (group << 32) | made
 
+        # all pieces are at hand, so the longest go first, best-fit over any number of windows
         windows = Windows(len(items), lambda x: out.extend(_rows(x, number(), group, False)), length)
-        for size, held in sorted(((sum(i[2] for i in x), x) for x in items.values()), key=lambda x: -x[0]):
-            windows.place(size, held)
+        for item in sorted(items, key=lambda i: -i[2]):
+            windows.place(item[2], [item])
         for size, held in windows.left():
             out.extend(_rows(held, number(), group, not last and length - size > NEARLY_FULL))
         return pa.Table.from_batches([_batch(out)])
