@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardlight.llm import apportion, jaccard, langid, nbsvm, packing
 from wardlight.llm.textio import handed_over, key_remainder
+from wardlight.session import ship_package
+
+ship_package()
 
 #: Near duplicates: shingles of five words, similarity 0.8 or more.
 WORDS, PERCENT = 5, 80
