@@ -24,6 +24,7 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,11 +40,11 @@ OPEN = 64
 FAN = 64
 END = 0
 #: Pieces whose ids a task keeps between slices; beyond it the store starts anew.
-STORE = 250_000
+STORE = 450_000
 #: Pieces encoded at once.
 ENCODED_AT_ONCE = 4096
-#: Bytes of text per slice.
-SLICE = 2 << 20
+#: Bytes of text per slice, and of the part in which cuts are looked for.
+SLICE, PART = 16 << 20, 1 << 20
 #: A leftover window with no more room than this is not merged again.
 NEARLY_FULL = 8
 #: UTF-8 of the white space that the tokenizer's pattern knows beyond ASCII.
@@ -75,11 +76,11 @@ class PieceEncoder:
     def _encode(self, pieces: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces],
                                                  add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
         data, bounds = raw(column)
-        cuts = piece_starts(data, bounds)
+        cuts = all_piece_starts(data, bounds)
         whole = np.zeros(len(bounds) - 1, bool)
         for match in WIDE_SPACE.finditer(data.tobytes()):
             whole[np.searchsorted(bounds, match.start(), side="right") - 1] = True
@@ -89,11 +90,13 @@ class PieceEncoder:
         distinct = pieces.dictionary.to_pylist()
         if len(self.store) > STORE:
             self.store.clear()
-        new = [p for p in distinct if p not in self.store]
+        ids = [*map(self.store.get, distinct)]
+        new = [i for i, x in enumerate(ids) if x is None]
         for k in range(0, len(new), ENCODED_AT_ONCE):
             part = new[k:k + ENCODED_AT_ONCE]
-            self.store.update(zip(part, self._encode(part), strict=True))
-        ids = [self.store[p] for p in distinct]
+            pieces_of = [distinct[i] for i in part]
+            for i, p, x in zip(part, pieces_of, self._encode(pieces_of), strict=True):
+                ids[i] = self.store[p] = x
         sizes = np.array([len(x) for x in ids] or [0], np.int64) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         first = np.cumsum(sizes) - sizes
@@ -112,6 +115,17 @@ class PieceEncoder:
             yield np.append(flat[at], np.uint32(END))
 
 
+def all_piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``piece_starts`` in parts of whole texts, so that its working arrays stay small."""
+    out, row, rows = [], 0, len(bounds) - 1
+    while row < rows:
+        upto = min(rows, max(row + 1, int(np.searchsorted(bounds, bounds[row] + PART, side="right")) - 1))
+        part = data[bounds[row]:bounds[upto]]
+        out.append(piece_starts(part, bounds[row:upto + 1] - bounds[row]) + bounds[row])
+        row = upto
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Where to cut: at text starts, before each word or the blank it takes along, and around the white space between.
 
