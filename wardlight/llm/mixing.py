@@ -41,9 +41,10 @@ from wardlight.llm.textio import (
     handed_over, key_remainder, lowered, mix64, raw, slices, text_of, width, word_edges, word_hashes)
 
 ORDER = 5
-CHUNK_BYTES = 14 << 20
+CHUNK_BYTES = 12 << 20
 #: Bytes of text whose grams are sorted at once.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
+MERGED_AT_ONCE = 5
 END_BYTE = 0xFF
 END_TOKEN = np.uint64(0x9E3779B97F4A7C15)
 PRIOR = 0.1
@@ -112,6 +113,19 @@ BLOCKS = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.i
 BLOCKS_DDL = "kind int, bucket int, chunk long, keys binary, counts binary"
 
 
+def _shrunk(values: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as bytes with their count in front; rising ones as differences."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return len(values).to_bytes(8, "little") + pa.Codec("zstd").compress(values.tobytes(), asbytes=True)
+
+
+def _grown(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    n, width_ = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    out = np.frombuffer(pa.Codec("zstd").decompress(data[8:], n * width_, asbytes=True), kind)
+    return np.cumsum(out, dtype=kind) if rising else out
+
+
 def _block(kind: int, bucket: int, chunk: int, keys: bytes, counts: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(
         (kind, bucket, chunk, keys, counts), BLOCKS.types, strict=True)], schema=BLOCKS)
@@ -124,8 +138,8 @@ def _in_buckets(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, buc
     at = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in range(buckets):
         if at[b] < at[b + 1]:
-            yield _block(kind, b, chunk, keys[at[b]:at[b + 1]].astype(np.uint64).tobytes(),
-                         counts[at[b]:at[b + 1]].astype(np.int64).tobytes())
+            yield _block(kind, b, chunk, _shrunk(keys[at[b]:at[b + 1]].astype(np.uint64), True),
+                         _shrunk(counts[at[b]:at[b + 1]].astype(np.int64)))
 
 
 def _chunk_sets(texts: pa.Array, train: np.ndarray) -> tuple[tuple, tuple]:
@@ -139,7 +153,13 @@ def _chunk_sets(texts: pa.Array, train: np.ndarray) -> tuple[tuple, tuple]:
             known = _counted(keys[learn])
             other = _counted(keys[~learn])[0]
             kind.append((np.concatenate([known[0], other]), np.concatenate([known[1], np.zeros(len(other), np.int64)])))
-    return tuple(_counted(np.concatenate([k for k, _ in x]), np.concatenate([c for _, c in x])) for x in (grams, tokens))
+            if len(kind) == MERGED_AT_ONCE:
+                kind[:] = [_merged(kind)]
+    return _merged(grams), _merged(tokens)
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return _counted(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
 def _chunked(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
@@ -162,6 +182,7 @@ def _chunked(docs: DataFrame, buckets: int, chunk_bytes: int) -> DataFrame:
             seen = gram_counts > 0
             low, low_counts = _counted(grams[seen] & np.uint64(0xFFFFFF), gram_counts[seen])
             yield from _in_buckets(LOW, chunk, low, low_counts, (low & np.uint64(15)).astype(np.int64), 16)
+            pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, BLOCKS_DDL)
 
@@ -182,8 +203,8 @@ def _joined(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
 
 def _blocks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All keys and counts of a bucket's blocks, and where each block starts."""
-    keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()]
+    keys = [_grown(k, np.uint64, True) for k in table.column("keys").to_pylist()]
+    counts = [_grown(c, np.int64) for c in table.column("counts").to_pylist()]
     return (np.concatenate(keys), np.concatenate(counts), np.cumsum([0, *map(len, keys)]))
 
 
@@ -217,7 +238,7 @@ class Predictors:
             keys, counts = _counted(self.grams & mask, self.counts)
         running = np.concatenate([[0], np.cumsum(counts)])
         own = self.grams & mask
-        out = np.empty((len(own), 9), np.int64)
+        out = np.empty((len(own), 9), np.float32)  # only their logarithms are used
         for depth in range(9):
             rest = np.uint64(8 - depth)
             first = (own >> rest) << rest
@@ -384,7 +405,7 @@ def _answers(blocks: DataFrame, low: tuple[np.ndarray, np.ndarray], model: dict)
         value = gram_bits(Predictors(distinct, total, low), model) if kind == GRAM else total
         value = value[np.searchsorted(distinct, keys)]
         return pa.table({"chunk": table.column("chunk"), "kind": table.column("kind"), "bucket": table.column("bucket"),
-                         "answer": pa.array([value[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)],
+                         "answer": pa.array([_shrunk(value[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)],
                                             pa.binary())})
 
     return (blocks.where(F.col("kind").isin(GRAM, TOKEN)).groupBy("kind", "bucket")
@@ -432,7 +453,7 @@ def _laid_out(answers: dict[int, bytes], bucket: np.ndarray, kind: type) -> np.n
     """Values of the blocks, back in the order of the chunk's keys."""
     out = np.zeros(len(bucket), kind)
     order = np.argsort(bucket, kind="stable")
-    values = [np.frombuffer(answers[b], kind) for b in sorted(answers)]
+    values = [_grown(answers[b], kind) for b in sorted(answers)]
     if values:
         out[order] = np.concatenate(values)
     return out
