@@ -39,13 +39,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlight.llm.textio import handed_over, lowered, mix64, raw, release, slices, text_of, word_edges, word_hashes
+from wardlight.llm.textio import Marks, handed_over, lowered, mix64, raw, release, slices, text_of, word_edges, word_hashes
 
 WORDS, PERCENT = 3, 90
 #: A block of a cluster holds at most so many sets, and n-grams in all.
 BLOCK_SETS, BLOCK_GRAMS = 1_000, 300_000
-#: Bits of the filter that keeps texts without candidates out of the second reading.
-MARK_BITS = 1 << 26
 #: Frequencies are told apart up to here; any function of the n-gram gives a valid order.
 FREQUENT = 4096
 #: Cells of the running sums that the walk keeps for pruning; without them it only prunes by size.
@@ -315,40 +313,19 @@ def _link_group(percent: int):
     return run
 
 
-def _marks(wanted: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the hashed ids of ``wanted``, about 16 bits an id and at most ``MARK_BITS``.
-
-    It only spares work: rows without a mark are surely not wanted. Past its
-    bound it fills up, more rows pass, and the join behind it still decides.
-    """
-    bits = min(MARK_BITS, 1 << max(16, int(16 * wanted.count()).bit_length()))
-    position = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
-    rows = (wanted.groupBy(F.bitmap_bucket_number(position).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits")).collect())
-    out = np.zeros(bits, bool)
-    for r in rows:
-        part = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
-        at = (r["bucket"] - 1) * len(part)
-        out[at:at + len(part)] = part[:bits - at]
-    return np.packbits(out), bits
-
-
 def _with_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``wanted`` (doc_id, node, ...) with ``grams``, the node's whole set, read again from its document's text."""
-    marks, bits = _marks(wanted)
+    marks = Marks(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("at").to_numpy()
-            marked = (marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            for part in slices(iter([batch.filter(pa.array(marked.astype(bool)))])):
+            for part in slices(iter([marks.keep(batch)])):
                 sets = list(gram_sets(part.column("text"), n))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_key(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())],
                     names=["node", "grams"])
 
-    found = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("at"),
-                        text_of().alias("text")).mapInArrow(run, "node long, grams binary")
+    found = docs.select(marks.place("doc_id"), text_of().alias("text")).mapInArrow(run, "node long, grams binary")
     return (found.join(wanted, "node").select("node", "cluster", "n_grams", "sets_in", "grams_in", "grams")
             .dropDuplicates(["node"]))
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.textio import handed_over, key_remainder, mix64, raw, slices, text_of, word_edges, word_hashes
+from wardlight.llm.textio import Marks, handed_over, key_remainder, mix64, raw, slices, text_of, word_edges, word_hashes
 
 BITS = 18
 BYTE_GRAMS, SHAPE_GRAMS = (1, 2, 3, 4), (1, 2, 3)
@@ -113,7 +113,16 @@ def _training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Data
         "doc_id", F.col("quality").cast("int").alias("label"))
     share = sample_rows / max(1, named.count())
     drawn = F.pmod(F.xxhash64(F.lit(4), F.col("doc_id")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    rows = (docs.where(key_remainder("doc_id", 5) != 0).select("doc_id", text_of().alias("text"))
+    marks = Marks(named)
+
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield marks.keep(batch).drop_columns(["at"])
+
+    # texts without a label stay out of the shuffle by id
+    texts = docs.where(key_remainder("doc_id", 5) != 0).select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), marks.place("doc_id"))
+    rows = (texts.mapInArrow(labelled, "doc_id long, text string")
             .join(named, "doc_id").select("text", "label", drawn.alias("drawn"),
                                           (F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(4)) == 0).alias("held")))
 

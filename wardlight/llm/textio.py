@@ -21,7 +21,9 @@ from wardlight.session import setting, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that an Arrow operator works on at once; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bits of the largest filter of ids.
+MARK_BITS = 1 << 26
 
 
 def text_of(column: str = "text") -> Column:
@@ -65,6 +67,34 @@ def release(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Marks:
+    """A bitmap of the hashed ids of a table, about 16 bits an id and at most ``MARK_BITS``.
+
+    It spares work before a join by id: rows without a mark have no partner.
+    Past its bound it fills up and more rows pass; the join decides.
+    """
+
+    def __init__(self, ids: DataFrame) -> None:
+        self.bits = min(MARK_BITS, 1 << max(16, int(16 * ids.count()).bit_length()))
+        position = self.place("doc_id") + 1
+        rows = (ids.groupBy(F.bitmap_bucket_number(position).alias("bucket"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits")).collect())
+        out = np.zeros(self.bits, bool)
+        for r in rows:
+            part = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
+            at = (r["bucket"] - 1) * len(part)
+            out[at:at + len(part)] = part[:self.bits - at]
+        self.marks = np.packbits(out)
+
+    def place(self, doc_id: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(self.bits)).alias("at")
+
+    def keep(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of a batch with a column ``at`` that are marked."""
+        at = batch.column("at").to_numpy()
+        return batch.filter(pa.array(((self.marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with at most ``limit`` bytes of text."""
