@@ -84,9 +84,11 @@ class PieceEncoder:
         whole = np.zeros(len(bounds) - 1, bool)
         for match in WIDE_SPACE.finditer(data.tobytes()):
             whole[np.searchsorted(bounds, match.start(), side="right") - 1] = True
-        offsets = np.append(cuts, len(data)).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [
-            None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        offsets = np.empty(len(cuts) + 1, np.int64 if len(data) >= 1 << 31 else np.int32)
+        offsets[:-1], offsets[-1] = cuts, len(data)
+        pieces = pa.Array.from_buffers(
+            pa.binary() if offsets.dtype == np.int32 else pa.large_binary(), len(cuts),
+            [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
         if len(self.store) > STORE:
             self.store.clear()
@@ -121,7 +123,8 @@ def all_piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     while row < rows:
         upto = min(rows, max(row + 1, int(np.searchsorted(bounds, bounds[row] + PART, side="right")) - 1))
         part = data[bounds[row]:bounds[upto]]
-        out.append(piece_starts(part, bounds[row:upto + 1] - bounds[row]) + bounds[row])
+        found = piece_starts(part, bounds[row:upto + 1] - bounds[row]) + bounds[row]
+        out.append(found.astype(np.int32) if len(data) < 1 << 31 else found)
         row = upto
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
