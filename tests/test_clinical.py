@@ -44,9 +44,9 @@ def test_condition_floors_and_words(spark):
 def test_conflict_and_inconsistency(spark):
     r = clinical_risk(one(spark, glucose_poc_mg_dl="200", fasting_glucose="100", a1c="5.1",
                           comorbidities=["t2d"], anomaly_score=0.2)).first()
-    assert r["lab_conflict_warning"].startswith("Glucose conflict detected: POC glucose 200.0")
-    assert r["clinical_inconsistency_warning"].startswith("Clinical inconsistency detected")
-    assert "higher value of 200.0" in r["risk_summary"]
+    assert "spot glucose of 200.0" in r["lab_conflict_warning"] and "fasting glucose of 100.0" in r["lab_conflict_warning"]
+    assert "type 2 diabetes on record" in r["clinical_inconsistency_warning"]
+    assert "the larger, 200.0 mg/dL" in r["risk_summary"]
 
 
 def test_risk_grows_with_the_readings(spark):

@@ -17,19 +17,26 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     """For each left row, the latest right row of its key at or before its time.
 
     Both sides are stacked and forward-filled in time order; a right row at the
-    same instant counts, and the highest ``right_row`` wins among equals.
+    same instant counts, and the highest ``right_row`` wins among equals. Row
+    ids may be of any type that has an order; the two sides' ids may differ in
+    type. Only ids and times go through the windows, the left row is joined
+    back by its id, which has to be unique.
     """
     held = F.struct(*[F.col(c) for c in columns])
-    early = F.lit(-(2 ** 62)).cast("long")
+    left_kind, right_kind = left.schema[left_row].dataType, right.schema[right_row].dataType
+    # right rows first at an instant, then by id: fields of a struct compare in turn
+    seq = lambda side, l, r: F.struct(
+        F.lit(side).alias("side"), l.cast(left_kind).alias("l"), r.cast(right_kind).alias("r")).alias("_seq")
+    nothing = F.lit(None)
     stacked = left.select(
-        F.col(key), F.col(left_time).cast("timestamp").alias("_at"), F.lit(1).alias("_left"),
-        F.shiftrightunsigned(F.col(left_row).cast("long"), 1).alias("_seq"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"),
+        F.col(key), F.col(left_time).cast("timestamp").alias("_at"), seq(1, F.col(left_row), nothing),
     ).unionByName(right.select(
-        F.col(key), F.col(right_time).cast("timestamp").alias("_at"), F.lit(0).alias("_left"),
-        (early + F.col(right_row).cast("long")).alias("_seq"), held.alias("_r")), allowMissingColumns=True)
+        F.col(key), F.col(right_time).cast("timestamp").alias("_at"), seq(0, nothing, F.col(right_row)),
+        held.alias("_r")), allowMissingColumns=True)
     order = PatientOrder(stacked, key=key, time="_at", row="_seq", max_rows=max_rows)
-    filled = order.last_known(["_r"], ["_found"]).df.where("_left = 1")
-    return filled.select("_l.*", *[F.col("_found")[c].alias(c) for c in columns])
+    filled = order.last_known(["_r"], ["_found"]).df.where("_seq.side = 1").select(
+        F.col("_seq.l").alias(left_row), *[F.col("_found")[c].alias(c) for c in columns])
+    return left.join(filled, left_row, "left").select(*left.columns, *columns)
 
 
 def assemble(encounters: DataFrame, patients: DataFrame, vitals: DataFrame | None = None,

@@ -21,10 +21,10 @@ def conformal_p_values(df: DataFrame, calibration: DataFrame, score: str,
     cal = calibration.select(finite(F.col(calibration_score or score)).alias("_v")).where("_v IS NOT NULL")
     n = cal.count()
     text = (F.when(F.col("conformal_p_value").isNull(),
-                   F.lit("Conformal calibration unavailable; falling back to raw anomaly score."))
+                   F.lit("No calibration rows: only the raw score is given."))
             .when(F.col("conformal_is_anomalous"),
-                  F.lit(f"This record is anomalous at α={alpha:.2f} significance level."))
-            .otherwise(F.lit(f"This record is not anomalous at α={alpha:.2f} significance level.")))
+                  F.lit(f"Anomalous: p is at most {alpha:.2f}."))
+            .otherwise(F.lit(f"Within the calibration scores: p is above {alpha:.2f}.")))
     if n == 0:
         out = df.withColumn("conformal_p_value", F.lit(None).cast("double"))
     else:

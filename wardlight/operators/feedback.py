@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlight.functions.cleaning import Fields, feedback_label
+from wardlight.schema import ROW
 
 # Payload keys that are not part of the patient record.
 META = ["is_true_positive", "feedback_label", "reviewer", "clinician_id", "reviewed_at", "notes",
@@ -85,6 +86,18 @@ def feedback_rows(ledger: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def retraining_rows(base: DataFrame, ledger: DataFrame, schema: T.StructType | None = None) -> DataFrame:
-    """Base rows as normal (0) plus the reviewed records with their label."""
+    """Base rows as normal (0) plus the reviewed records with their label.
+
+    A base row stays beside its reviewed copies. Where rows have an id, the
+    reviewed ones get one of their own: text that no base row has, made from
+    the content and the number of equal records before it.
+    """
     reviewed = feedback_rows(ledger, schema or base.drop("label").schema)
+    if ROW in base.columns:
+        content = F.sha2(F.to_json(F.struct(*reviewed.columns)), 256)
+        equal = Window.partitionBy("_content").orderBy("_content")
+        reviewed = (reviewed.withColumn("_content", content).withColumn("_again", F.row_number().over(equal))
+                    .withColumn(ROW, F.concat(F.lit("reviewed-"), F.col("_content"), F.lit("-"),
+                                              F.col("_again").cast("string"))).drop("_content", "_again"))
+        base = base.withColumn(ROW, F.col(ROW).cast("string"))
     return base.drop("label").withColumn("label", F.lit(0)).unionByName(reviewed, allowMissingColumns=True)

@@ -1,8 +1,8 @@
 """Batch staleness: kernel two-sample test between the training profile and incoming rows.
 
 The exact pairwise kernel sums are replaced by random Fourier features of the
-same kernel: each side becomes one mean vector, so the whole batch counts, the
-cost is linear and partial sums merge. The same features serve the threshold.
+same kernel: each side becomes one sum vector, so whole training table and whole batch
+count, the cost is linear and partial sums merge. The same features serve the threshold.
 """
 
 from __future__ import annotations
@@ -12,10 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.operators.ranking import hash_sample
 from wardlight.schema import ROW
 
 WIDTH = 1024
@@ -23,15 +22,15 @@ WIDTH = 1024
 
 @dataclass
 class Monitor:
+    """``reference`` is the feature sum of the whole training table, ``rows`` its number of rows."""
+
     features: list[str]
     reference: np.ndarray
+    rows: int
     gamma: float
     threshold: float
     seed: int = 42
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        return fourier(x, self.gamma, self.seed)
-
 
 def fourier(x: np.ndarray, gamma: float, seed: int, width: int = WIDTH) -> np.ndarray:
     rng = np.random.default_rng(seed)
@@ -40,12 +39,12 @@ def fourier(x: np.ndarray, gamma: float, seed: int, width: int = WIDTH) -> np.nd
     return np.concatenate([np.cos(angle), np.sin(angle)], axis=1) / np.sqrt(width)
 
 
-def kernel_width(reference: np.ndarray, rows: int = 64) -> float:
-    """1 / (2 * median squared distance) over the first rows of the reference profile."""
-    x = reference[:rows]
-    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)[np.triu_indices(len(x), k=1)]
-    d2 = d2[np.isfinite(d2) & (d2 > 0)]
-    return 1.0 / (2.0 * float(np.median(d2))) if len(d2) else 1.0 / max(reference.shape[1], 1)
+def kernel_width(df: DataFrame, features: list[str]) -> float:
+    """1 / (2 * mean squared distance of two rows), which is twice the sum of the variances of the whole table."""
+    spread = df.agg(*[F.var_pop(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"v{i}")
+                      for i, c in enumerate(features)]).first()
+    distance = 2.0 * sum(v for v in spread if v is not None)
+    return 1.0 / (2.0 * distance) if distance > 0 else 1.0 / max(len(features), 1)
 
 
 def discrepancy(sum_x: np.ndarray, n_x: int, sum_y: np.ndarray, n_y: int) -> float:
@@ -57,47 +56,60 @@ def discrepancy(sum_x: np.ndarray, n_x: int, sum_y: np.ndarray, n_y: int) -> flo
     return max(0.0, float(xx + yy - 2.0 * (sum_x / n_x) @ (sum_y / n_y)))
 
 
-def fit_monitor(df: DataFrame, features: list[str], row: str = ROW, size: int = 256, batch: int = 32,
-                trials: int = 64, quantile: float = 0.95, gamma: float | None = None, seed: int = 42) -> Monitor | None:
-    """Reference profile (a fixed-size sample by design), kernel width and alarm threshold."""
-    ref = hash_sample(df.select(row, *features), size, [row], seed).select(*features).toPandas().to_numpy(dtype=float)
-    if len(ref) < 2:
-        return None
-    g = gamma if gamma is not None else kernel_width(ref)
-    phi = fourier(ref, g, seed)
-    half = max(1, min(batch, len(ref) // 2))
-    rng = np.random.default_rng(seed)
-    scores = []
-    for _ in range(max(8, trials)):
-        pick = rng.choice(len(ref), 2 * half, replace=False)
-        scores.append(discrepancy(phi[pick[:half]].sum(0), half, phi[pick[half:]].sum(0), half))
-    return Monitor(features, ref, g, float(np.quantile(scores, quantile)), seed)
-
-
-def batch_sums(df: DataFrame, monitor: Monitor) -> tuple[np.ndarray, int]:
-    """Feature sums over the whole batch: one small vector per task, added by Spark."""
-    names, gamma, seed = monitor.features, monitor.gamma, monitor.seed
+def feature_sums(df: DataFrame, features: list[str], gamma: float, seed: int, groups: Column | None = None
+                 ) -> dict[int, tuple[np.ndarray, int]]:
+    """For each group its feature sum and row count: one small vector per task and group, added up by Spark."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n = np.zeros(2 * WIDTH), 0
+        held: dict[int, np.ndarray] = {}
         for pdf in batches:
-            if len(pdf):
-                total += fourier(pdf[names].to_numpy(dtype=float), gamma, seed).sum(0)
-                n += len(pdf)
-        yield pd.DataFrame({"i": np.arange(2 * WIDTH + 1), "v": np.append(total, n)})
-
-    sums = (df.select(*monitor.features).mapInPandas(partial, "i int, v double")
-            .groupBy("i").agg(F.sum("v").alias("v")).collect())  # 2 * WIDTH + 1 rows
-    out = np.zeros(2 * WIDTH + 1)
+            pdf = pdf[np.isfinite(pdf[features].to_numpy(dtype=float)).all(axis=1)]
+            for group, rows in pdf.groupby("_group"):
+                part = fourier(rows[features].to_numpy(dtype=float), gamma, seed).sum(0)
+                held[group] = held.get(group, 0.0) + np.append(part, len(rows))
+        for group, total in held.items():
+            yield pd.DataFrame({"_group": group, "i": np.arange(len(total)), "v": total})
+
+    cast = [F.col(c).cast("double").alias(c) for c in features]
+    sums = (df.select((F.lit(0) if groups is None else groups).cast("int").alias("_group"), *cast)
+            .mapInPandas(partial, "_group int, i int, v double")
+            .groupBy("_group", "i").agg(F.sum("v").alias("v")).collect())  # groups x (2 * WIDTH + 1) rows
+    out: dict[int, np.ndarray] = {}
     for r in sums:
-        out[r["i"]] = r["v"]
-    return out[:-1], int(out[-1])
+        out.setdefault(r["_group"], np.zeros(2 * WIDTH + 1))[r["i"]] = r["v"]
+    return {g: (v[:-1], int(v[-1])) for g, v in out.items()}
+
+
+def fit_monitor(df: DataFrame, features: list[str], row: str = ROW, batch: int = 32, trials: int = 64,
+                quantile: float = 0.95, gamma: float | None = None, seed: int = 42) -> Monitor | None:
+    """Profile of the whole table and the alarm threshold.
+
+    The threshold is a quantile of the discrepancies between pairs of disjoint
+    row groups, drawn by hash so that a group has about ``batch`` rows.
+    """
+    n = df.count()
+    if n < 2:
+        return None
+    g = gamma if gamma is not None else kernel_width(df, features)
+    total, rows = feature_sums(df, features, g, seed).get(0, (np.zeros(2 * WIDTH), 0))
+    wanted = 2 * max(8, trials)
+    # group numbers from hashing the row id; rows beyond the wanted groups stay out of the trials
+    slots = max(2, min(n // 2, max(wanted, -(-n // max(1, batch)))))
+    slot = F.pmod(F.xxhash64(F.lit(seed), F.col(row)), F.lit(slots))
+    parts = list(feature_sums(df.where(slot < wanted), features, g, seed, slot).values())
+    scores = [discrepancy(*x, *y) for x, y in zip(parts[::2], parts[1::2])]
+    return Monitor(features, total, rows, g, float(np.quantile(scores, quantile)) if scores else float("inf"), seed)
+
+
+def batch_sums(df: DataFrame, monitor: Monitor) -> tuple[np.ndarray, int]:
+    """Feature sums over the whole batch."""
+    return feature_sums(df, monitor.features, monitor.gamma, monitor.seed).get(0, (np.zeros(2 * WIDTH), 0))
 
 
 def score_batch(df: DataFrame, monitor: Monitor) -> tuple[float, bool]:
     """Discrepancy of the batch and whether it passes the threshold."""
     y, n = batch_sums(df, monitor)
-    score = discrepancy(monitor.project(monitor.reference).sum(0), len(monitor.reference), y, n)
+    score = discrepancy(monitor.reference, monitor.rows, y, n)
     return score, bool(np.isfinite(monitor.threshold) and score > monitor.threshold)
 
 

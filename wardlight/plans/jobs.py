@@ -134,7 +134,7 @@ def train(df: DataFrame, settings: Settings | None = None, label: str | None = N
         model.meta = fusion.fit_gate(y, names, parts, "_y" if label else None)
     fused = _fuse(scored, model, "tabular_anomaly_score")
     model.baseline = fit_baseline(table, names)
-    model.monitor = fit_monitor(table, names, ROW, s.monitor_reference_size, s.monitor_calibration_batch,
+    model.monitor = fit_monitor(table, names, ROW, s.monitor_calibration_batch,
                                 s.monitor_trials, s.monitor_quantile, seed=s.seed)
     if sequence:
         order = sequence_windows(PatientOrder(table, hot=hot), names, s.sequence_window)
@@ -270,7 +270,11 @@ def evaluation_report(scored: DataFrame, label: str | None = None, columns: list
 
 
 def retrain(base: DataFrame, ledger: DataFrame, settings: Settings | None = None, **kwargs) -> Model:
-    """Train again on the base rows (normal) plus the reviewed records."""
+    """Train again on the base rows (normal) plus the reviewed records.
+
+    Base rows keep their ids and stay, as normal visits, beside a reviewed copy
+    of them; reviewed rows get ids of their own from ``retraining_rows``.
+    """
     rows = retraining_rows(base, ledger, base.drop("label").schema)
     rows = rows.withColumn(ROW, F.coalesce(F.col(ROW).cast("string"), F.xxhash64(*rows.columns).cast("string")))
     return train(rows, settings, "label", **kwargs)

@@ -38,7 +38,9 @@ def contextual(spark, d):
 def drift(spark, d):
     jobs.use_state_store(spark)
     out = _drain(jobs.drift_stream(_visits_stream(spark, d), "value"), spark)
-    return rounded(out.where("visit_index >= 4").select("row_id", "visit_index", "cusum_stat"))
+    # the first five visits set the baseline: no statistic before the fifth
+    return rounded(out.select("row_id", "visit_index", F.when(F.col("visit_index") >= 4, F.col("cusum_stat")).alias(
+        "cusum_stat")))
 
 
 def windows(spark, d):
@@ -84,7 +86,7 @@ SELECT row_id, round({_M} / ({_M} + 3), 8) AS contextual_anomaly_score, round({_
        n AS contextual_anomaly_history_length FROM context""",
     "s3_drift_stream": f"""
 WITH {VISITS}, {_CUSUM.format(source="(SELECT *, value AS s FROM visits)")}
-SELECT row_id, visit_index, round(cusum_stat, 6) AS cusum_stat FROM hit WHERE visit_index >= 4""",
+SELECT row_id, visit_index, CASE WHEN visit_index >= 4 THEN round(cusum_stat, 6) END AS cusum_stat FROM hit""",
     "s4_trend_stream": """
 WITH w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
 SELECT date_trunc('day', ts)::TIMESTAMP AS day, round(avg(value), 6) AS mean_score, round(max(value), 6) AS max_score,

@@ -55,7 +55,7 @@ class Settings:
     lag_steps: tuple[int, ...] = (1,)
     interaction_terms: tuple[tuple[str, str], ...] = ()
     scaler: str = "standard"
-    imputer: str = "knn"
+    imputer: str = "mean"
     knn_neighbors: int = 5
     apply_pca: bool = True
     pca_feature_threshold: int = 50
@@ -76,7 +76,6 @@ class Settings:
     drift_cusum_h: float = 5.0
     drift_adwin_delta: float = 0.01
     drift_adwin_min_window: int = 5
-    monitor_reference_size: int = 256
     monitor_calibration_batch: int = 32
     monitor_trials: int = 64
     monitor_quantile: float = 0.95

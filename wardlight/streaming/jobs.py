@@ -74,39 +74,53 @@ def _in_order(batches: Iterator[pd.DataFrame], time: str, row: str) -> pd.DataFr
 
 
 class ContextualState(StatefulProcessor):
-    """Running count, mean and squared deviation of every feature of a patient."""
+    """Running count, mean and squared deviation of every feature of a patient.
+
+    A missing measurement neither scores nor counts for its feature, as in the
+    batch operator; the visit still counts as history.
+    """
 
     def __init__(self, features: list[str], key: str = KEY, time: str = TIME, row: str = ROW):
         self.features, self.key, self.time, self.row = features, key, time, row
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("moments", "n long, mean array<double>, m2 array<double>")
+        self.state = handle.getValueState("moments", "n long, counts array<long>, mean array<double>, m2 array<double>")
 
     def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
         d = len(self.features)
-        n, mean, m2 = 0, np.zeros(d), np.zeros(d)
+        n, counts, mean, m2 = 0, np.zeros(d), np.zeros(d), np.zeros(d)
         if self.state.exists():
             held = self.state.get()
-            n, mean, m2 = int(held[0]), np.array(held[1]), np.array(held[2])
+            n, counts, mean, m2 = int(held[0]), *(np.array(x, dtype=float) for x in held[1:])
         pdf = _in_order(rows, self.time, self.row)
-        out = []
-        for rid, x in zip(pdf[self.row], pdf[self.features].to_numpy(dtype=float)):
-            peak, top, z_top = 0.0, "", 0.0
-            if n:
-                std = np.sqrt(m2 / n)
-                z = (x - mean) / np.where(std > 1e-12, std, 1.0)
-                j = int(np.argmax(np.abs(z)))
-                peak, top, z_top = float(abs(z[j])), self.features[j], float(z[j])
-            out.append((rid, peak / (peak + 3.0), peak, top, z_top, n))
-            n += 1
-            gap = x - mean
-            mean = mean + gap / n
-            m2 = m2 + gap * (x - mean)
-        self.state.update((n, mean.tolist(), m2.tolist()))
-        yield pd.DataFrame(out, columns=[
-            self.row, "contextual_anomaly_score", "contextual_anomaly_max_abs_zscore",
-            "contextual_anomaly_top_feature", "contextual_anomaly_top_feature_zscore",
-            "contextual_anomaly_history_length"])
+        if not len(pdf):
+            return
+        x = pdf[self.features].to_numpy(dtype=float)
+        there = ~np.isnan(x)
+        # deviations from a fixed point of each feature: its mean so far, or the first value
+        first = x[there.argmax(axis=0), np.arange(d)]
+        centre = np.where(counts > 0, mean, np.where(there.any(axis=0), first, 0.0))
+        gap = np.where(there, x - centre, 0.0)
+        before = lambda part, start: start + np.cumsum(part, axis=0) - part
+        seen = before(there.astype(float), counts)
+        size = np.maximum(seen, 1.0)
+        shift = before(gap, 0.0) / size
+        std = np.sqrt(np.maximum(before(gap ** 2, m2) / size - shift ** 2, 0.0))
+        z = np.where(there & (seen > 0), (gap - shift) / np.where(std > 1e-12, std, 1.0), 0.0)
+        top = np.abs(z).argmax(axis=1)
+        peak = np.abs(z).max(axis=1)
+        known = (there & (seen > 0)).any(axis=1)
+        yield pd.DataFrame({
+            self.row: pdf[self.row].to_numpy(), "contextual_anomaly_score": peak / (peak + 3.0),
+            "contextual_anomaly_max_abs_zscore": peak,
+            "contextual_anomaly_top_feature": np.where(known, np.array(self.features, object)[top], ""),
+            "contextual_anomaly_top_feature_zscore": z[np.arange(len(z)), top],
+            "contextual_anomaly_history_length": n + np.arange(len(x))})
+        total = counts + there.sum(axis=0)
+        moved = gap.sum(axis=0) / np.maximum(total, 1.0)
+        spread = m2 + (gap ** 2).sum(axis=0) - total * moved ** 2
+        self.state.update((n + len(x), total.astype(int).tolist(), (centre + moved).tolist(),
+                           np.maximum(spread, 0.0).tolist()))
 
     def close(self) -> None:
         pass
