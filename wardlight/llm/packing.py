@@ -22,6 +22,7 @@ pieces for each of its rows.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from array import array
@@ -44,7 +45,7 @@ STORE = 450_000
 #: Pieces encoded at once.
 ENCODED_AT_ONCE = 4096
 #: Bytes of text per slice, and of the part in which cuts are looked for.
-SLICE, PART = 16 << 20, 1 << 20
+SLICE, PART = 4 << 20, 1 << 20
 #: A leftover window with no more room than this is not merged again.
 NEARLY_FULL = 8
 #: UTF-8 of the white space that the tokenizer's pattern knows beyond ASCII.
@@ -69,6 +70,7 @@ class PieceEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.store: dict[bytes, bytes] = {}  # ids as 32-bit numbers
