@@ -18,7 +18,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -174,7 +174,40 @@ def _class_counts(rows: DataFrame) -> DataFrame:
             .groupBy("place").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
-def _descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray, size: int) -> np.ndarray:
+def _views(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The 32-bit numbers of each binary value, as views of the Arrow buffers."""
+    out = []
+    for chunk in column.chunks:
+        chunk = chunk.cast(pa.large_binary())
+        bounds = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset:chunk.offset + len(chunk) + 1] // 4
+        data = np.frombuffer(chunk.buffers()[2] or b"", np.uint8)
+        data = data[:len(data) // 4 * 4].view(np.int32)
+        out += [data[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
+class _Rows(Sequence):
+    """The places of each row and, last, the bias; made when asked for, since a sample of them all is large."""
+
+    def __init__(self, places: list[np.ndarray], ratio: np.ndarray) -> None:
+        self.places, self.ratio = places, ratio
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.append(self.places[i], np.int32(len(self.ratio)))
+
+
+class _Values(_Rows):
+    """The scaled indicators of each row, a unit vector, and 1 for the bias."""
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        value = self.ratio[self.places[i]]
+        return np.append(value / max(np.sqrt(value @ value), 1e-9), 1.0)
+
+
+def _descend(rows: Sequence[np.ndarray], values: Sequence[np.ndarray], signs: np.ndarray, size: int) -> np.ndarray:
     """Dual coordinate descent for the squared-norm regularised hinge loss; the last place is the bias."""
     weights, alpha = np.zeros(size), np.zeros(len(rows))
     norms = np.array([float(v @ v) for v in values])
@@ -184,11 +217,12 @@ def _descend(rows: list[np.ndarray], values: list[np.ndarray], signs: np.ndarray
         for i in order.permutation(len(rows)):
             if norms[i] == 0:
                 continue
-            slope = signs[i] * float(weights[rows[i]] @ values[i]) - 1
+            at, value = rows[i], values[i]
+            slope = signs[i] * float(weights[at] @ value) - 1
             new = min(max(alpha[i] - slope / norms[i], 0.0), PENALTY)
             step = new - alpha[i]
             if step:
-                weights[rows[i]] += step * signs[i] * values[i]
+                weights[at] += step * signs[i] * value
                 alpha[i] = new
                 moved = max(moved, abs(step))
         if moved < 1e-3:
@@ -233,22 +267,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
-        places = [np.frombuffer(x, np.int32) for x in table.column("places").to_pylist()]
+        places = _views(table.column("places"))
         label = table.column("label").to_numpy()
         held = np.array(table.column("held").to_pylist(), bool)
-        size = len(ratio) + 1
-        rows, values = [], []
-        for at in places:
-            value = ratio[at]
-            rows.append(np.append(at, size - 1))
-            values.append(np.append(value / max(np.sqrt(value @ value), 1e-9), 1.0))
         if len(set(label[~held])) < 2 or len(set(label[held])) < 2:
             held = np.zeros(len(held), bool)
         train = np.flatnonzero(~held)
-        weights = _descend([rows[i] for i in train], [values[i] for i in train], 2.0 * label[train] - 1, size)
+        mine = [places[i] for i in train]
+        weights = _descend(_Rows(mine, ratio), _Values(mine, ratio), 2.0 * label[train] - 1, len(ratio) + 1)
         mean = np.abs(weights[:-1]).sum() / max(1, np.count_nonzero(weights[:-1]))
         weights[:-1] = (1 - INTERPOLATION) * mean + INTERPOLATION * weights[:-1]
         check = np.flatnonzero(held) if held.any() else train
+        rows, values = _Rows(places, ratio), _Values(places, ratio)
         margins = np.array([float(weights[rows[i]] @ values[i]) for i in check])
         slope, shift = _sigmoid_fit(margins, label[check])
         yield pa.RecordBatch.from_arrays(
