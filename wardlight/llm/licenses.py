@@ -1,9 +1,12 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 A rule is a regular expression with a keyword, a label, a priority and a
-score. Two prefilters keep the expressions away from most texts: a document
-must hold one of a few anchors, and a rule's keyword must stand in it. Every
-match of a rule that is left becomes an interval of characters. An interval
+score. A keyword says what every match of the expression holds: ``&`` joins
+lists, ``|`` the alternatives of a list, and each list has one alternative that
+stands in the match. Two prefilters keep the expressions away from most texts:
+a document must hold an anchor (an alternative of some rule's first list), and
+every list of a rule must be met. Neither drops a match. Every match of a rule
+that is left becomes an interval of characters. An interval
 that lies inside one of higher priority, or inside a longer one of the same
 priority, is suppressed. Nothing is shuffled: a document's intervals are an
 array in its row, scanned once in order of their start.
@@ -15,6 +18,8 @@ give equal rows; an empty table gives an empty result. Only A-Z are lowered.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -26,14 +31,13 @@ WORD6 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP6 = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed values of the contract: phrase and label.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: Every rule's matches hold at least one of these.
-ANCHORS = ("licen", "copyright", "spdx", "public domain", "warrant", "redistribut", "permission", "(c)", "creativecommons",
-           "rights reserved", "copyleft", "gnu.org", "opensource.org")
 #: Priorities: full grant texts over identifiers over named references over vague notices.
 TEXT, IDENTIFIER, NAMED, NOTICE = 4, 3, 2, 1
 CLASSES = 4
 
-#: label, name as a pattern, the shortest sure keyword, SPDX identifier as a pattern.
+#: In every name of a Creative Commons attribution license.
+BY = "cc by|cc-by|creative commons attribution"
+#: label, name as a pattern, alternatives of which every such name holds one, SPDX identifier as a pattern.
 FAMILIES = (
     ("mit", r"mit(?:/x11)?", "mit", r"mit(?:-0)?"),
     ("x11", r"x11", "x11", r"x11"),
@@ -65,20 +69,20 @@ FAMILIES = (
     ("busl", r"business source", "business source", r"busl-1\.1"),
     ("sspl", r"server side public", "server side", r"sspl-1\.0"),
     ("elastic", r"elastic", "elastic", r"elastic-2\.0"),
-    ("unlicense", r"un", "unlicense", r"unlicense"),
+    ("unlicense", r"unlicen[cs]e", "unlicen", r"unlicense"),
     ("wtfpl", r"do what the f[u*]ck you want to public", "do what the", r"wtfpl"),
-    ("cc0", r"cc[- ]?0|creative commons zero", "cc", r"cc0-1\.0"),
-    ("cc-by-nc-nd", r"cc[- ]by[- ]nc[- ]nd|creative commons attribution[- ]noncommercial[- ]noderiv(?:ative)?s", "nd", r"cc-by-nc-nd-[1-4]\.[05]"),
-    ("cc-by-nc-sa", r"cc[- ]by[- ]nc[- ]sa|creative commons attribution[- ]noncommercial[- ]sharealike", "sa", r"cc-by-nc-sa-[1-4]\.[05]"),
-    ("cc-by-nc", r"cc[- ]by[- ]nc(?![- ](?:nd|sa))|creative commons attribution[- ]noncommercial(?![- ](?:no|sh))", "nc", r"cc-by-nc-[1-4]\.[05]"),
-    ("cc-by-nd", r"cc[- ]by[- ]nd|creative commons attribution[- ]noderiv(?:ative)?s", "nd", r"cc-by-nd-[1-4]\.[05]"),
-    ("cc-by-sa", r"cc[- ]by[- ]sa|creative commons attribution[- ]sharealike", "sa", r"cc-by-sa-[1-4]\.[05]"),
-    ("cc-by", r"cc[- ]by(?![- ](?:nc|nd|sa))|creative commons attribution(?![- ](?:no|sh))", "by", r"cc-by-[1-4]\.[05]"),
+    ("cc0", r"cc[- ]?0|creative commons zero", "cc0|cc-0|cc 0|creative commons zero", r"cc0-1\.0"),
+    ("cc-by-nc-nd", r"cc[- ]by[- ]nc[- ]nd|creative commons attribution[- ]noncommercial[- ]noderiv(?:ative)?s", BY, r"cc-by-nc-nd-[1-4]\.[05]"),
+    ("cc-by-nc-sa", r"cc[- ]by[- ]nc[- ]sa|creative commons attribution[- ]noncommercial[- ]sharealike", BY, r"cc-by-nc-sa-[1-4]\.[05]"),
+    ("cc-by-nc", r"cc[- ]by[- ]nc(?![- ](?:nd|sa))|creative commons attribution[- ]noncommercial(?![- ](?:no|sh))", BY, r"cc-by-nc-[1-4]\.[05]"),
+    ("cc-by-nd", r"cc[- ]by[- ]nd|creative commons attribution[- ]noderiv(?:ative)?s", BY, r"cc-by-nd-[1-4]\.[05]"),
+    ("cc-by-sa", r"cc[- ]by[- ]sa|creative commons attribution[- ]sharealike", BY, r"cc-by-sa-[1-4]\.[05]"),
+    ("cc-by", r"cc[- ]by(?![- ](?:nc|nd|sa))|creative commons attribution(?![- ](?:no|sh))", BY, r"cc-by-[1-4]\.[05]"),
     ("odbl", r"open (?:data commons open )?database", "database", r"odbl-1\.0"),
     ("odc-by", r"open data commons attribution", "open data commons", r"odc-by-1\.0"),
     ("pddl", r"public domain dedication and", "dedication", r"pddl-1\.0"),
     ("ofl", r"sil open font", "open font", r"ofl-1\.[01](?:-rfn|-no-rfn)?"),
-    ("ncsa", r"university of illinois(?:/ncsa open source)?|ncsa", "ncsa", r"ncsa"),
+    ("ncsa", r"university of illinois(?:/ncsa open source)?|ncsa", "university of illinois|ncsa", r"ncsa"),
     ("afl", r"academic free", "academic free", r"afl-[1-3]\.[0-2]"),
     ("osl", r"open software", "open software", r"osl-[1-3]\.[01]"),
     ("ms-pl", r"microsoft public", "microsoft public", r"ms-pl"),
@@ -96,13 +100,13 @@ FAMILIES = (
     ("icu", r"icu", "icu", r"icu"),
     ("zpl", r"zope public", "zope", r"zpl-[12]\.[01]"),
 )
-#: Ways in which a text names a license; ``{}`` is the name. Priority and score with each.
+#: Ways in which a text names a license; ``{}`` is the name. Priority, score and keyword lists beside the name's with each.
 WAYS = (
-    (NAMED, 0.9, r"\b(?:licensed|released|distributed|available|published|provided|covered|made available)"
+    (NAMED, 0.9, "licensed|released|distributed|available|published|provided|covered& under | by ", r"\b(?:licensed|released|distributed|available|published|provided|covered|made available)"
                  r"(?: [a-z]+){{0,2}} (?:under|by)(?: the)?(?: terms of)?(?: the)? (?:{})(?: licen[cs]e)?\b"
                  r"(?:,? (?:version )?v?[0-9](?:\.[0-9])*)?"),
-    (NAMED, 0.7, r"\b(?:{}) licen[cs]e\b(?:,? (?:version )?v?[0-9](?:\.[0-9])*)?"),
-    (NOTICE, 0.5, r"\blicen[cs]e: ?(?:{})\b"),
+    (NAMED, 0.7, " license| licence", r"\b(?:{}) licen[cs]e\b(?:,? (?:version )?v?[0-9](?:\.[0-9])*)?"),
+    (NOTICE, 0.5, "license:|licence:", r"\blicen[cs]e: ?(?:{})\b"),
 )
 #: label, priority, score, keyword, expression: sentences that are typical of one license's own text.
 SENTENCES = (
@@ -140,25 +144,59 @@ SENTENCES = (
     ("copyright", NOTICE, 0.3, "(c)", r"\(c\) (?:copyright )?(?:19|20)[0-9]{2}\b"),
     ("warranty-disclaimer", NOTICE, 0.3, "without warrant", r"\bwithout warrant(?:y|ies) of any kind"),
     ("copyleft", NOTICE, 0.3, "copyleft", r"\bcopyleft\b"),
-    ("license-file", NOTICE, 0.3, "license", r"\bsee (?:the )?(?:license|copying)(?:\.txt|\.md)? (?:file )?for (?:details|the full license)"),
+    ("license-file", NOTICE, 0.3, "for details|for the full license", r"\bsee (?:the )?(?:license|copying)(?:\.txt|\.md)? (?:file )?for (?:details|the full license)"),
 )
 
 
 def rule_table() -> list[tuple[str, int, float, str, str]]:
     """(label, priority, score, keyword, expression) in order: the sentences, identifiers, then ways x families."""
     rules = list(SENTENCES)
-    rules += [(label, IDENTIFIER, 1.0, "spdx", rf"\bspdx-license-identifier: ?\(?(?:{spdx})(?![a-z0-9.-])")
+    rules += [(label, IDENTIFIER, 1.0, "spdx-license-identifier", rf"\bspdx-license-identifier: ?\(?(?:{spdx})(?![a-z0-9.-])")
               for label, _, _, spdx in FAMILIES]
-    rules += [(label, priority, score, keyword, way.format(name))
-              for (priority, score, way), (label, name, keyword, _) in product(WAYS, FAMILIES)]
+    rules += [(label, priority, score, f"{held}&{keyword}", way.format(name))
+              for (priority, score, held, way), (label, name, keyword, _) in product(WAYS, FAMILIES)]
     return rules
 
 
+def lists_of(keyword: str) -> list[list[str]]:
+    return [part.split("|") for part in keyword.split("&")]
+
+
+def anchors_of(rules) -> list[str]:
+    """Alternatives of all first lists: a text that matches any rule holds one of them."""
+    return sorted({word for _, _, _, keyword, _ in rules for word in lists_of(keyword)[0]})
+
+
+ANCHORS = anchors_of(rule_table())
+
+
 def _literals(rules) -> Column:
-    kind = "array<struct<id:int,label:string,priority:int,score:double,keyword:string,pattern:string>>"
-    return F.array(*[F.struct(F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(p).alias("priority"),
-                              F.lit(float(s)).alias("score"), F.lit(k).alias("keyword"), F.lit(e).alias("pattern"))
-                     for i, (label, p, s, k, e) in enumerate(rules)]).cast(kind)
+    """``rules`` are (id, rule, alternatives of its last keyword list)."""
+    kind = "array<struct<id:int,label:string,priority:int,score:double,pattern:string,words:array<string>>>"
+    return F.array(*[F.struct(
+        F.lit(i).alias("id"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(float(s)).alias("score"),
+        F.lit(e).alias("pattern"), F.array(*map(F.lit, words)).alias("words"))
+        for i, (label, p, s, _, e), words in rules]).cast(kind)
+
+
+def _holds_any(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+
+
+def _hits(text: Column, rules) -> Column:
+    """The rules whose keyword lists are all met. Lists that many rules begin with are looked up once for all of them."""
+    groups = defaultdict(list)
+    for i, rule in enumerate(rules):
+        shared, _, own = rule[3].rpartition("&")
+        groups[shared].append((i, rule, own.split("|")))
+    out = []
+    for shared, table in groups.items():
+        met = F.filter(_literals(table), lambda r: F.exists(r["words"], lambda w: F.contains(text, w)))
+        if shared:
+            gate = reduce(lambda a, b: a & b, [_holds_any(text, words) for words in lists_of(shared)])
+            met = F.when(gate, met).otherwise(F.slice(_literals(table[:1]), 1, 0))
+        out.append(met)
+    return F.concat(*out)
 
 
 def _spans(text: Column, rule: Column) -> Column:
@@ -203,13 +241,10 @@ def detections(docs: DataFrame, rules=None) -> DataFrame:
     An interval of lower priority that holds a higher one stays as well: both
     are reported.
     """
-    table = _literals(rules or rule_table())
+    rules = rules or rule_table()
     text = F.col("low_text")
-    gate = F.lit(False)
-    for anchor in ANCHORS:
-        gate = gate | F.contains(text, F.lit(anchor))
-    hit = F.filter(table, lambda r: F.contains(text, r["keyword"]))
-    found = F.flatten(F.transform(hit, lambda r: _spans(text, r)))
+    gate = _holds_any(text, anchors_of(rules))
+    found = F.flatten(F.transform(_hits(text, rules), lambda r: _spans(text, r)))
     none = F.expr("cast(array() as array<struct<start:int,back:int,down:int,rule:int,label:string,score:double>>)")
     return docs.withColumn("found", F.when(gate, _unsuppressed(found)).otherwise(none))
 
