@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from wardlight.operators.detectors import fit_detector
@@ -22,7 +24,7 @@ SMALL = Settings(numeric_features=["value", "k"], categorical_features=["source_
 
 def full_scoring(spark, d):
     df = visits(spark, d)
-    model = train(df, SMALL, epochs=5)
+    model = train(df, SMALL)
     out = score(df, model)
     return rounded(out.select(
         "row_id", "anomaly_score", "is_anomaly", "point_anomaly_score", "contextual_anomaly_score",
@@ -54,17 +56,17 @@ def attribution_top(spark, d):
     return rounded(explain.top_attributions(base, 1).select("row_id", "feature", "attribution", "rank"))
 
 
-def pair_interactions(spark, d):
-    df = vectors(spark, d, 6)
-    names = DIMS[:6]
+def pair_interactions(spark, d, n=6):
+    df = vectors(spark, d, n)
+    names = DIMS[:n]
     pairs = explain.interactions(df, names, _background(df, names))
     return rounded(explain.top_pairs(pairs, 3).select("row_id", "feature_i", "feature_j", "interaction_value", "rank"))
 
 
 def residuals(spark, d):
-    df = vectors(spark, d, 16)
-    out = fit_detector("pca_reconstruction", df, DIMS[:16]).score(df)
-    return rounded(explain.residual_table(out, {"pca_reconstruction": "pca_reconstruction_residual"}, DIMS[:16]))
+    df = vectors(spark, d)
+    out = fit_detector("pca_reconstruction", df, DIMS).score(df)
+    return rounded(explain.residual_table(out, {"pca_reconstruction": "pca_reconstruction_residual"}, DIMS))
 
 
 def latent_map(spark, d):
@@ -81,27 +83,27 @@ def payloads(spark, d):
     return rounded(explain.parse_explanations(li, "blob").select("row_id", "feature", "shap_value", "absolute_shap_value", "method", "rank"))
 
 
-def _coordinate_attributions(spark, d):
-    """Embedding coordinates read as signed contributions of six features."""
-    df = vectors(spark, d, 6)
-    return df, df.unpivot(["row_id"], DIMS[:6], "feature", "attribution")
+def _coordinate_attributions(spark, d, n):
+    """Embedding coordinates read as signed contributions of ``n`` features."""
+    df = vectors(spark, d, n)
+    return df, df.unpivot(["row_id"], DIMS[:n], "feature", "attribution")
 
 
-def local_interactions(spark, d):
-    _, long = _coordinate_attributions(spark, d)
+def local_interactions(spark, d, n=6):
+    _, long = _coordinate_attributions(spark, d, n)
     return rounded(explain.local_interactions(explain.top_attributions(long, 4), 4), digits=9)
 
 
-def top_alerts(spark, d):
-    df, long = _coordinate_attributions(spark, d)
-    scored = df.select("row_id", F.greatest(*[F.abs(c) for c in DIMS[:6]]).alias("anomaly_score"))
-    out = explain.top_alerts(scored, explain.top_attributions(long, 6), alerts=10, features=3)
+def top_alerts(spark, d, n=6):
+    df, long = _coordinate_attributions(spark, d, n)
+    scored = df.select("row_id", F.greatest(*[F.abs(c) for c in DIMS[:n]]).alias("anomaly_score"))
+    out = explain.top_alerts(scored, explain.top_attributions(long, n), alerts=10, features=3)
     return rounded(out.select("row_id", "anomaly_score", "feature", "attribution", "rank"), digits=9)
 
 
-def collective_groups(spark, d):
-    df = vectors(spark, d, 8)
-    out = score_collective(df, {"first:a|b": DIMS[:3], "second:c": DIMS[3:8]})
+def collective_groups(spark, d, n=8):
+    df = vectors(spark, d, n)
+    out = score_collective(df, {"first:a|b": DIMS[:3], "second:c": DIMS[3:n]})
     return rounded(out.select("row_id", "collective_anomaly_score", "collective_anomaly_top_group",
                               "collective_anomaly_top_group_error"), digits=8)
 
@@ -117,6 +119,11 @@ QUERIES = {
     "x6_parsed_payloads": payloads,
     "x7_local_interactions": local_interactions,
     "t3_top_alerts": top_alerts,
+    # the same over every coordinate; the twins of the above read the first 6 or 8
+    "m21_all_collective_head": partial(collective_groups, n=64),
+    "x3_all_pair_interactions": partial(pair_interactions, n=64),
+    "x7_all_local_interactions": partial(local_interactions, n=64),
+    "t3_all_top_alerts": partial(top_alerts, n=64),
 }
 
 _ABL = f"""

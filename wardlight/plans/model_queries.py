@@ -22,10 +22,10 @@ def vectors(spark, d, n=64):
         *[F.col("embedding")[i].cast("double").alias(DIMS[i]) for i in range(n)])
 
 
-def _detector(name, n=64, **options):
+def _detector(name):
     def run(spark, d):
-        df = vectors(spark, d, n)
-        fitted = fit_detector(name, df, DIMS[:n], **options)
+        df = vectors(spark, d)
+        fitted = fit_detector(name, df, DIMS)
         return rounded(fitted.score(df).select("row_id", f"{name}_raw_score", f"{name}_score"))
     return run
 
@@ -34,7 +34,7 @@ def line_forest(spark, d):
     li = spread(table(spark, d, "lineitem")).select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("row_id"),
         "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    fitted = fit_detector("isolation_forest", li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], trees=100)
+    fitted = fit_detector("isolation_forest", li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return rounded(fitted.score(li).select("row_id", "isolation_forest_score"))
 
 
@@ -89,7 +89,7 @@ def sequence_errors(spark, d):
     order = sequence_windows(PatientOrder(visits(spark, d)), ["value", "k"])
     df = order.done().withColumn("sequence_window", F.transform(
         "sequence_window", lambda v: F.array(v[0] / 100.0, v[1] / 100.0)))
-    model = fit_sequence(df, ["value", "k"], epochs=8)
+    model = fit_sequence(df, ["value", "k"])
     out = score_sequence(df, model).withColumn("blended", fusion.blend_sequence(
         F.lit(0.5), F.col("sequence_anomaly_score"), model["mean"], model["std"]))
     return rounded(out.select("row_id", "sequence_anomaly_score", "blended"))
@@ -97,14 +97,14 @@ def sequence_errors(spark, d):
 
 QUERIES = {
     "m1_isolation_forest": line_forest,
-    "m2_one_class_svm": _detector("one_class_svm", 16, epochs=15),
+    "m2_one_class_svm": _detector("one_class_svm"),
     "m3_local_outlier_factor": _detector("local_outlier_factor"),
-    "m4_autoencoder": _detector("autoencoder", 16, epochs=8),
-    "m5_variational_autoencoder": _detector("variational_autoencoder", 16, epochs=8),
-    "m6_ganomaly": _detector("ganomaly", 16, epochs=8),
-    "m7_attention_autoencoder": _detector("anomaly_transformer", 16, epochs=8),
-    "m8_cnn_autoencoder": _detector("cnn_autoencoder", 16, epochs=8),
-    "m9_deep_svdd": _detector("deep_svdd", 16, epochs=8),
+    "m4_autoencoder": _detector("autoencoder"),
+    "m5_variational_autoencoder": _detector("variational_autoencoder"),
+    "m6_ganomaly": _detector("ganomaly"),
+    "m7_attention_autoencoder": _detector("anomaly_transformer"),
+    "m8_cnn_autoencoder": _detector("cnn_autoencoder"),
+    "m9_deep_svdd": _detector("deep_svdd"),
     "m10_sequence_detector": sequence_errors,
     "m12_pca_reconstruction": _detector("pca_reconstruction"),
     "m13_m15_scaled_fusion": scaled_components,
