@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardlight.operators.ordered import PatientOrder
 from wardlight.session import collect_bounded
 
-# Every test name becomes a column; more than this is an error, never a cut.
+# Every test name becomes a column; more than this is an error, never a cut: take the map form.
 MAX_TESTS = 2_000
 
 
@@ -42,16 +42,23 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
 def assemble(encounters: DataFrame, patients: DataFrame, vitals: DataFrame | None = None,
              lab_results: DataFrame | None = None, comorbidities: DataFrame | None = None,
              medications: DataFrame | None = None, environment: DataFrame | None = None,
-             lab_names: list[str] | None = None) -> DataFrame:
+             lab_names: list[str] | None = None, lab_map: str | None = None) -> DataFrame:
     """Join the normalised tables on their keys; lists hold active entries only.
 
     Child tables are reduced to one row per parent before they are joined, so
-    the encounter side is shuffled once per key and never multiplied.
+    the encounter side is shuffled once per key and never multiplied. Lab tests
+    become a column each, or with ``lab_map`` one column of that name that maps
+    test names to values and has no bound on the names.
     """
     out = encounters.join(patients, "patient_id", "left")
     if vitals is not None:
         out = out.join(vitals, "encounter_id", "left")
-    if lab_results is not None:
+    if lab_results is not None and lab_map:
+        best = (lab_results.where("test_name IS NOT NULL").groupBy("encounter_id", "test_name")
+                .agg(F.max("result_value").alias("_v")))
+        out = out.join(best.groupBy("encounter_id").agg(F.map_from_entries(F.array_sort(F.collect_list(
+            F.struct("test_name", "_v")))).alias(lab_map)), "encounter_id", "left")
+    elif lab_results is not None:
         names = lab_names or sorted(
             r[0] for r in collect_bounded(lab_results.select("test_name").distinct(), MAX_TESTS) if r[0] is not None)
         wide = lab_results.groupBy("encounter_id").pivot("test_name", names).agg(F.max("result_value"))

@@ -16,16 +16,21 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from wardlight.functions.numeric import finite
 from wardlight.operators.drift import AdaptiveWindow
 from wardlight.operators.feedback import normalize_feedback
 from wardlight.operators.fusion import decide
 from wardlight.operators.heads import score_point
 from wardlight.operators.monitor import Monitor, score_batch
+from wardlight.operators.ranking import ordered_totals
 from wardlight.operators.risk import clinical_risk
 from wardlight.schema import KEY, ROW, TIME
-from wardlight.session import fits
+from wardlight.session import cut_lineage, fits
 
+# A calibration profile of more rows is looked up by a join instead of broadcast.
 CALIBRATION_ROWS = 2_000_000
+# Distinct scores of the profile in one row of its table.
+SCORES_PER_BIN = 512
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -33,11 +38,15 @@ def use_state_store(spark: SparkSession) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _profile(calibration: DataFrame, column: str) -> DataFrame:
+    return calibration.select(finite(F.col(column)).alias("v")).where("v IS NOT NULL")
+
+
 def p_value(score: str, calibration: DataFrame, column: str | None = None):
     """Conformal p-value against a calibration profile small enough to broadcast (checked)."""
-    values = calibration.select(F.col(column or score).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    values = _profile(calibration, column or score)
     if not fits(values, CALIBRATION_ROWS):
-        raise ValueError("calibration profile too large to broadcast; score in foreachBatch instead")
+        raise ValueError("calibration profile too large to broadcast; use with_p_value")
     ordered = np.sort(values.toPandas()["v"].to_numpy(dtype=float))
     shared = calibration.sparkSession.sparkContext.broadcast(ordered)
 
@@ -51,6 +60,39 @@ def p_value(score: str, calibration: DataFrame, column: str | None = None):
     return F.nanvl(run(F.col(score)), F.lit(None).cast("double"))
 
 
+def with_p_value(df: DataFrame, score: str, calibration: DataFrame, column: str | None = None) -> DataFrame:
+    """``conformal_p_value`` for a stream or a table, whatever the size of the profile.
+
+    Beyond ``CALIBRATION_ROWS`` the profile becomes a table of ``SCORES_PER_BIN``
+    distinct scores a row, each with its count of scores at or above it. A score
+    finds its row by the highest score of every row (the only part that is
+    broadcast) in a stream-static join, and its count inside that row.
+    """
+    values = _profile(calibration, column or score)
+    if fits(values, CALIBRATION_ROWS):
+        return df.withColumn("conformal_p_value", p_value(score, calibration, column))
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("r", F.lit(1).cast("long"))
+    totals = ordered_totals(counted, [], "v", ["c", "r"], descending=True)
+    table = cut_lineage(totals.groupBy(F.floor((F.col("cum_r") - 1) / SCORES_PER_BIN).alias("_b")).agg(
+        F.max("v").alias("_top"), F.max("cum_c").alias("_n"),
+        F.collect_list(F.struct("v", F.col("cum_c").alias("c"))).alias("_scores")))
+    held = table.select("_b", "_top", "_n").toPandas().sort_values("_top")
+    n = int(held["_n"].max())
+    shared = df.sparkSession.sparkContext.broadcast((held["_top"].to_numpy(float), held["_b"].to_numpy(np.int64)))
+
+    @F.pandas_udf("long")
+    def row_of(s: pd.Series) -> pd.Series:
+        tops, rows = shared.value
+        at = np.searchsorted(tops, s.to_numpy(dtype=float), side="left")
+        return pd.Series(np.where(at < len(tops), rows[np.minimum(at, len(rows) - 1)], -1))
+
+    x = finite(F.col(score))
+    above = F.aggregate("_scores", F.lit(0).cast("long"), lambda a, s: F.when(s["v"] >= x, F.greatest(a, s["c"])).otherwise(a))
+    out = df.withColumn("_b", row_of(x)).join(table.select("_b", "_scores"), "_b", "left")
+    p = F.when(x.isNotNull(), (F.coalesce(above, F.lit(0)) + 1.0) / F.lit(n + 1.0))
+    return out.withColumn("conformal_p_value", p).select(*df.columns, "conformal_p_value")
+
+
 def score_stream(df: DataFrame, baseline: dict[str, tuple[float, float]], threshold: float,
                  calibration: DataFrame | None = None, alpha: float = 0.05,
                  score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -62,7 +104,7 @@ def score_stream(df: DataFrame, baseline: dict[str, tuple[float, float]], thresh
     out = score(out) if score else out.withColumn("anomaly_score", F.col("point_anomaly_score"))
     out = decide(out, "anomaly_score", threshold)
     if calibration is not None:
-        out = out.withColumn("conformal_p_value", p_value("anomaly_score", calibration))
+        out = with_p_value(out, "anomaly_score", calibration)
         out = out.withColumn("conformal_is_anomalous", F.coalesce(F.col("conformal_p_value") <= alpha, F.lit(False)))
     return clinical_risk(out)
 
