@@ -5,8 +5,8 @@ into full windows and one rest; the rest goes into the open window that it
 fills best; when none has room, a new window opens, and if all ``OPEN`` are
 in use the fullest is emitted first. Windows still open at the end of a
 partition are merged in groups of ``FAN`` partitions, level by level: their
-pieces are placed anew, longest first. No task sees more than a group's
-leftovers at once.
+pieces are placed anew, longest first. A group hands on at most
+``open_windows`` of them, so no task sees more than ``FAN`` times that many.
 
 Token ids come from a public tokenizer file. Texts are cut where its pattern
 always cuts (before a word with its blank, and around other white space), and
@@ -234,7 +234,7 @@ def _pack_partition(path: str, open_windows: int, length: int) -> Callable:
     return run
 
 
-def _merge_group(level: int, last: bool, length: int) -> Callable:
+def _merge_group(level: int, last: bool, length: int, open_windows: int = OPEN) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
         group = rows[0]["part"] // FAN
@@ -251,8 +251,10 @@ def _merge_group(level: int, last: bool, length: int) -> Callable:
         windows = Windows(len(items), lambda x: out.extend(_rows(x, number(), group, False)), length)
         for item in sorted(items, key=lambda i: -i[2]):
             windows.place(item[2], [item])
-        for size, held in windows.left():
-            out.extend(_rows(held, number(), group, not last and length - size > NEARLY_FULL))
+        # the next level gets the emptiest ones, at most as many as a partition hands on
+        left = windows.left()
+        for i, (size, held) in enumerate(left, open_windows - len(left)):
+            out.extend(_rows(held, number(), group, not last and i >= 0 and length - size > NEARLY_FULL))
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -268,7 +270,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, op
     waiting = packed.where("open")
     while parts is not None:
         merged = waiting.groupBy(F.floor(F.col("part") / FAN).alias("group")).applyInArrow(
-            _merge_group(level, parts < FAN, length), PIECES_DDL)
+            _merge_group(level, parts < FAN, length, open_windows), PIECES_DDL)
         if parts < FAN:
             done = done.unionByName(merged)
             break
