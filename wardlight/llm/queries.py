@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import apportion, jaccard, langid, licenses, mixing, nbsvm, packing, quotes, rules, simhash
+from wardlight.llm import alignment, apportion, jaccard, langid, licenses, mixing, nbsvm, packing, quotes, rules, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
+def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # it stands at the top and imports this subpackage
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_simhash, op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague,
-    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking, pipeline)}
+    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking, op13_merge_path, pipeline)}
 
 LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
