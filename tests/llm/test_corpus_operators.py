@@ -16,6 +16,7 @@ from tests.llm.conftest import LONG, NEAR, ROWS
 from tests.oracle import connect, rows as normal
 from wardlight.llm import apportion, jaccard, licenses, packing, quotes
 from wardlight.llm.queries import ORACLE, QUERIES
+from wardlight.llm.tokens import byte_level_path
 
 import corpus_pipeline
 
@@ -24,13 +25,13 @@ import corpus_pipeline
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(packing.default_path())
+    found = Tokenizer.from_file(byte_level_path())
     found.encode_special_tokens = True
     return found
 
 
 def test_pieces_encode_as_whole_texts(tokenizer):
-    encoder = packing.PieceEncoder(packing.default_path())
+    encoder = packing.PieceEncoder(byte_level_path())
 
     @settings(max_examples=300, deadline=None)
     @given(st.lists(st.text(alphabet=st.sampled_from(list("ab1é漢😀 \n\t\r.!'’sll  　\x1c\x0b|<>")), max_size=20),

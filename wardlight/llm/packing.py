@@ -8,10 +8,7 @@ partition are merged in groups of ``FAN`` partitions, level by level: their
 pieces are placed anew, longest first. A group hands on at most
 ``open_windows`` of them, so no task sees more than ``FAN`` times that many.
 
-Token ids come from a public tokenizer file. Texts are cut where its pattern
-always cuts (before a word with its blank, and around other white space), and
-each distinct piece of a slice is encoded once. Texts with white space beyond
-ASCII, where that rule would not hold, are encoded whole.
+Token ids come from a public tokenizer file; every text is encoded whole.
 
 Defined results: null and empty texts are the end id alone; repeated rows and
 ids are documents of their own; extra columns are ignored; an empty table
@@ -22,10 +19,7 @@ pieces for each of its rows.
 from __future__ import annotations
 
 import bisect
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,23 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.textio import blank, handed_over, raw, slices, text_of
+from wardlight.llm.textio import handed_over, raw, slices, text_of
+from wardlight.llm.tokens import ByteLevel, byte_level_path
 
 LENGTH = 1024
 OPEN = 64
 FAN = 64
 END = 0
-#: Pieces whose ids a task keeps between slices; beyond it the store starts anew.
-STORE = 450_000
-#: Pieces encoded at once.
-ENCODED_AT_ONCE = 4096
-#: Bytes of text per slice, and of the part in which cuts are looked for.
-SLICE, PART = 4 << 20, 1 << 20
 #: A leftover window with no more room than this is not merged again.
 NEARLY_FULL = 8
-#: UTF-8 of the white space that the tokenizer's pattern knows beyond ASCII.
-WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
                     ("part", pa.int64()), ("open", pa.bool_())])
@@ -58,105 +44,17 @@ PIECES_DDL = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens
               "part long, open boolean")
 
 
-def default_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 class PieceEncoder:
-    """Ids of whole texts, each distinct piece encoded once."""
+    """Ids of whole texts, each closed by the end id."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.store: dict[bytes, bytes] = {}  # ids as 32-bit numbers
-
-    def _encode(self, pieces: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in pieces],
-                                                 add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        self.encode = ByteLevel(path)
 
     def __call__(self, column: pa.Array) -> Iterator[np.ndarray]:
         data, bounds = raw(column)
-        cuts = all_piece_starts(data, bounds)
-        whole = np.zeros(len(bounds) - 1, bool)
-        for match in WIDE_SPACE.finditer(data.tobytes()):
-            whole[np.searchsorted(bounds, match.start(), side="right") - 1] = True
-        offsets = np.empty(len(cuts) + 1, np.int64 if len(data) >= 1 << 31 else np.int32)
-        offsets[:-1], offsets[-1] = cuts, len(data)
-        pieces = pa.Array.from_buffers(
-            pa.binary() if offsets.dtype == np.int32 else pa.large_binary(), len(cuts),
-            [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        if len(self.store) > STORE:
-            self.store.clear()
-        ids = [*map(self.store.get, distinct)]
-        new = [i for i, x in enumerate(ids) if x is None]
-        for k in range(0, len(new), ENCODED_AT_ONCE):
-            part = new[k:k + ENCODED_AT_ONCE]
-            pieces_of = [distinct[i] for i in part]
-            for i, p, x in zip(part, pieces_of, self._encode(pieces_of), strict=True):
-                ids[i] = self.store[p] = x
-        sizes = np.array([len(x) for x in ids] or [0], np.int64) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        first = np.cumsum(sizes) - sizes
-        codes = pieces.indices.to_numpy(zero_copy_only=False)
-        row = np.searchsorted(cuts, bounds)
         for i in range(len(bounds) - 1):
-            if whole[i]:
-                found = self._encode([data[bounds[i]:bounds[i + 1]].tobytes()])[0]
-                yield np.append(np.frombuffer(found, np.uint32), np.uint32(END))
-                continue
-            mine = codes[row[i]:row[i + 1]]
-            size = sizes[mine]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.repeat(first[mine] - (ends - size), size) + np.arange(total)
-            yield np.append(flat[at], np.uint32(END))
-
-
-def all_piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """``piece_starts`` in parts of whole texts, so that its working arrays stay small."""
-    out, row, rows = [], 0, len(bounds) - 1
-    while row < rows:
-        upto = min(rows, max(row + 1, int(np.searchsorted(bounds, bounds[row] + PART, side="right")) - 1))
-        part = data[bounds[row]:bounds[upto]]
-        found = piece_starts(part, bounds[row:upto + 1] - bounds[row]) + bounds[row]
-        out.append(found.astype(np.int32) if len(data) < 1 << 31 else found)
-        row = upto
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
-
-
-def piece_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where to cut: at text starts, before each word or the blank it takes along, and around the white space between.
-
-    The pattern gives a word the single blank before it and keeps the rest of
-    a white space run together, but for a last character that is no blank.
-    """
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.int64)
-    space = blank(data)
-    edge = np.zeros(n, bool)
-    edge[bounds[:-1][bounds[:-1] < n]] = True
-    before = np.zeros(n, bool)
-    before[1:] = space[:-1] & ~edge[1:]
-    cut = edge.copy()
-    word = ~space & before  # a word right after white space of its own text
-    with_blank = np.zeros(n, bool)
-    with_blank[1:] = word[1:] & (data[:-1] == 32)
-    cut |= word & ~with_blank
-    cut[:-1] |= with_blank[1:]
-    # a run starts where white space follows a word; its last character stands alone if it is no blank before a word
-    cut[1:] |= space[1:] & ~space[:-1]
-    last = np.zeros(n, bool)
-    last[:-1] = word[1:] & space[:-1]
-    cut |= last
-    return np.flatnonzero(cut)
+            text = data[bounds[i]:bounds[i + 1]].tobytes().decode("utf-8", "replace")
+            yield np.append(self.encode(text), np.uint32(END))
 
 
 class Windows:
@@ -217,7 +115,7 @@ def _pack_partition(path: str, open_windows: int, length: int) -> Callable:
             made += 1
 
         windows = Windows(open_windows, emit, length)
-        for batch in slices(batches, limit=SLICE):
+        for batch in slices(batches):
             docs = batch.column("doc_id").to_pylist()
             for doc_id, ids in zip(docs, encode(batch.column("text")), strict=True):
                 exact = ids.astype("<u4")
@@ -262,7 +160,7 @@ def _merge_group(level: int, last: bool, length: int, open_windows: int = OPEN)
 
 def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, open_windows: int = OPEN) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    path = tokenizer or default_path()
+    path = tokenizer or byte_level_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     packed = handed_over(rows.mapInArrow(_pack_partition(path, open_windows, length), PIECES_DDL), "packed")
     done, level = packed.where("not open"), 1
