@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import alignment, apportion, jaccard, langid, licenses, mixing, nbsvm, packing, quotes, rules, simhash
+from wardlight.llm import (alignment, apportion, collocations, jaccard, langid, licenses, mixing, nbsvm, packing, quotes, rules,
+                           simhash)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,10 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
+def op12_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_simhash, op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague,
-    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking, op13_merge_path, pipeline)}
+    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking, op12_quotient_collocations,
+    op13_merge_path, pipeline)}
 
 LEDGER_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
@@ -174,5 +180,38 @@ SELECT s.doc_id, len(s.grams)::bigint AS n_shingles, coalesce(c.component_id, s.
 FROM s LEFT JOIN one ON one.grams = s.grams LEFT JOIN classes c ON c.node = one.node
 """
 
+COLLOCATIONS_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT id, lang, unnest(parts) AS piece, generate_subscripts(parts, 1) AS p
+  FROM (SELECT id, lang, regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+') AS parts FROM d)),
+words AS (SELECT id, lang, p, unnest(w) AS word, generate_subscripts(w, 1) AS i
+  FROM (SELECT id, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces)),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+near AS (SELECT lang, word AS w1, lead(word, 1) OVER o AS w2, lead(word, 2) OVER o AS w3, lead(word, 3) OVER o AS w4,
+  lead(word, 4) OVER o AS w5 FROM words WINDOW o AS (PARTITION BY id, p ORDER BY i)),
+grams AS (
+  SELECT lang, [w1] AS g FROM near UNION ALL SELECT lang, [w1, w2] FROM near WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3] FROM near WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3, w4] FROM near WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, [w1, w2, w3, w4, w5] FROM near WHERE w5 IS NOT NULL),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, g, f AS a, unnest(generate_series(1, len(g) - 1)) AS k FROM f WHERE len(g) > 1),
+rated AS (
+  SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, t.n,
+         ((1000::hugeint * c.a * t.n) // (x.f::hugeint * y.f))::bigint AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:c.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[c.k + 1:]
+  JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+held AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, g[:-2] AS g, f FROM f WHERE len(g) > 2
+  UNION ALL SELECT lang, g[2:] AS g, f FROM f WHERE len(g) > 2) GROUP BY ALL),
+kept AS (SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM best b LEFT JOIN held h USING (lang, g)
+  WHERE h.f IS NULL OR 100 * h.f < 100 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+       a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {"op3_rule_ledger": LEDGER_SQL, "op9_prefix_tree_join": COMPONENTS_SQL,
-                          "op10_quotation_linking": QUOTES_SQL}
+                          "op10_quotation_linking": QUOTES_SQL, "op12_quotient_collocations": COLLOCATIONS_SQL}

@@ -95,6 +95,28 @@ class Marks:
         return batch.filter(pa.array(((self.marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
 
 
+class HashMarks:
+    """A bitmap of 64-bit hashes, about 16 bits a hash and at most ``MARK_BITS``; past that more hashes seem to be found."""
+
+    @staticmethod
+    def of(df: DataFrame, column: str) -> np.ndarray:
+        bits = min(MARK_BITS, 1 << max(16, int(16 * df.count()).bit_length()))
+        position = F.col(column).bitwiseAND(bits - 1) + 1
+        rows = (df.groupBy(F.bitmap_bucket_number(position).alias("bucket"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits")).collect())
+        out = np.zeros(bits >> 3, np.uint8)
+        for r in rows:
+            part = np.frombuffer(bytes(r["bits"]), np.uint8)
+            at = (r["bucket"] - 1) * len(part)
+            out[at:at + len(part)] = part[:len(out) - at]
+        return out
+
+    @staticmethod
+    def found(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.astype(np.uint64) & np.uint64(8 * len(marks) - 1)
+        return ((marks[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with at most ``limit`` bytes of text."""
