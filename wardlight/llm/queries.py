@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlight.llm import (alignment, apportion, collocations, jaccard, langid, licenses, mixing, nbsvm, packing, quotes, rules,
+from wardlight.llm import (alignment, apportion, collocations, jaccard, langid, licenses, mixing, nbsvm, packing, quotes, repeats, rules,
                            simhash)
 
 
@@ -52,6 +52,10 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
+def op11_column_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_quotient_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -68,7 +72,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_context_mixing, op2_simhash, op3_rule_ledger, op4_nb_svm, op5_bounded_packing, op6_license_rules, op7_sainte_lague,
-    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking, op12_quotient_collocations,
+    op8_rank_order_profiles, op9_prefix_tree_join, op10_quotation_linking, op11_column_repeats,
+    op12_quotient_collocations,
     op13_merge_path, pipeline)}
 
 LEDGER_SQL = r"""
