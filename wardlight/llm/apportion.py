@@ -5,7 +5,9 @@ cut into blocks of ``block_words`` words. Seats (blocks) go to sources, and
 from a source to its shards, by the highest quotients ``votes / (2k - 1)``.
 A shard then takes whole passes over its blocks and, for the rest of its
 quota, evenly spaced blocks from a seeded start. Everything is DataFrame
-arithmetic: only the narrow (id, source, size) rows are shuffled.
+arithmetic: ``mix`` shuffles narrow (id, source, size) rows, ``mixed_texts``
+moves whole rows once. Quotients over all sources are ranked in one task, on
+one row for each source.
 
 Defined results: null text has size 0 and takes 0; a null source is a source
 of its own, ordered last; sources without words get target 0; an empty table
@@ -18,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.llm.textio import WORD, text_of, word_count
+from wardlight.llm.textio import WORD, handed_over, text_of, word_count
+from wardlight.session import broadcast_if_fits
 
 WEIGHTS = (3.0, 1.0, 2.0)
 RATE, LIMIT = 1.5, 2.0
@@ -102,27 +105,19 @@ def _words_before(words: Column, block_words: int) -> Column:
     return _chosen(block) * block_words + (_chosen(block + 1) - _chosen(block)) * (words - block * block_words)
 
 
-def quotas(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED,
-           rate: float = RATE, limit: float = LIMIT, weights=WEIGHTS) -> DataFrame:
-    """Each document with its shard's quota: what ``mix`` and ``mixed_texts`` select by.
+def _shares(narrow: DataFrame, block_words: int, shard_words: int, seed: int, rate: float, limit: float,
+            weights) -> tuple[DataFrame, DataFrame]:
+    """One row for each source (size, target, seats, shards) and one for each shard (passes, extra, start, blocks).
 
-    ``docs`` has (doc_id, source, size) and whatever else shall be kept.
+    ``narrow`` has (source, size, _order).
     """
-    keep = docs.columns
-    narrow = docs.select("source", "size", F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_order"))
     sources = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = (targets(sources, rate, limit, weights)
               .withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
               .withColumn("_total", F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block_words)
                           .cast("long")))
     wanted = seats(wanted, [], "source", "target", "_total", "_seats").drop("_total")
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        return (rows.alias("d").join(wanted.alias("w"), F.col("d.source").eqNullSafe(F.col("w.source")))
-                .select("d.*", "w.source_size", "w.target", "w._seats",
-                        F.pmod(F.col("d._order"), F.col("w._shards")).alias("_shard")))
-
-    shards = (dealt(narrow).groupBy("source", "_shard", "_seats").agg(F.sum("size").alias("_size")))
+    shards = (_dealt(narrow, wanted).groupBy("source", "_shard", "_seats").agg(F.sum("size").alias("_size")))
     shards = (seats(shards, ["source"], "_shard", "_size", "_seats", "_quota")
               .withColumn("_blocks", F.ceil(F.col("_size") / block_words).cast("long"))
               .withColumn("_quota", F.least(F.col("_quota"), F.floor(limit * F.col("_blocks")).cast("long")))
@@ -131,9 +126,31 @@ def quotas(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = S
               .withColumn("_extra", F.col("_quota") - F.col("_passes") * F.col("_blocks"))
               .withColumn("_start", F.when(F.col("_blocks") > 0, F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"),
                                                                         F.col("_blocks"))).otherwise(F.lit(0))))
+    return wanted, shards
+
+
+def _dealt(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    return (rows.alias("d").join(wanted.alias("w"), F.col("d.source").eqNullSafe(F.col("w.source")))
+            .select("d.*", "w.source_size", "w.target", "w._seats",
+                    F.pmod(F.col("d._order"), F.col("w._shards")).alias("_shard")))
+
+
+def _seeded(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id"))
+
+
+def quotas(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED,
+           rate: float = RATE, limit: float = LIMIT, weights=WEIGHTS) -> DataFrame:
+    """Each document with its shard's quota: what ``mix`` selects by.
+
+    ``docs`` has (doc_id, source, size) and whatever else shall be kept.
+    """
+    keep = docs.columns
+    narrow = docs.select("source", "size", _seeded(seed).alias("_order"))
+    wanted, shards = _shares(narrow, block_words, shard_words, seed, rate, limit, weights)
     stream = Window.partitionBy("source", "_shard").orderBy("_order", "doc_id", "size").rowsBetween(
         Window.unboundedPreceding, 0)
-    rows = dealt(docs.withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id"))))
+    rows = _dealt(docs.withColumn("_order", _seeded(seed)), wanted)
     rows = rows.withColumn("_end", F.sum("size").over(stream)).drop("_seats")
     match = F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r._shard") == F.col("s._shard"))
     return rows.alias("r").join(shards.alias("s"), match).select(
@@ -157,26 +174,43 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, **options) -> DataFrame
                         taken.cast("long").alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, block_words: int = 256, **options) -> DataFrame:
+def mixed_texts(docs: DataFrame, block_words: int = 256, shard_words: int = SHARD_WORDS, seed: int = SEED,
+                rate: float = RATE, limit: float = LIMIT, weights=WEIGHTS) -> DataFrame:
     """The mix as documents: whole passes over a text, then its chosen blocks, joined by line breaks.
 
     Returns the columns of ``docs``; documents of which nothing is taken go.
     The blocks of an excerpt keep their own white space.
+
+    Sizes are counted once and written as narrow rows, from which sources and
+    shards get their quotas. Both tables are small (a row for each source, and
+    for each ``shard_words`` words) and join the rows by one key that is never
+    null: whole rows move once, to the task that numbers their shard.
     """
     columns = docs.columns
-    sized = docs.select("doc_id", "source", word_count(text_of()).alias("size"), "text",
-                        F.struct(*columns).alias("_doc"))
-    dealt = quotas(sized, block_words, **options)
+    narrow = handed_over(docs.select("source", word_count(text_of()).alias("size"), _seeded(seed).alias("_order")), "sizes")
+    wanted, shards = _shares(narrow, block_words, shard_words, seed, rate, limit, weights)
+    wanted, shards = handed_over(wanted, "wanted"), handed_over(shards, "shards")
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_source")
+    rows = docs.select(F.struct(*columns).alias("_doc"), key, "doc_id", word_count(text_of()).alias("size"),
+                       _seeded(seed).alias("_order"), F.xxhash64(text_of()).alias("_tie"))
+    rows = (rows.join(broadcast_if_fits(wanted.select(key, "_shards")), "_source")
+            .withColumn("_shard", F.pmod(F.col("_order"), F.col("_shards"))))
+    stream = Window.partitionBy("_source", "_shard").orderBy("_order", "doc_id", "size", "_tie").rowsBetween(
+        Window.unboundedPreceding, 0)
+    dealt = (rows.withColumn("_from", F.sum("size").over(stream) - F.col("size"))
+             .join(broadcast_if_fits(shards.select(key, "_shard", "_passes", "_extra", "_start", "_blocks")),
+                   ["_source", "_shard"]))
     end = F.col("_from") + F.col("size")
     more = _words_before(end, block_words) - _words_before(F.col("_from"), block_words)
-    parts = F.regexp_extract_all(text_of(), F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    text = text_of("_doc.text")
+    parts = F.regexp_extract_all(text, F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
 
     def in_block(_, i):
         block = F.floor((F.col("_from") + i) / block_words).cast("long")
         return (_chosen(block + 1) - _chosen(block)) == 1
 
     excerpt = F.when(more > 0, F.array_join(F.filter(parts, in_block), ""))
-    whole = F.array_repeat(text_of(), F.col("_passes").cast("int"))
+    whole = F.array_repeat(text, F.col("_passes").cast("int"))
     out = (dealt.where((F.col("_passes") * F.col("size") + more) > 0)
            .withColumn("text", F.array_join(F.concat(whole, F.when(excerpt.isNotNull(), F.array(excerpt)).otherwise(
                F.array().cast("array<string>"))), "\n")))
