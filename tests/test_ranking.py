@@ -76,7 +76,7 @@ def test_split_edges(spark):
         with_split(two, train=0, validation=0, test=0)
 
 
-def test_blocks_equal_broadcast(spark, monkeypatch):
+def test_imputation_does_not_depend_on_the_cells(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 4))
     x[rng.random(x.shape) < 0.2] = np.nan
@@ -84,8 +84,8 @@ def test_blocks_equal_broadcast(spark, monkeypatch):
     df = spark.createDataFrame(pdf).select("row_id", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in "abcd"])
     means = {c: float(np.nanmean(pdf[c])) for c in "abcd"}
     held = nn.impute_nearest(df, df, list("abcd"), means, 5).toPandas().sort_values("row_id")
-    monkeypatch.setattr(nn, "CELLS_TO_BROADCAST", 0)
-    monkeypatch.setattr(nn, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(nn, "PIVOTS", 5)
+    monkeypatch.setattr(nn, "SPLIT_ROWS", 20)
     cut = nn.impute_nearest(df, df, list("abcd"), means, 5).toPandas().sort_values("row_id")
     np.testing.assert_allclose(held[list("abcd")], cut[list("abcd")])
     # brute force for one column

@@ -76,14 +76,14 @@ def test_reviewed_rows_have_ids_of_their_own(spark):
     assert sorted(r["label"] for r in rows) == [0, 0, 0, 1, 1]
 
 
-def test_nearest_breaks_ties_by_id_on_both_paths(spark, monkeypatch):
+def test_nearest_breaks_ties_by_id_in_any_cells(spark, monkeypatch):
     from wardlight.operators import nearest as module
 
     points = spark.createDataFrame([((i * 7) % 40, 0.0 if i % 2 else 1.0) for i in range(40)], "row_id long, x double")
     query = spark.createDataFrame([(100, 0.0)], "row_id long, x double")
     plain = [r["neighbour"] for r in nearest(query, points, ["x"], 3).orderBy("rank").collect()]
-    monkeypatch.setattr(module, "CELLS_TO_BROADCAST", 0)
-    monkeypatch.setattr(module, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(module, "PIVOTS", 1)
+    monkeypatch.setattr(module, "SPLIT_ROWS", 7)
     assert [r["neighbour"] for r in nearest(query, points, ["x"], 3).orderBy("rank").collect()] == plain
     assert plain == sorted((i * 7) % 40 for i in range(40) if i % 2)[:3]
 
