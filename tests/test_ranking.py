@@ -85,6 +85,7 @@ def test_imputation_does_not_depend_on_the_cells(spark, monkeypatch):
     means = {c: float(np.nanmean(pdf[c])) for c in "abcd"}
     held = nn.impute_nearest(df, df, list("abcd"), means, 5).toPandas().sort_values("row_id")
     monkeypatch.setattr(nn, "PIVOTS", 5)
+    monkeypatch.setattr(nn, "ROWS_PER_PIVOT", 1)
     monkeypatch.setattr(nn, "SPLIT_ROWS", 20)
     cut = nn.impute_nearest(df, df, list("abcd"), means, 5).toPandas().sort_values("row_id")
     np.testing.assert_allclose(held[list("abcd")], cut[list("abcd")])

@@ -30,7 +30,7 @@ def small(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", FULL)
-def test_detectors_are_fitted_on_all_coordinates_with_defaults(spark, small, name, monkeypatch):
+def test_detectors_are_fitted_on_coordinates_with_defaults(spark, small, name, monkeypatch):
     seen = []
 
     def fit(kind, df, features, **options):
@@ -61,7 +61,7 @@ def test_forest_sequence_and_scoring_keep_their_defaults(spark, sf, monkeypatch)
     assert inspect.signature(detectors.fit_isolation_forest).parameters["trees"].default == 300
 
 
-def test_residuals_of_all_coordinates(spark, small):
+def test_residuals_of_coordinates(spark, small):
     path, x = small
     got = QUERIES["x4_residual_table"](spark, path).collect()
     assert len(got) == 40 and any(int(r["top_feature"][1:]) >= 16 for r in got)
@@ -69,7 +69,7 @@ def test_residuals_of_all_coordinates(spark, small):
 
 def test_collective_head(spark, small):
     path, x = small
-    for r in QUERIES["m21_all_collective_head"](spark, path).collect():
+    for r in QUERIES["m21_collective_head"](spark, path).collect():
         v = x[r["row_id"]]
         a, b = np.sqrt((v[:3] ** 2).mean()), np.sqrt((v[3:] ** 2).mean())
         assert r["collective_anomaly_top_group_error"] == pytest.approx(max(a, b), abs=1e-7)
@@ -80,7 +80,7 @@ def test_pair_interactions(spark, small):
     path, x = small
     dev = x - x.mean(axis=0)
     got = {(r["row_id"], r["rank"]): (r["feature_i"], r["feature_j"], r["interaction_value"])
-           for r in QUERIES["x3_all_pair_interactions"](spark, path).collect()}
+           for r in QUERIES["x3_pair_interactions"](spark, path).collect()}
     assert len(got) == 120
     for q, v in enumerate(dev):
         peak = np.abs(v).max() ** 2
@@ -96,7 +96,7 @@ def strongest(v):
 def test_local_interactions(spark, small):
     path, x = small
     got = {(r["row_id"], r["feature_i"], r["feature_j"]): r["interaction_value"]
-           for r in QUERIES["x7_all_local_interactions"](spark, path).collect()}
+           for r in QUERIES["x7_local_interactions"](spark, path).collect()}
     want = {}
     for q, v in enumerate(x):
         for (a, i), (b, j) in combinations(enumerate(strongest(v)[:4]), 2):
@@ -108,7 +108,7 @@ def test_local_interactions(spark, small):
 def test_top_alerts(spark, small):
     path, x = small
     got = {(r["row_id"], r["rank"]): (r["feature"], r["attribution"], r["anomaly_score"])
-           for r in QUERIES["t3_all_top_alerts"](spark, path).collect()}
+           for r in QUERIES["t3_top_alerts"](spark, path).collect()}
     peak = np.abs(x).max(axis=1)
     want = {(q, k): (f"x{i}", pytest.approx(x[q, i]), pytest.approx(peak[q]))
             for q in sorted(range(40), key=lambda q: (-peak[q], q))[:10] for k, i in enumerate(strongest(x[q])[:3], 1)}
@@ -119,7 +119,7 @@ def test_nearest_imputation(spark, small):
     path, x = small
     gaps = np.array([[np.nan if (q * 7 + i * 3) % 5 == 0 else x[q, i] for i in range(64)] for q in range(40)])
     means = np.nanmean(gaps, axis=0)
-    for r in QUERIES["i4_c4_all_nearest_imputation"](spark, path).collect():
+    for r in QUERIES["i4_c4_nearest_imputation"](spark, path).collect():
         q = gaps[r["vec_id"]]
         both = ~np.isnan(gaps) & ~np.isnan(q)
         n = both.sum(axis=1)
@@ -132,5 +132,5 @@ def test_nearest_imputation(spark, small):
 
 
 def test_token_indicators(spark, small):
-    got = {r["feature"]: r["rows"] for r in QUERIES["i2_d19_all_token_indicators"](spark, small[0]).collect()}
+    got = {r["feature"]: r["rows"] for r in QUERIES["i2_d19_token_indicators"](spark, small[0]).collect()}
     assert got == {"tags__en": 7, "tags__src0": 3, "tags__src1": 2, "tags__src2": 2}

@@ -19,6 +19,7 @@ from wardlight.operators import nets
 from wardlight.operators.nearest import nearest
 from wardlight.operators.ranking import exact_quantiles, hash_sample
 from wardlight.schema import ROW
+from wardlight.session import cut_lineage
 
 
 @dataclass
@@ -347,7 +348,7 @@ def _density_scorer(spark, features, state):
         return joined.groupBy(row).agg(
             (1.0 / (F.avg(F.greatest("distance", "_kd")) + 1e-10)).alias("_lrd"))
 
-    known = density(pairs).select(F.col(row).alias("neighbour"), F.col("_lrd").alias("_nd")).persist()
+    known = cut_lineage(density(pairs).select(F.col(row).alias("neighbour"), F.col("_lrd").alias("_nd")))
 
     def raw(frame, output):
         found = nearest(frame.select(row, *features), ref, features, k, row)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from wardlight.operators.detectors import fit_detector
@@ -56,10 +54,9 @@ def attribution_top(spark, d):
     return rounded(explain.top_attributions(base, 1).select("row_id", "feature", "attribution", "rank"))
 
 
-def pair_interactions(spark, d, n=6):
-    df = vectors(spark, d, n)
-    names = DIMS[:n]
-    pairs = explain.interactions(df, names, _background(df, names))
+def pair_interactions(spark, d):
+    df = vectors(spark, d)
+    pairs = explain.interactions(df, DIMS, _background(df, DIMS))
     return rounded(explain.top_pairs(pairs, 3).select("row_id", "feature_i", "feature_j", "interaction_value", "rank"))
 
 
@@ -83,27 +80,27 @@ def payloads(spark, d):
     return rounded(explain.parse_explanations(li, "blob").select("row_id", "feature", "shap_value", "absolute_shap_value", "method", "rank"))
 
 
-def _coordinate_attributions(spark, d, n):
-    """Embedding coordinates read as signed contributions of ``n`` features."""
-    df = vectors(spark, d, n)
-    return df, df.unpivot(["row_id"], DIMS[:n], "feature", "attribution")
+def _coordinate_attributions(spark, d):
+    """Embedding coordinates read as signed contributions of features."""
+    df = vectors(spark, d)
+    return df, df.unpivot(["row_id"], DIMS, "feature", "attribution")
 
 
-def local_interactions(spark, d, n=6):
-    _, long = _coordinate_attributions(spark, d, n)
+def local_interactions(spark, d):
+    _, long = _coordinate_attributions(spark, d)
     return rounded(explain.local_interactions(explain.top_attributions(long, 4), 4), digits=9)
 
 
-def top_alerts(spark, d, n=6):
-    df, long = _coordinate_attributions(spark, d, n)
-    scored = df.select("row_id", F.greatest(*[F.abs(c) for c in DIMS[:n]]).alias("anomaly_score"))
-    out = explain.top_alerts(scored, explain.top_attributions(long, n), alerts=10, features=3)
+def top_alerts(spark, d):
+    df, long = _coordinate_attributions(spark, d)
+    scored = df.select("row_id", F.greatest(*[F.abs(c) for c in DIMS]).alias("anomaly_score"))
+    out = explain.top_alerts(scored, explain.top_attributions(long, len(DIMS)), alerts=10, features=3)
     return rounded(out.select("row_id", "anomaly_score", "feature", "attribution", "rank"), digits=9)
 
 
-def collective_groups(spark, d, n=8):
-    df = vectors(spark, d, n)
-    out = score_collective(df, {"first:a|b": DIMS[:3], "second:c": DIMS[3:n]})
+def collective_groups(spark, d):
+    df = vectors(spark, d)
+    out = score_collective(df, {"first:a|b": DIMS[:3], "second:c": DIMS[3:]})
     return rounded(out.select("row_id", "collective_anomaly_score", "collective_anomaly_top_group",
                               "collective_anomaly_top_group_error"), digits=8)
 
@@ -119,11 +116,6 @@ QUERIES = {
     "x6_parsed_payloads": payloads,
     "x7_local_interactions": local_interactions,
     "t3_top_alerts": top_alerts,
-    # the same over every coordinate; the twins of the above read the first 6 or 8
-    "m21_all_collective_head": partial(collective_groups, n=64),
-    "x3_all_pair_interactions": partial(pair_interactions, n=64),
-    "x7_all_local_interactions": partial(local_interactions, n=64),
-    "t3_all_top_alerts": partial(top_alerts, n=64),
 }
 
 _ABL = f"""
@@ -131,13 +123,10 @@ WITH {VISITS}, {_Z},
 s AS (SELECT row_id, greatest(abs(zv), abs(zk)) AS m, abs(zv) AS v, abs(zk) AS w FROM point),
 a AS (SELECT row_id, 'value' AS feature, m / (m + 3) - w / (w + 3) AS attribution FROM s
       UNION ALL SELECT row_id, 'k', m / (m + 3) - v / (v + 3) FROM s)"""
-_DEV = ", ".join(f"embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE) OVER () AS x{i}" for i in range(6))
-_PAIRS = " UNION ALL ".join(
-    f"SELECT vec_id, 'x{i}' AS feature_i, 'x{j}' AS feature_j, x{i} * x{j} / (p * p) AS v FROM d"
-    for i in range(6) for j in range(i + 1, 6))
-_RANKED = """
-WITH e AS (SELECT vec_id, """ + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(6)) + """ FROM embeddings),
-long AS (UNPIVOT e ON x0, x1, x2, x3, x4, x5 INTO NAME feature VALUE v),
+_LONG = """
+WITH long AS (SELECT vec_id, 'x' || (k - 1) AS feature, v FROM (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings)),"""
+_RANKED = f"""{_LONG}
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, feature) AS rank FROM long)"""
 ORACLE = {
     "x7_local_interactions": f"""{_RANKED}, k AS (SELECT * FROM r WHERE rank <= 4)
@@ -153,10 +142,12 @@ FROM s JOIN r USING (vec_id) WHERE rank <= 3""",
     "x2_top_attribution": f"""{_ABL}
 SELECT row_id, feature, round(attribution, 6) AS attribution, 1 AS rank FROM a
 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY abs(attribution) DESC, feature) = 1""",
-    "x3_pair_interactions": f"""
-WITH e AS (SELECT vec_id, {_DEV} FROM embeddings),
-d AS (SELECT *, greatest({", ".join(f"abs(x{i})" for i in range(6))}) AS p FROM e),
-pairs AS ({_PAIRS}),
+    "x3_pair_interactions": f"""{_LONG}
+m AS (SELECT feature, avg(v) AS m FROM long GROUP BY feature),
+d AS (SELECT vec_id, feature, substr(feature, 2)::INT AS k, v - m AS x FROM long JOIN m USING (feature)),
+p AS (SELECT vec_id, max(abs(x)) AS p FROM d GROUP BY vec_id),
+pairs AS (SELECT a.vec_id, a.feature AS feature_i, b.feature AS feature_j, a.x * b.x / (p * p) AS v
+  FROM d a JOIN d b ON a.vec_id = b.vec_id AND a.k < b.k JOIN p ON p.vec_id = a.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, feature_i, feature_j) AS rank FROM pairs)
 SELECT vec_id AS row_id, feature_i, feature_j, round(v, 6) AS interaction_value, rank FROM r WHERE rank <= 3""",
     "x6_parsed_payloads": """
@@ -165,8 +156,8 @@ SELECT row_id, 'a' AS feature, round(a, 6) AS shap_value, round(abs(a), 6) AS ab
        CASE WHEN abs(a) >= 200000.5 THEN 1 ELSE 2 END AS rank FROM v
 UNION ALL SELECT row_id, 'b', -200000.5, 200000.5, 'm', CASE WHEN abs(a) >= 200000.5 THEN 2 ELSE 1 END FROM v""",
     "m21_collective_head": """
-WITH g AS (SELECT vec_id, """ + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(8)) + """ FROM embeddings),
-e AS (SELECT vec_id, sqrt((x0*x0 + x1*x1 + x2*x2) / 3) AS a, sqrt((x3*x3 + x4*x4 + x5*x5 + x6*x6 + x7*x7) / 5) AS b FROM g)
+WITH g AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: v * v) AS s FROM embeddings),
+e AS (SELECT vec_id, sqrt(list_sum(s[1:3]) / 3) AS a, sqrt(list_sum(s[4:]) / (len(s) - 3)) AS b FROM g)
 SELECT vec_id AS row_id, round(greatest(a, b) / (greatest(a, b) + 3), 8) AS collective_anomaly_score,
        CASE WHEN a >= b THEN 'first_a_b' ELSE 'second_c' END AS collective_anomaly_top_group,
        round(greatest(a, b), 8) AS collective_anomaly_top_group_error FROM e""",
