@@ -1,5 +1,7 @@
 """The chunked form for hot patients must equal the plain form."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -119,6 +121,53 @@ def test_adaptive_window_matches_all_splits(spark, skewed):
     assert any(h is not None for h in hits)
 
 
+def plain_windows(x, m, delta):
+    """All splits of every window, with numpy."""
+    live, out = np.empty(0), []
+    c = 0.5 * np.log(4 / delta)
+    for v in x:
+        if np.isfinite(v):
+            live = np.append(live, v)
+        n = len(live)
+        out.append((0.0, -1))
+        if n >= 2 * m:
+            s = np.arange(m, n - m + 1)
+            p = np.cumsum(live)
+            e = np.abs((p[-1] - p[s - 1]) / (n - s) - p[s - 1] / s) - np.sqrt(c * (1 / s + 1 / (n - s)))
+            if e.max() > 0:
+                out[-1] = (e.max(), s[e.argmax()])
+                live = live[-m:]
+    return np.array(out)
+
+
+@pytest.mark.parametrize("name", ["quiet", "drift", "steps", "edge", "gaps"])
+def test_adaptive_window_in_runs_equals_all_splits(name):
+    rng = np.random.default_rng(8)
+    n = 3000
+    x = {"quiet": rng.normal(0, 0.05, n), "drift": np.linspace(0, 2, n) + rng.normal(0, 0.3, n),
+         "steps": np.repeat(rng.normal(0, 1, 30), 100) + rng.normal(0, 0.2, n),
+         "edge": rng.normal(0, 1.5, n), "gaps": np.where(rng.random(n) < 0.2, np.nan, rng.normal(0, 0.6, n))}[name]
+    expected = plain_windows(x, 5, 0.01)
+    for cuts in ([], [1, 2, 700, 701, 2048]):  # however the stream is cut into batches
+        w = AdaptiveWindow(5, 0.01)
+        got = [np.column_stack(w.extend(part)) for part in np.split(x, cuts)]
+        np.testing.assert_allclose(np.vstack(got), expected, atol=1e-12)
+    w = AdaptiveWindow(5, 0.01)
+    assert [w.push(v)[1] or -1 for v in x[:400]] == expected[:400, 1].tolist()
+
+
+def test_adaptive_window_grows_nearly_in_proportion():
+    """A quiet stream of 16 times the length costs far less than 256 times the work."""
+    def seconds(n):
+        x = np.random.default_rng(1).normal(0, 0.05, n)
+        start = time.perf_counter()
+        AdaptiveWindow(5, 0.01).extend(x)
+        return time.perf_counter() - start
+
+    seconds(2000)
+    assert min(seconds(80_000) for _ in range(2)) < 60 * max(min(seconds(5_000) for _ in range(3)), 1e-3)
+
+
 def test_alarms_persist_and_name_their_method(skewed):
     out = drift_alarms(PatientOrder(skewed, hot=None), "value").done().toPandas()
     for _, g in out.sort_values(["patient_id", "recorded_at"]).groupby("patient_id"):

@@ -55,36 +55,131 @@ def cusum(order: PatientOrder, score: str, baseline_window: int = 5, k: float =
 
 
 class AdaptiveWindow:
-    """Running state of the two-window mean test for one patient."""
+    """Running state of the two-window mean test for one patient.
+
+    A split s of n scores alarms when its prefix sum P strays from s times the
+    mean by more than sqrt(c * s * (n - s) / n). Splits lie in blocks of
+    ``BLOCK``; a block keeps the largest and smallest stray at some past mean.
+    The mean moves little and the allowance only grows with n, so the two
+    numbers bound every split of the block for many scores to come. Only blocks
+    whose bound turns positive are looked through, and take the mean of that
+    moment; the last, open splits are tested one by one. Scores come in runs,
+    so a quiet stream costs a few vector operations for each run.
+    """
+
+    BLOCK, RUN = 256, 64
 
     def __init__(self, min_window: int, delta: float):
         self.min_window = min_window
         self.c = 0.5 * math.log(4.0 / min(max(delta, 1e-6), 0.5))
         self.values = np.empty(64)
+        self.sums = np.empty(64)
         self.size = 0
+        self._reset()
+
+    def _reset(self) -> None:
+        self.high, self.low, self.mean = np.empty(0), np.empty(0), np.empty(0)
+
+    def _append(self, xs: np.ndarray) -> None:
+        while self.size + len(xs) > len(self.values):
+            self.values = np.concatenate([self.values, np.empty(len(self.values))])
+            self.sums = np.concatenate([self.sums, np.empty(len(self.sums))])
+        at = slice(self.size, self.size + len(xs))
+        self.values[at] = xs
+        before = self.sums[self.size - 1:self.size]
+        self.sums[at] = np.cumsum(np.concatenate([before, xs]))[len(before):]
+        self.size += len(xs)
+
+    def _excess(self, n: int, first: int, stop: int) -> np.ndarray:
+        """Excess over the bound of the splits first to stop - 1 of the first n scores."""
+        left = np.arange(first, stop)
+        right = n - left
+        heads = self.sums[first - 1:stop - 1]
+        gap = np.abs((self.sums[n - 1] - heads) / right - heads / left)
+        return gap - np.sqrt(self.c * (1.0 / left + 1.0 / right))
+
+    def _stray(self, block: int, mean: float) -> None:
+        """Measure a block at a mean; blocks are measured in order."""
+        left = np.arange(block * self.BLOCK + 1, (block + 1) * self.BLOCK + 1)
+        stray = self.sums[left - 1] - left * mean
+        if block == len(self.high):
+            self.high, self.low, self.mean = (np.append(x, 0.0) for x in (self.high, self.low, self.mean))
+        self.high[block], self.low[block], self.mean[block] = stray.max(), stray.min(), mean
+
+    def _truncate(self) -> None:
+        m = self.min_window
+        kept = self.values[self.size - m:self.size].copy()
+        self.size = 0
+        self._append(kept)
+        self._reset()
+
+    def _first_suspect(self, n0: int) -> tuple[int, np.ndarray] | None:
+        """The first length after ``n0`` at which a split may alarm, and the blocks that say so."""
+        m, block = self.min_window, self.BLOCK
+        n = np.arange(n0 + 1, self.size + 1)
+        total = self.sums[n - 1]
+        closed = max(0, (n0 - m) // block)
+        while len(self.high) < closed:
+            self._stray(len(self.high), self.sums[n0 - 1] / n0)
+        left = np.arange(max(m, closed * block + 1), self.size - m + 1)
+        alarm = np.zeros(len(n), bool)
+        if len(left):
+            right = n[:, None] - left[None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                heads = self.sums[left - 1][None]
+                gap = np.abs((total[:, None] - heads) / right - heads / left[None])
+                alarm = ((gap - np.sqrt(self.c * (1.0 / left[None] + 1.0 / right)) > 0) & (right >= m)).any(axis=1)
+        bound = np.zeros((len(n), closed), bool)
+        if closed:
+            mean = total / n
+            ends = np.arange(1, closed + 1) * block
+            starts = np.maximum(ends - block + 1, m)
+            moved = np.abs(mean[:, None] - self.mean[None]) * ends[None]
+            stray = np.maximum(self.high, -self.low)[None] + moved
+            allowed = np.sqrt(self.c * np.minimum(starts[None] * (1 - starts[None] / n[:, None]),
+                                                  ends[None] * (1 - ends[None] / n[:, None])))
+            bound = stray * (1 + 1e-9) + 1e-9 * (1 + np.abs(total[:, None])) > allowed
+        suspect = alarm | bound.any(axis=1)
+        if not suspect.any():
+            return None
+        at = int(np.argmax(suspect))
+        return int(n[at]), np.flatnonzero(bound[at])
+
+    def extend(self, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Add scores; for each the excess over the bound (0 when quiet) and the split (-1 when quiet)."""
+        excess, split = np.zeros(len(xs)), np.full(len(xs), -1)
+        places = np.flatnonzero(np.isfinite(xs))
+        m, at = self.min_window, 0
+        while at < len(places):
+            n0 = self.size
+            run = places[at:at + self.RUN]
+            self._append(xs[run])
+            found = self._first_suspect(n0) if self.size >= 2 * m else None
+            if found is None:
+                at += len(run)
+                continue
+            n, blocks = found
+            self.size = n
+            at += n - n0
+            closed = max(0, (n0 - m) // self.BLOCK)
+            tail = max(m, closed * self.BLOCK + 1)
+            open_ = self._excess(n, tail, n - m + 1) if n - m + 1 > tail else np.zeros(0)
+            hit = bool((open_ > 0).any())
+            for b in blocks:
+                first = max(m, b * self.BLOCK + 1)
+                hit = hit or bool((self._excess(n, first, (b + 1) * self.BLOCK + 1) > 0).any())
+                self._stray(b, self.sums[n - 1] / n)
+            if hit:
+                every = self._excess(n, m, n - m + 1)
+                best = int(np.argmax(every))
+                excess[places[at - 1]], split[places[at - 1]] = every[best], m + best
+                self._truncate()
+        return excess, split
 
     def push(self, x: float) -> tuple[float, int | None]:
         """Add one score; returns (excess over the bound, split) with excess 0 when quiet."""
-        if x == x and abs(x) != math.inf:
-            if self.size == len(self.values):
-                self.values = np.concatenate([self.values, np.empty(self.size)])
-            self.values[self.size] = x
-            self.size += 1
-        m, n = self.min_window, self.size
-        if n < 2 * m:
-            return 0.0, None
-        sums = np.cumsum(self.values[:n])
-        left = np.arange(m, n - m + 1)
-        right = n - left
-        heads = sums[left - 1]
-        gap = np.abs((sums[-1] - heads) / right - heads / left)
-        excess = gap - np.sqrt(self.c * (1.0 / left + 1.0 / right))
-        best = int(np.argmax(excess))
-        if excess[best] <= 0.0:
-            return 0.0, None
-        self.values[:m] = self.values[n - m:n].copy()
-        self.size = m
-        return float(excess[best]), int(left[best])
+        excess, split = self.extend(np.array([x], float))
+        return float(excess[0]), int(split[0]) if split[0] >= 0 else None
 
 
 ADWIN_SCHEMA = ("row_id {row}, adwin_stat double, adwin_window_index long, adwin_visit_index long")
@@ -95,8 +190,9 @@ def adaptive_scan(df: DataFrame, score: str, key: str = KEY, time: str = TIME, r
     """Two-window mean test along every patient's score stream.
 
     The test forgets its past after each alarm, so it is a true recurrence:
-    rows are sorted per patient by Spark and pass through Arrow batches with
-    only the live window held in memory. Only four narrow columns travel.
+    rows are sorted per patient by Spark and pass through Arrow batches in runs
+    (see ``AdaptiveWindow``), with only the live window held in memory. Only
+    four narrow columns travel.
 
     Adds ``adwin_stat`` per row; ``adwin_window_index`` (position inside the
     live window) and ``adwin_visit_index`` (visit number) on alarm rows.
@@ -112,23 +208,22 @@ def adaptive_scan(df: DataFrame, score: str, key: str = KEY, time: str = TIME, r
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state, visit = None, None, 0
         for pdf in batches:
-            stats = np.zeros(len(pdf))
-            in_window: list[int | None] = [None] * len(pdf)
-            at_visit: list[int | None] = [None] * len(pdf)
-            scores = pdf["_s"].to_numpy(dtype=float)
-            for i, k in enumerate(pdf["_k"].to_numpy()):
-                if k != current:
-                    current, visit = k, 0
+            n = len(pdf)
+            stats, split, visits = np.zeros(n), np.full(n, -1), np.zeros(n, np.int64)
+            scores, keys = pdf["_s"].to_numpy(dtype=float), pdf["_k"].to_numpy()
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if n else np.zeros(0, int)
+            for a, b in zip(starts, np.append(starts[1:], n), strict=True):
+                if state is None or keys[a] != current:
+                    current, visit = keys[a], 0
                     state = AdaptiveWindow(floor, delta)
-                stats[i], split = state.push(scores[i])
-                if split is not None:
-                    in_window[i] = max(0, split - 1)
-                    at_visit[i] = visit
-                visit += 1
+                stats[a:b], split[a:b] = state.extend(scores[a:b])
+                visits[a:b] = np.arange(visit, visit + b - a)
+                visit += b - a
+            quiet = split < 0
             yield pd.DataFrame({
                 "row_id": pdf["_r"], "adwin_stat": stats,
-                "adwin_window_index": pd.array(in_window, dtype="Int64"),
-                "adwin_visit_index": pd.array(at_visit, dtype="Int64")})
+                "adwin_window_index": pd.arrays.IntegerArray(np.maximum(split - 1, 0).astype(np.int64), quiet),
+                "adwin_visit_index": pd.arrays.IntegerArray(visits, quiet.copy())})
 
     return ordered.mapInPandas(scan, ADWIN_SCHEMA.format(row=kind)).withColumnRenamed("row_id", row)
 

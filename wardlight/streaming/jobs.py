@@ -199,11 +199,7 @@ class DriftState(StatefulProcessor):
             n, first, s, change, live, jump = self.state.get()
             first = list(first)
         window = AdaptiveWindow(max(2, self.min_window), self.delta)
-        for v in live:
-            if window.size == len(window.values):
-                window.values = np.concatenate([window.values, np.empty(window.size)])
-            window.values[window.size] = v
-            window.size += 1
+        window._append(np.asarray(live, float))
         pdf = _in_order(rows, self.time, self.row)
         out = []
         for rid, x in zip(pdf[self.row], pdf[self.score].to_numpy(dtype=float)):
