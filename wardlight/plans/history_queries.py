@@ -135,6 +135,24 @@ context AS (
          CASE WHEN n > 0 THEN (k - km) / (CASE WHEN ks > 1e-12 THEN ks ELSE 1 END) ELSE 0 END AS zk
   FROM prior)"""
 
+# Two-window mean test, visit by visit: floor 5, delta 0.01. ``best`` is the strongest split of the live window.
+_ADAPTIVE = """
+v AS (SELECT row_id, patient_id, value, row_number() OVER (PARTITION BY patient_id ORDER BY recorded_at, row_id) AS i
+      FROM visits WHERE patient_id IS NOT NULL AND recorded_at IS NOT NULL),
+w AS (
+  SELECT patient_id, 0::BIGINT AS i, []::DOUBLE[] AS live, NULL::DOUBLE AS e, NULL::BIGINT AS s
+  FROM (SELECT DISTINCT patient_id FROM v)
+  UNION ALL
+  SELECT patient_id, i, CASE WHEN best.e > 0 THEN seen[-5:] ELSE seen END, best.e, -best.s FROM (
+    SELECT patient_id, i, seen, list_sort(list_transform(generate_series(5, len(seen) - 5), lambda s: {
+      'e': abs(list_sum(seen[s + 1:]) / (len(seen) - s) - list_sum(seen[1:s]) / s)
+           - sqrt(0.5 * ln(4 / 0.01) * (1.0 / s + 1.0 / (len(seen) - s))), 's': -s}))[-1] AS best
+    FROM (SELECT w.patient_id, v.i, CASE WHEN isfinite(v.value) THEN list_append(w.live, v.value) ELSE w.live END AS seen
+          FROM w JOIN v ON v.patient_id = w.patient_id AND v.i = w.i + 1))),
+windows AS (SELECT v.row_id, v.patient_id, v.i, CASE WHEN e > 0 THEN e ELSE 0 END AS adwin_stat,
+                   CASE WHEN e > 0 THEN greatest(0, s - 1) END AS at_window, CASE WHEN e > 0 THEN v.i - 1 END AS at_visit
+            FROM v JOIN w USING (patient_id, i))"""
+
 _CUSUM = """
 pos AS (
   SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY recorded_at, row_id) - 1 AS visit_index
@@ -205,6 +223,21 @@ WITH {VISITS}, {_CUSUM.format(source="(SELECT *, value AS s FROM visits)")}
 SELECT row_id, visit_index, round(cusum_stat, 6) AS cusum_stat, cusum_change_index,
        coalesce(visit_index >= cusum_change_index, false) AS alarm
 FROM hit""",
+    "w6_adaptive_window_drift": f"""
+WITH RECURSIVE {VISITS}, {_ADAPTIVE}
+SELECT row_id, round(adwin_stat, 6) AS adwin_stat, at_window AS adwin_window_index, at_visit AS adwin_visit_index FROM windows""",
+    "w7_drift_alarm_columns": f"""
+WITH RECURSIVE {VISITS}, {_ADAPTIVE}, {_CUSUM.format(source="(SELECT *, value AS s FROM visits)")},
+jump AS (SELECT patient_id, arg_min(at_window, at_visit) AS jump FROM windows WHERE at_visit IS NOT NULL GROUP BY patient_id),
+a AS (SELECT hit.row_id, cusum_stat, adwin_stat, cusum_change_index AS c, jump, coalesce(cusum_change_index, jump) AS change,
+             coalesce(visit_index >= coalesce(cusum_change_index, jump), false) AS alarm
+      FROM hit JOIN windows ON windows.row_id = hit.row_id LEFT JOIN jump ON jump.patient_id = windows.patient_id)
+SELECT row_id, alarm AS score_stream_drift_alarm, alarm AND c IS NOT NULL AS score_stream_cusum_alarm,
+       alarm AND jump IS NOT NULL AS score_stream_adwin_alarm, round(cusum_stat, 6) AS score_stream_cusum_stat,
+       round(adwin_stat, 6) AS score_stream_adwin_stat, CASE WHEN alarm THEN change ELSE -1 END AS score_stream_drift_change_index,
+       CASE WHEN NOT alarm THEN 'none' WHEN c IS NOT NULL AND jump IS NOT NULL THEN 'hybrid'
+            WHEN c IS NOT NULL THEN 'cusum' ELSE 'adwin' END AS score_stream_drift_method
+FROM a""",
     "w9_previous_run_direction": f"""
 WITH {VISITS},
 p AS (SELECT row_id, round(value - lag(value) OVER (PARTITION BY patient_id ORDER BY recorded_at, row_id), 6)
