@@ -11,13 +11,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.operators import nets
 from wardlight.operators.nearest import nearest
-from wardlight.operators.ranking import exact_quantiles, hash_sample
+from wardlight.operators.ranking import exact_quantiles
 from wardlight.schema import ROW
 from wardlight.session import cut_lineage
 
@@ -130,31 +131,74 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[list, li
     return feature, cut, left, depth
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser that spreads the bits of a 64-bit hash."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _drawn(trees: int, features: list[str], seed: int, share: float) -> Callable:
+    """Rows for each tree: those whose hash with the tree is among the lowest ``share``."""
+    top = np.uint64(min(int(share * 2.0 ** 64), 2 ** 64 - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = _mixed(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                h = part.column("_h").to_numpy().view(np.uint64)
+                rank = _mixed(h[:, None] ^ salt[None])
+                row, tree = np.nonzero(rank <= top)
+                taken = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tree.astype(np.int32)), pa.array((rank[row, tree] >> np.uint64(1)).astype(np.int64)),
+                     *[taken.column(f) for f in features]], names=["tree", "_rank", *features])
+
+    return run
+
+
+def _grower(features: list[str], psi: int, limit: int, seed: int) -> Callable:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        x = pdf[features].to_numpy(dtype=float)
+        x = x[np.lexsort([*x.T, pdf["_rank"].to_numpy()])[:psi]]  # rows of equal hash in order of their values
+        out = pd.DataFrame([(tree, len(pdf), *_grow(x, np.random.default_rng([seed, tree]), limit))],
+                           columns=["tree", "drawn", "feature", "cut", "left", "depth"])
+        return out
+
+    return grow
+
+
 @register_detector("isolation_forest")
 def fit_isolation_forest(df: DataFrame, features: list[str], row: str = ROW, trees: int = 300,
                          sample: int = 256, seed: int = 42, **_) -> Fitted:
-    """Trees grow in parallel from one bounded hash sample (trees x sample rows); scoring is row-wise.
+    """Each tree grows from a sub-sample of its own: the ``sample`` rows with the smallest hash of row and tree.
 
-    The sub-sample per tree is part of the method; every row is scored.
+    Rows below a hash limit that leaves each tree about twice its sample are
+    sent to it; the smallest of them are the sub-sample whatever the partitions
+    are, and every row can be drawn by any tree. Trees grow where their rows
+    meet, one group each; the driver gets finished trees only. Should a tree
+    have drawn too few rows, all draw again below a higher limit.
     """
     spark = df.sparkSession
-    pool = hash_sample(df.select(row, *features), trees * sample, [row], seed)
-    data = pool.select(*features).toPandas().to_numpy(dtype=float)
-    psi = min(sample, len(data))
+    drawn_from = df.select(F.xxhash64(F.lit(seed), row).alias("_h"), *[F.col(f).cast("double").alias(f) for f in features])
+    n = df.count()
+    psi = min(sample, n)
     limit = int(np.ceil(np.log2(max(psi, 2))))
-    shared = spark.sparkContext.broadcast(data)
-
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for t in pdf["id"]:
-                rng = np.random.default_rng([seed, int(t)])
-                x = shared.value[rng.choice(len(shared.value), psi, replace=False)]
-                yield pd.DataFrame([(int(t), *_grow(x, rng, limit))],
-                                   columns=["tree", "feature", "cut", "left", "depth"])
-
-    grown = spark.range(trees).mapInPandas(
-        grow, "tree long, feature array<int>, cut array<double>, left array<int>, depth array<double>")
-    rows = sorted(grown.collect(), key=lambda r: r["tree"])  # trees x 2*sample nodes at most
+    nodes = "tree long, drawn long, feature array<int>, cut array<double>, left array<int>, depth array<double>"
+    share = (2.0 * psi + 20.0 * np.sqrt(psi) + 20.0) / max(n, 1)
+    while True:
+        drawn = drawn_from.mapInArrow(_drawn(trees, features, seed, min(share, 1.0)), "tree int, _rank long, " + ", ".join(
+            f"`{f}` double" for f in features))
+        grown = drawn.groupBy("tree").applyInPandas(_grower(features, psi, limit, seed), nodes)
+        rows = sorted(grown.collect(), key=lambda r: r["tree"])  # trees x 2*sample nodes at most
+        if share >= 1.0 or (len(rows) == trees and min(r["drawn"] for r in rows) >= psi):
+            break
+        share *= 2.0
+    if not rows:
+        raise ValueError("an isolation forest needs rows")
     width = max(len(r["feature"]) for r in rows)
 
     def table(name, fill, dtype):

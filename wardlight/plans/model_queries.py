@@ -38,6 +38,19 @@ def line_forest(spark, d):
     return rounded(fitted.score(li).select("row_id", "isolation_forest_score"))
 
 
+def forest_invariants(spark, d):
+    """What any forest must show: a score for every line, between 0 and 1, the same for equal lines, not all alike."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    li = spread(table(spark, d, "lineitem")).select(
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("row_id"), *names)
+    out = fit_detector("isolation_forest", li, names).score(li)
+    raw = F.col("isolation_forest_raw_score")
+    by = out.groupBy(*names).agg(F.max(raw).alias("high"), F.min(raw).alias("low"), F.count(F.lit(1)).alias("n"))
+    return by.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct_rows"), F.min(F.col("low") > 0).alias("above_zero"),
+                  F.max(F.col("high") < 1).alias("below_one"), F.sum((F.col("high") - F.col("low") > 1e-12).cast("long")).alias(
+                      "unequal"), (F.max("high") - F.min("low") > 0.05).alias("spread"))
+
+
 def scaled_components(spark, d):
     df = scored(spark, d)
     parts = MODELS[:3]
@@ -97,6 +110,7 @@ def sequence_errors(spark, d):
 
 QUERIES = {
     "m1_isolation_forest": line_forest,
+    "m1_forest_invariants": forest_invariants,
     "m2_one_class_svm": _detector("one_class_svm"),
     "m3_local_outlier_factor": _detector("local_outlier_factor"),
     "m4_autoencoder": _detector("autoencoder"),
@@ -118,6 +132,9 @@ QUERIES = {
 _U = "least(greatest({c} - {c0}, 0) / ({c1} - {c0}), 1)"
 A, B, C = MODELS[:3]
 ORACLE = {
+    "m1_forest_invariants": """
+SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem))
+       AS distinct_rows, true AS above_zero, true AS below_one, 0::BIGINT AS unequal, true AS spread FROM lineitem""",
     "m3_local_outlier_factor": """
 WITH p AS (SELECT vec_id AS i, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 dist AS (SELECT a.i AS q, b.i AS r, list_distance(a.x, b.x) AS d FROM p a, p b),
