@@ -73,14 +73,30 @@ def reviewer_words(spark, d):
     return c.groupBy(feedback_label(word).alias("feedback_label")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+# A name for every lab field, as a report may write it, with the separator after it and the lowest value given.
+WRITTEN = [
+    ("fastingGlucose", "Fasting Glucose:", 80), ("postprandialGlucose", "PPBS =", 120), ("hba1c", "HbA1c is", 5),
+    ("hemoglobin", "HB", 12), ("wbcCount", "White Blood Cell Count:", 6), ("plateletCount", "PLT -", 200), ("ldl", "LDL:", 90),
+    ("hdl", "hdl =", 45), ("triglycerides", "TG value", 130), ("ast", "SGOT:", 20), ("alt", "ALT", 25), ("bilirubin", "Bilirubin:", 1),
+    ("albumin", "albumin:", 4), ("creatinine", "Serum Creatinine =", 1), ("urea", "BUN:", 11), ("egfr", "eGFR:", 95),
+    ("sodium", "Sodium is", 138), ("potassium", "K:", 4), ("chloride", "Chloride:", 101), ("bicarbonate", "HCO3 =", 24)]
+
+
+def _reported(row_id, text):
+    """The text with a lab report before it: field i reads its lowest value plus (id + i) mod 10 tenths."""
+    lines = [F.concat(F.lit(f"{name} {low}."), F.pmod(F.col(row_id) + i, F.lit(10)).cast("string"), F.lit(" units;"))
+             for i, (_, name, low) in enumerate(WRITTEN)]
+    return F.concat_ws("\n", *lines, F.col(text)).alias(text)
+
+
 def lab_text(spark, d):
-    out = labs.extract_fields(spread(table(spark, d, "documents").select("doc_id", "text")))
-    return out.select("doc_id", *labs.ALIASES)
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return labs.extract_fields(docs.select("doc_id", _reported("doc_id", "text"))).select("doc_id", *labs.ALIASES)
 
 
 def lab_pages(spark, d):
-    out = labs.extract_fields(table(spark, d, "pages").select("page_id", "html"), "html", word_start=False)
-    return out.select("page_id", *labs.ALIASES)
+    pages = table(spark, d, "pages").select("page_id", _reported("page_id", "html"))
+    return labs.extract_fields(pages, "html", word_start=False).select("page_id", *labs.ALIASES)
 
 
 NAMES = ["FBG", " sgpt", "Serum Creatinine", "hb", "K", "unknown", "egfr"]
@@ -240,13 +256,8 @@ risk AS (SELECT *, least(greatest(floor_, least(base + boost, 1.0)), 1.0) AS fin
 
 
 CAT = "CASE WHEN round(final, 4) < 0.4 THEN 'Low' WHEN round(final, 4) < 0.65 THEN 'Medium' ELSE 'High' END"
-FIELD_SQL = {f: labs.field_pattern(f)[4:] for f in labs.ALIASES}
-LOOSE_SQL = {f: labs.field_pattern(f, False)[4:] for f in labs.ALIASES}
-
-
-def _extract(patterns, column):
-    return ", ".join(
-        f"TRY_CAST(nullif(regexp_extract({column}, '{p}', 1, 'i'), '') AS DOUBLE) AS {f}" for f, p in patterns.items())
+def _reported_sql(row_id):
+    return ", ".join(f"{low} + (({row_id} + {i}) % 10) / 10.0 AS {field}" for i, (field, _, low) in enumerate(WRITTEN))
 
 
 LAB = f"""
@@ -328,8 +339,8 @@ SELECT {KEY_SQL}, round(final, 4) AS risk_score_normalized, {CAT} AS risk_catego
 WITH {ENC}, {risk_sql("0.3")}
 SELECT {CAT} AS risk_level, CASE {CAT} WHEN 'High' THEN 'Immediate escalation' WHEN 'Medium' THEN 'Prompt follow-up'
        ELSE 'Routine monitoring' END AS action_title, 3 AS steps, count(*) AS rows FROM risk GROUP BY ALL""",
-    "a15_lab_text_fields": f"SELECT doc_id, {_extract(FIELD_SQL, 'text')} FROM documents",
-    "a15_page_fields": f"SELECT page_id, {_extract(LOOSE_SQL, 'html')} FROM pages",
+    "a15_lab_text_fields": f"SELECT doc_id, {_reported_sql('doc_id')} FROM documents",
+    "a15_page_fields": f"SELECT page_id, {_reported_sql('page_id')} FROM pages",
     "c9_lab_alias_pivot": """
 SELECT l_orderkey, max(l_quantity * 2) FILTER (l_linenumber = 1) AS fastingGlucose,
        max(l_quantity * 2) FILTER (l_linenumber = 2) AS alt, max(l_quantity * 2) FILTER (l_linenumber = 3) AS creatinine,
