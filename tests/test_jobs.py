@@ -57,6 +57,38 @@ def test_save_and_load(spark, data, model, tmp_path):
     assert run["inference_throughput_rows_per_second"] > 0
 
 
+def test_p_values_and_groups_read_the_reconstruction(data, model):
+    """Calibration and batch compare the same source: the reconstruction error; the collective head reads its residuals."""
+    assert model.nonconformity_source == "reconstruction_error"
+    out = score(data.drop("label"), model, adaptive_drift=False).toPandas()
+    errors = np.sort(model.calibration.toPandas()["nonconformity"].to_numpy())
+    expected = (1 + len(errors) - np.searchsorted(errors, out["pca_reconstruction_reconstruction_error"] - 1e-12)) / (len(errors) + 1)
+    np.testing.assert_allclose(out["conformal_p_value"], expected, atol=2.5 / len(errors))
+    assert set(out["conformal_nonconformity_source"]) == {"reconstruction_error"}
+    groups = [c for c in out.columns if c.startswith("collective_group_error__")]
+    whole = out["pca_reconstruction_reconstruction_error"].to_numpy() * len(model.features.names)
+    assert groups and (out[groups].to_numpy().max(axis=1) ** 2 <= whole + 1e-9).all()
+
+
+def test_missing_detectors_hand_on_their_weight(data, model):
+    only = score(data.drop("label"), model, available=["pca_reconstruction"], adaptive_drift=False)
+    assert "isolation_forest_anomaly_score" not in only.columns
+    gap = only.where(F.abs(F.col("tabular_anomaly_score") - F.col("pca_reconstruction_anomaly_score")) > 1e-9)
+    assert gap.isEmpty()
+    with pytest.raises(ValueError):  # calibrated on reconstruction errors, which this batch would not have
+        score(data.drop("label"), model, available=["isolation_forest"], adaptive_drift=False)
+    with pytest.raises(ValueError):
+        score(data.drop("label"), model, available=[])
+
+
+def test_gate_weights_over_available_experts(spark):
+    df = spark.createDataFrame([(i, i % 2 / 1.0, 0.2, 0.9, 0.5) for i in range(20)], "row_id int, x double, a double, b double, c double")
+    gate = fusion.fit_gate(df, ["x"], ["a", "b", "c"])
+    out = fusion.apply_gate(df, gate, ["x"], ["a", "b", "c"], "y", ["a", "c"]).toPandas()
+    np.testing.assert_allclose(out["a_gate_weight"] + out["c_gate_weight"], 1.0)
+    np.testing.assert_allclose(out["y"], out["a_gate_weight"] * 0.2 + out["c_gate_weight"] * 0.5)
+
+
 def test_split_training_and_retraining(spark, data):
     quick = Settings(**{**SMALL.__dict__, "detectors": ("pca_reconstruction",), "fusion_weights": None})
     parts = {n: f.persist() for n, f in zip(("train", "validation", "test"), data.randomSplit([0.6, 0.2, 0.2], 1))}

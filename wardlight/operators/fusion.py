@@ -115,12 +115,23 @@ def fit_gate(df: DataFrame, features: list[str], components: list[str], label: s
         featuresCol="_x", weightCol="_share", family="multinomial", regParam=1e-5, maxIter=50).fit(rows)
 
 
-def apply_gate(df: DataFrame, model, features: list[str], components: list[str], output: str) -> DataFrame:
-    """Adds ``<component>_gate_weight`` (summing to 1) and the fused score."""
+def mean_of_available(values: list[Column]) -> Column:
+    """The mean of those that are there; null where none is."""
+    held = F.array_compact(F.array(*values))
+    return F.aggregate(held, F.lit(0.0), lambda a, v: a + v) / F.when(F.size(held) > 0, F.size(held))
+
+
+def apply_gate(df: DataFrame, model, features: list[str], components: list[str], output: str,
+               available: list[str] | None = None) -> DataFrame:
+    """Adds ``<component>_gate_weight`` (summing to 1 over the available ones) and the fused score."""
     rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
     scored = model.transform(rows).withColumn("_w", vector_to_array("probability"))
     known = model.numClasses
     weights = {c: (F.col("_w")[i] if i < known else F.lit(0.0)) for i, c in enumerate(components)}
+    if available is not None and len(available) < len(components):
+        total = add_all([weights[c] for c in available])
+        even = F.lit(1.0 / len(available))
+        weights = {c: F.when(total > 1e-12, weights[c] / total).otherwise(even) for c in available}
     out = scored.withColumns({
         **{f"{c}_gate_weight": w for c, w in weights.items()},
         output: add_all([F.col(c) * w for c, w in weights.items()])})

@@ -86,15 +86,17 @@ def collective_groups(feature_map: list[dict]) -> dict[str, list[str]]:
     return groups
 
 
-def score_collective(df: DataFrame, groups: dict[str, list[str]], residual: str | None = None) -> DataFrame:
+def score_collective(df: DataFrame, groups: dict[str, list[str]], residual: str | None = None,
+                     features: list[str] | None = None) -> DataFrame:
     """Root mean square error per feature group, row-wise.
 
-    ``residual`` is the prefix of residual columns; without it the transformed
-    values themselves are used.
+    ``residual`` is an array column with one residual for each of ``features``;
+    without it the transformed values themselves are used.
     """
-    prefix = residual or ""
+    at = {f: i for i, f in enumerate(features or [])}
+    value_of = lambda f: F.col(residual)[at[f]] if residual else F.col(f)
     errors = {
-        group_slug(g): F.sqrt(add_all([F.col(prefix + f) * F.col(prefix + f) for f in fs]) / F.lit(float(len(fs))))
+        group_slug(g): F.sqrt(add_all([value_of(f) * value_of(f) for f in fs]) / F.lit(float(len(fs))))
         for g, fs in groups.items()
     }
     name, value = first_peak(list(errors.values()), list(errors))

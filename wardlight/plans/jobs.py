@@ -47,42 +47,65 @@ class Model:
     calibration: DataFrame | None = None
     calibration_source: str = "unavailable"
     training_seconds: float = 0.0
+    nonconformity_source: str = "anomaly_score"
 
     @property
     def components(self) -> list[str]:
         return [d.name for d in self.detectors]
 
 
-def _component_scores(table: DataFrame, model: Model, scaling: str = "fit") -> DataFrame:
-    """Each detector's score scaled into [0, 1] as ``<name>_anomaly_score``."""
+def _component_scores(table: DataFrame, model: Model, scaling: str = "fit",
+                      available: list[str] | None = None) -> DataFrame:
+    """Each detector's score scaled into [0, 1] as ``<name>_anomaly_score``; detectors that are not available do not run."""
     out = table
-    for d in model.detectors:
+    running = [d for d in model.detectors if available is None or d.name in available]
+    if not running:
+        raise ValueError("no detector of the model is available")
+    for d in running:
         out = d.score(out)
-    names = {f"{c}_score": f"{c}_anomaly_score" for c in model.components}
-    ranges = model.ranges if scaling == "fit" else None
+    names = {f"{d.name}_score": f"{d.name}_anomaly_score" for d in running}
+    ranges = {c: r for c, r in model.ranges.items() if c in names} if scaling == "fit" else None
     out = fusion.scale_components(out, ranges, list(names), names)
-    return out.drop(*names, *[f"{c}_raw_score" for c in model.components])
+    return out.drop(*names, *[f"{d.name}_raw_score" for d in running])
 
 
 def _fuse(df: DataFrame, model: Model, output: str, available: list[str] | None = None) -> DataFrame:
+    """Fuse the component scores; components that are not available give their weight to the others.
+
+    A stacked model was fitted on all components: a missing one counts as 0.5.
+    """
     s = model.settings
-    parts = [f"{c}_anomaly_score" for c in model.components]
-    if available is not None and set(available) < set(model.components) and s.fusion_strategy == "weighted_average":
-        weights = fusion.resolve_weights(model.components, s.fusion_weights, s.normalize_weights)
-        kept = fusion.resolve_weights(available, {c: weights[c] for c in available})
-        return df.withColumn(output, fusion.weighted_average(kept, lambda c: F.col(f"{c}_anomaly_score")))
+    held = [c for c in model.components if available is None or c in available]
+    parts = [f"{c}_anomaly_score" for c in held]
     if s.fusion_strategy == "weighted_average":
         weights = fusion.resolve_weights(model.components, s.fusion_weights, s.normalize_weights)
+        if len(held) < len(weights):
+            weights = fusion.resolve_weights(held, {c: weights[c] for c in held})
         return df.withColumn(output, fusion.weighted_average(weights, lambda c: F.col(f"{c}_anomaly_score")))
     if s.fusion_strategy == "max_score_voting":
         return df.withColumn(output, fusion.max_vote(parts))
+    every = [f"{c}_anomaly_score" for c in model.components]
     if s.fusion_strategy == "stacking":
-        return fusion.apply_stacking(df, model.meta, parts, output)
+        missing = {c: F.lit(0.5) for c in every if c not in parts}
+        return fusion.apply_stacking(df.withColumns(missing) if missing else df, model.meta, every, output).drop(*missing)
     if s.fusion_strategy == "moe":
-        return fusion.apply_gate(df, model.meta, model.features.names, parts, output)
+        return fusion.apply_gate(df, model.meta, model.features.names, every, output, parts)
     raise ValueError("fusion must be weighted_average, max_score_voting, stacking or moe")
 
 
+def _nonconformity(df: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """The score that p-values compare: the mean reconstruction error of the detectors that have one, else the final score."""
+    errors = [c for c in (f"{n}_reconstruction_error" for n in model.components) if c in df.columns]
+    if not errors:
+        return df.withColumn("nonconformity", F.col("anomaly_score")), "anomaly_score"
+    return df.withColumn("nonconformity", fusion.mean_of_available([F.col(c) for c in errors])), "reconstruction_error"
+
+
+def _residuals(df: DataFrame, model: Model) -> str | None:
+    """The residual array that the collective head reads: the first detector's that keeps one."""
+    return next((c for c in (f"{n}_residual" for n in model.components) if c in df.columns), None)
+
+
 def _sequence_score(df: DataFrame, model: Model, hot) -> DataFrame:
     if model.sequence is None:
         return df.withColumns({"sequence_anomaly_score": F.lit(0.0), "sequence_history_length": F.lit(0)})
@@ -94,7 +117,7 @@ def _sequence_score(df: DataFrame, model: Model, hot) -> DataFrame:
 def _final_score(table: DataFrame, model: Model, hot, scaling: str = "fit",
                  available: list[str] | None = None) -> DataFrame:
     """Components, fused ``tabular_anomaly_score`` and blended ``anomaly_score``."""
-    out = _fuse(_component_scores(table, model, scaling), model, "tabular_anomaly_score", available)
+    out = _fuse(_component_scores(table, model, scaling, available), model, "tabular_anomaly_score", available)
     out = _sequence_score(out, model, hot)
     if model.sequence is None:
         return out.withColumn("anomaly_score", F.col("tabular_anomaly_score"))
@@ -143,13 +166,14 @@ def train(df: DataFrame, settings: Settings | None = None, label: str | None = N
     score = F.col("tabular_anomaly_score") if model.sequence is None else fusion.blend_sequence(
         F.col("tabular_anomaly_score"), F.col("sequence_anomaly_score"), model.sequence["mean"],
         model.sequence["std"], s.sequence_weight)
-    final = cut_lineage(final.select(ROW, *([label] if label else []), score.alias("anomaly_score")))
+    final, model.nonconformity_source = _nonconformity(final.withColumn("anomaly_score", score), model)
+    final = cut_lineage(final.select(ROW, *([label] if label else []), "anomaly_score", "nonconformity"))
     _set_threshold(model, final, label)
     if calibration is not None:
         set_calibration(model, calibration, label, "validation")
     else:
         normal = final.where(ev.label_rule(final, label) == 0) if label else final
-        model.calibration = normal.select("anomaly_score")
+        model.calibration = normal.select("nonconformity")
         model.calibration_source = "train_normal_only" if label else "train"
     model.training_seconds = time.time() - started
     return model
@@ -179,13 +203,14 @@ def set_calibration(model: Model, df: DataFrame, label: str | None, source: str)
         normal = scored.where(ev.label_rule(scored, label) == 0)
         if not normal.isEmpty():
             scored, source = normal, f"{source}_normal_only"
-    model.calibration = cut_lineage(scored.select("anomaly_score"))
+    model.calibration = cut_lineage(scored.select("nonconformity"))
     model.calibration_source = source
 
 
 def final_scores(df: DataFrame, model: Model) -> DataFrame:
     hot = hot_keys(df)
-    return _final_score(model.features.transform(df, [ROW, KEY, TIME], hot), model, hot).select(ROW, "anomaly_score")
+    out = _final_score(model.features.transform(df, [ROW, KEY, TIME], hot), model, hot)
+    return _nonconformity(out, model)[0].select(ROW, "anomaly_score", "nonconformity")
 
 
 def train_from_splits(splits: dict[str, DataFrame], label: str | None = None,
@@ -218,17 +243,20 @@ def score(df: DataFrame, model: Model, scaling: str = "fit", available: list[str
     out = score_point(table, model.baseline, keep_z)
     out = score_contextual(PatientOrder(out, hot=hot), names, keep_z).done()
     out = _final_score(out, model, hot, scaling, available)
-    out = score_collective(out, collective_groups(model.features.feature_map()),
-                           None)
+    out, source = _nonconformity(out, model)
+    if model.calibration is not None and source != model.nonconformity_source:  # a detector is missing: compare like with like
+        raise ValueError(f"p-values were calibrated on {model.nonconformity_source}, this batch has {source}")
+    out = score_collective(out, collective_groups(model.features.feature_map()), _residuals(out, model), names)
     out = mark_batch(out, table, model.monitor)
     out = out.drop(*names, *[c for c in out.columns if c.endswith("_residual")])
     # Drift, p-values and risk all read the final score: keep the scored table once.
     out = cut_lineage(out)
     out = drift_alarms(PatientOrder(out, hot=hot), "anomaly_score", s.drift_baseline_window, s.drift_cusum_k,
                        s.drift_cusum_h, s.drift_adwin_delta, s.drift_adwin_min_window, adaptive_drift).done()
-    calibration = model.calibration if model.calibration is not None else out.where(F.lit(False)).select("anomaly_score")
-    out = conformal_p_values(out, calibration, "anomaly_score", alpha=s.conformal_alpha)
-    out = out.withColumn("conformal_calibration_source", F.lit(model.calibration_source))
+    calibration = model.calibration if model.calibration is not None else out.where(F.lit(False)).select("nonconformity")
+    out = conformal_p_values(out, calibration, "nonconformity", alpha=s.conformal_alpha).drop("nonconformity")
+    out = out.withColumns({"conformal_calibration_source": F.lit(model.calibration_source),
+                           "conformal_nonconformity_source": F.lit(source)})
     out = fusion.decide(out, "anomaly_score", model.threshold).drop(KEY, TIME, "visit_index")
     joined = df.join(out.drop(*[c for c in df.columns if c != ROW and c in out.columns]), ROW, "left")
     return assessments(clinical_risk(joined, "anomaly_score", s.risk_weights))
@@ -299,6 +327,7 @@ def save_model(model: Model, path: str, spark: SparkSession) -> str:
         "settings": asdict(model.settings), "detectors": plain, "ranges": model.ranges, "baseline": model.baseline,
         "threshold": model.threshold, "calibrated": model.calibrated, "monitor": model.monitor,
         "sequence": model.sequence, "source": model.calibration_source, "seconds": model.training_seconds,
+        "nonconformity": model.nonconformity_source,
         "features": {k: getattr(fm, k) for k in (
             "numeric", "engineered_from", "kinds", "vocabularies", "domains", "list_columns", "means", "scales",
             "pca_columns")},
@@ -342,4 +371,5 @@ def load_model(path: str, spark: SparkSession) -> Model:
         GBTClassificationModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel)}
     meta = kinds[p["meta"]].load(f"{path}/meta") if p["meta"] else None
     return Model(settings, features, detectors, p["ranges"], p["baseline"], p["threshold"], p["calibrated"], meta,
-                 p["monitor"], p["sequence"], tables.get("calibration"), p["source"], p["seconds"])
+                 p["monitor"], p["sequence"], tables.get("calibration"), p["source"], p["seconds"],
+                 p["nonconformity"])
