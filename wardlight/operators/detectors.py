@@ -12,11 +12,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.operators import nets
+from wardlight.operators.monitor import fourier
 from wardlight.operators.nearest import nearest
 from wardlight.operators.ranking import exact_quantiles
 from wardlight.schema import ROW
@@ -93,10 +95,6 @@ def _batch(fn: Callable[[np.ndarray], np.ndarray], features: list[str]):
     return run(*[F.col(f) for f in features])
 
 
-def as_vector(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.withColumn("_x", F.array(*[F.col(f).cast("double") for f in features]))
-
-
 # -- isolation forest -------------------------------------------------------
 
 
@@ -271,105 +269,58 @@ def _projection_scorer(spark, features, state):
 
 BUILDERS["pca_reconstruction"] = _projection_scorer
 
-EXTRA_COLUMN = {"ganomaly": "latent_consistency_error", "anomaly_transformer": "attention_discrepancy"}
-
-
-def _register_net(name: str, make_net):
-    def fit(df, features, epochs: int = 30, seed: int = 42, row: str = ROW, **options) -> Fitted:
-        net = make_net(len(features), **options)
-        rows = as_vector(df, features).select(row, "_x").persist()
-        held = F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(5)) == 0  # a fifth watches for stalling
-        flat = nets.train(rows.where(~held), net, seed, epochs, validation=rows.where(held))
-        rows.unpersist()
-        return build(name, df.sparkSession, features, {"parameters": flat, "options": options})
-
-    def scorer(spark, features, state):
-        net = make_net(len(features), **state["options"])
-
-        def raw(frame, output):
-            out = nets.score_net(as_vector(frame, features), net, state["parameters"])
-            cols = {output: F.col("_net")[0], f"{name}_reconstruction_error": F.col("_net")[1],
-                    f"{name}_reconstruction_mae": F.col("_net")[2]}
-            start = 4
-            if name in EXTRA_COLUMN:
-                cols[f"{name}_{EXTRA_COLUMN[name]}"] = F.col("_net")[3]
-                start = 5
-            cols[f"{name}_residual"] = F.slice("_net", start, len(features))
-            return out.withColumns(cols).drop("_net", "_x")
-
-        return raw
-
-    DETECTORS[name], BUILDERS[name] = fit, scorer
-
-
-_register_net("autoencoder", nets.autoencoder)
-_register_net("variational_autoencoder", nets.variational)
-_register_net("ganomaly", nets.ganomaly)
-_register_net("anomaly_transformer", nets.attention)
-_register_net("cnn_autoencoder", nets.convolutional)
-
-
-@register_detector("deep_svdd")
-def fit_deep_svdd(df: DataFrame, features: list[str], nu: float = 0.05, epochs: int = 30, seed: int = 42,
-                  row: str = ROW, sizes: tuple[int, ...] = (128, 64, 32, 8), **_) -> Fitted:
-    """Centre = mean latent of the starting map; radius = (1 - nu) quantile of the distances."""
-    rows = as_vector(df, features).select(row, "_x").persist()
-    free = nets.svdd(len(features), None, sizes)
-    start = free.start(seed)
-    z = nets.score_net(rows, free, start)
-    means = z.agg(*[F.avg(F.col("_net")[i]).alias(f"z{i}") for i in range(sizes[-1])]).first()
-    centre = np.array([v or 0.0 for v in means])
-    centre = np.where(np.abs(centre) < 0.1, np.where(centre < 0, -0.1, 0.1), centre)
-    net = nets.svdd(len(features), centre, sizes)
-    flat = nets.train(rows, net, seed, epochs, rate=1e-3, start=start)
-    distance = nets.score_net(rows, net, flat).select(F.col("_net")[0].alias("d"))
-    radius = exact_quantiles(distance, "d", {"r": 1.0 - nu}).first()["r"]
-    rows.unpersist()
-    return build("deep_svdd", df.sparkSession, features, {
-        "parameters": flat, "centre": centre, "sizes": sizes, "radius": radius})
-
-
-def _svdd_scorer(spark, features, state):
-    net = nets.svdd(len(features), state["centre"], state["sizes"])
-
-    def raw(frame, output):
-        out = nets.score_net(as_vector(frame, features), net, state["parameters"])
-        return out.withColumns({
-            output: F.col("_net")[0], "deep_svdd_distance": F.col("_net")[0],
-            "deep_svdd_inside": F.col("_net")[0] <= F.lit(state["radius"])}).drop("_net", "_x")
-
-    return raw
-
+# -- one-class margin -------------------------------------------------------
 
-BUILDERS["deep_svdd"] = _svdd_scorer
+KERNEL_FEATURES = 128
 
 
 @register_detector("one_class_svm")
-def fit_one_class_svm(df: DataFrame, features: list[str], nu: float = 0.05, epochs: int = 60, seed: int = 42,
-                      gamma: float | None = None, **_) -> Fitted:
-    """One-class machine on random Fourier features: approximates the exact kernel solution."""
+def fit_one_class_svm(df: DataFrame, features: list[str], row: str = ROW, seed: int = 42, gamma: float | None = None,
+                      **_) -> Fitted:
+    """A linear SVM in random Fourier features parts the rows from as many background points.
+
+    The background is uniform over each feature's range, widened by a quarter
+    on both sides, and drawn by a hash of the row: the same for any layout.
+    """
     if gamma is None:
         spread = df.select(F.explode(F.array(*[F.col(f) for f in features])).alias("v")).agg(F.var_pop("v")).first()[0]
         gamma = 1.0 / (len(features) * (spread or 1.0))
-    net = nets.one_class(len(features), gamma, nu, seed=seed)
-    rows = as_vector(df, features).select("_x").persist()
-    flat = nets.train(rows, net, seed, epochs, rate=5e-2, l2=0.0)
-    rows.unpersist()
+    ends = df.agg(*[F.min(f).alias(f"l{i}") for i, f in enumerate(features)],
+                  *[F.max(f).alias(f"h{i}") for i, f in enumerate(features)]).first()
+
+    def drawn(i: int) -> Column:
+        low, high = ends[f"l{i}"] or 0.0, ends[f"h{i}"] or 0.0
+        wide = (high - low) or 1.0
+        share = (F.pmod(F.xxhash64(F.lit(seed), row, F.lit(i)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
+        return F.lit(low - 0.25 * wide) + F.lit(1.5 * wide) * share
+
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("label"))
+    background = df.select(*[drawn(i).alias(f) for i, f in enumerate(features)], F.lit(0.0).alias("label"))
+    both = rows.unionByName(background)
+    lifted = both.select("label", array_to_vector(_lifted(features, gamma, seed)).alias("features"))
+    model = LinearSVC(maxIter=50, regParam=1e-3, standardization=False).fit(lifted)
     return build("one_class_svm", df.sparkSession, features, {
-        "parameters": flat, "gamma": gamma, "nu": nu, "seed": seed})
+        "weights": model.coefficients.toArray(), "intercept": float(model.intercept), "gamma": gamma, "seed": seed})
 
 
-def _svm_scorer(spark, features, state):
-    net = nets.one_class(len(features), state["gamma"], state["nu"], seed=state["seed"])
+def _lifted(features: list[str], gamma: float, seed: int) -> Column:
+    @F.pandas_udf("array<double>")
+    def lift(*cols: pd.Series) -> pd.Series:
+        return pd.Series([*fourier(np.column_stack([c.to_numpy(dtype=float) for c in cols]), gamma, seed, KERNEL_FEATURES)])
 
-    def raw(frame, output):
-        out = nets.score_net(as_vector(frame, features), net, state["parameters"])
-        return out.withColumn(output, F.col("_net")[0]).drop("_net", "_x")
+    return lift(*[F.col(f) for f in features])
 
-    return raw
+
+def _margin_scorer(spark, features, state):
+    weights, intercept, gamma, seed = (state[k] for k in ("weights", "intercept", "gamma", "seed"))
+
+    def outside(x: np.ndarray) -> np.ndarray:
+        return -(fourier(x, gamma, seed, KERNEL_FEATURES) @ weights + intercept)
+
+    return lambda frame, output: frame.withColumn(output, _batch(outside, features))
 
 
-BUILDERS["one_class_svm"] = _svm_scorer
+BUILDERS["one_class_svm"] = _margin_scorer
 
 
 @register_detector("local_outlier_factor")
@@ -407,29 +358,40 @@ def _density_scorer(spark, features, state):
 BUILDERS["local_outlier_factor"] = _density_scorer
 
 
-def fit_sequence(df: DataFrame, features: list[str], steps: int = 4, epochs: int = 30, seed: int = 42,
+def fit_sequence(df: DataFrame, features: list[str], steps: int = 4, share: float = 0.9,
                  quantile: float = 0.975) -> dict | None:
-    """Autoencoder over visit windows (column ``sequence_window``); full windows train where there are any.
+    """Principal axes of flattened visit windows (column ``sequence_window``); full windows train where there are any.
 
-    Returns the parameters, the error mean and std, and the alarm threshold.
+    Returns the axes, the error mean and std, and the alarm threshold.
     """
     full = df.where(F.col("sequence_history_length") >= steps)
     windows = full if full.limit(2).count() == 2 else df
-    rows = windows.select(F.flatten("sequence_window").alias("_x")).persist()
+    names = [f"w{i}" for i in range(steps * len(features))]
+    flat = windows.select(F.flatten("sequence_window").alias("_x"))
+    rows = cut_lineage(flat.select(*[F.col("_x")[i].cast("double").alias(n) for i, n in enumerate(names)]))
     if rows.isEmpty():
         return None
-    net = nets.sequence(steps, len(features))
-    flat = nets.train(rows, net, seed, epochs)
-    errors = nets.score_net(rows, net, flat).select(F.col("_net")[0].alias("e"))
+    state = fit_pca_reconstruction(rows, names, share).state
+    model = {"axes": state["axes"], "centre": state["centre"], "steps": steps, "features": len(features)}
+    errors = rows.select(_window_error(F.array(*names), model).alias("e"))
     stats = errors.agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).first()
     threshold = exact_quantiles(errors, "e", {"t": quantile}).first()["t"]
-    rows.unpersist()
+    return {**model, "mean": stats["m"], "std": stats["s"], "threshold": threshold}
+
+
+def _window_error(window: Column, model: dict) -> Column:
+    """Mean squared error left after projecting a flattened window on the axes."""
+    axes, centre = model["axes"], model["centre"]
+
+    @F.pandas_udf("double")
+    def left(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
+        d = np.stack([np.asarray(v, float) for v in x]) - centre
+        return pd.Series(((d - (d @ axes) @ axes.T) ** 2).mean(axis=1))
 
-    return {"parameters": flat, "steps": steps, "features": len(features), "mean": stats["m"], "std": stats["s"],
-            "threshold": threshold}
+    return left(window)
 
 
 def score_sequence(frame: DataFrame, model: dict, output: str = "sequence_anomaly_score") -> DataFrame:
-    net = nets.sequence(model["steps"], model["features"])
-    held = nets.score_net(frame.withColumn("_x", F.flatten("sequence_window")), net, model["parameters"])
-    return held.withColumn(output, F.col("_net")[0]).drop("_net", "_x")
+    return frame.withColumn(output, _window_error(F.flatten("sequence_window").cast("array<double>"), model))

@@ -127,7 +127,7 @@ def _final_score(table: DataFrame, model: Model, hot, scaling: str = "fit",
 
 
 def train(df: DataFrame, settings: Settings | None = None, label: str | None = None,
-          calibration: DataFrame | None = None, sequence: bool = True, epochs: int = 30) -> Model:
+          calibration: DataFrame | None = None, sequence: bool = True) -> Model:
     """Fit features, detectors, fusion, heads, monitor and calibration on ``df``.
 
     The feature table is computed once, checkpointed and read by every fit.
@@ -140,7 +140,7 @@ def train(df: DataFrame, settings: Settings | None = None, label: str | None = N
     table = cut_lineage(features.transform(df, keep, hot))
     names = features.names
     model = Model(s, features, [
-        fit_detector(n, table, names, contamination=s.contamination, seed=s.seed, epochs=epochs) for n in s.detectors])
+        fit_detector(n, table, names, contamination=s.contamination, seed=s.seed) for n in s.detectors])
     standard = table
     for d in model.detectors:
         standard = d.score(standard)
@@ -161,7 +161,7 @@ def train(df: DataFrame, settings: Settings | None = None, label: str | None = N
                                 s.monitor_trials, s.monitor_quantile, seed=s.seed)
     if sequence:
         order = sequence_windows(PatientOrder(table, hot=hot), names, s.sequence_window)
-        model.sequence = fit_sequence(order.done(), names, s.sequence_window, epochs, s.seed)
+        model.sequence = fit_sequence(order.done(), names, s.sequence_window)
     final = _sequence_score(fused, model, hot)
     score = F.col("tabular_anomaly_score") if model.sequence is None else fusion.blend_sequence(
         F.col("tabular_anomaly_score"), F.col("sequence_anomaly_score"), model.sequence["mean"],

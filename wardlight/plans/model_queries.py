@@ -113,12 +113,6 @@ QUERIES = {
     "m1_forest_invariants": forest_invariants,
     "m2_one_class_svm": _detector("one_class_svm"),
     "m3_local_outlier_factor": _detector("local_outlier_factor"),
-    "m4_autoencoder": _detector("autoencoder"),
-    "m5_variational_autoencoder": _detector("variational_autoencoder"),
-    "m6_ganomaly": _detector("ganomaly"),
-    "m7_attention_autoencoder": _detector("anomaly_transformer"),
-    "m8_cnn_autoencoder": _detector("cnn_autoencoder"),
-    "m9_deep_svdd": _detector("deep_svdd"),
     "m10_sequence_detector": sequence_errors,
     "m12_pca_reconstruction": _detector("pca_reconstruction"),
     "m13_m15_scaled_fusion": scaled_components,
