@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from wardlight.operators.monitor import fit_monitor
 from wardlight.plans.evaluation_queries import rounded
 from wardlight.session import shared_dir
-from wardlight.sources.standins import table
+from wardlight.sources import splits
+from wardlight.sources.standins import table, visits
 from wardlight.streaming import jobs
 
 
@@ -62,7 +64,44 @@ def trend(spark, d):
     return rounded(_drain(jobs.trend_stream(_visits_stream(spark, d), score="value", alert_at=100.0), spark))
 
 
+def monitored(spark, d):
+    """Three arriving files of visits, the third far from the rest: the monitor's alarms, batch by batch."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = visits(spark, d).select("row_id", F.col("value"), F.col("k"))
+    part = F.pmod(F.xxhash64("row_id"), F.lit(3))
+    for i in range(3):
+        moved = [(F.col(c) * 8 + 5000).alias(c) if i == 2 else F.col(c) for c in ("value", "k")]
+        rows.where(part == i).select("row_id", *moved).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    out = spark.createDataFrame([], "batch_id long, mmd double, alarm boolean").schema
+    stream = jobs.file_stream(spark, f"{base}/in", rows.schema, files_per_trigger=1)
+    query = jobs.monitor_stream(
+        stream, fit_monitor(rows, ["value", "k"]),
+        lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/part={i}"), f"{base}/checkpoint", availableNow=True)
+    query.awaitTermination()
+    return spark.read.schema(out).parquet(f"{base}/out").groupBy("alarm").agg(F.count(F.lit(1)).alias("batches"))
+
+
+def ingested(spark, d):
+    """Reviews arrive in three files, some twice, then the stream starts again from its checkpoint: each review counts once."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = table(spark, d, "conversations").select(
+        F.concat_ws("-", "conv_id", "turn").alias("alert_id"), F.col("conv_id").cast("string").alias("patient_id"),
+        F.length("text").cast("double").alias("value"), F.lit("2026-06-01").alias("reviewed_at"),
+        F.when(F.col("role") == "user", "TP").when(F.col("role") == "assistant", "no").otherwise("unsure").alias("feedback_label"))
+    part = F.pmod(F.xxhash64("alert_id"), F.lit(4))
+    for takes in ([0, 1], [1, 2], [2, 3, 0]):
+        rows.where(part.isin(takes)).coalesce(1).write.mode("append").json(f"{base}/in")
+    for _ in range(2):
+        stream = jobs.file_stream(spark, f"{base}/in", rows.schema, "json", files_per_trigger=1)
+        jobs.ledger_stream(stream, f"{base}/ledger", f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return splits.load_ledger(spark, f"{base}/ledger").groupBy("feedback_label").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("alert_id").alias("alerts"),
+        F.sum(F.get_json_object("record_json", "$.value").cast("double")).alias("total"))
+
+
 QUERIES = {
+    "s5_monitor_stream": monitored,
+    "s6_ledger_stream": ingested,
     "s1_point_stream": point,
     "s2_contextual_stream": contextual,
     "s3_drift_stream": drift,
@@ -74,6 +113,10 @@ from wardlight.plans.history_queries import _CONTEXT, _CUSUM, _Z, VISITS  # noqa
 
 _M = "greatest(abs(zv), abs(zk))"
 ORACLE = {
+    "s5_monitor_stream": "SELECT event_id % 3 = 2 AS alarm, count(DISTINCT event_id % 3) AS batches FROM events GROUP BY 1",
+    "s6_ledger_stream": """
+SELECT CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 END AS feedback_label, count(*) AS rows, count(*) AS alerts,
+       sum(length(text))::DOUBLE AS total FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1""",
     "s1_point_stream": f"""
 WITH {VISITS}, {_Z}, p AS (SELECT row_id, {_M} / ({_M} + 3) AS s FROM point)
 SELECT row_id, round(s, 6) AS anomaly_score, s >= 0.5 AS is_anomaly,

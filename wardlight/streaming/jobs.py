@@ -288,8 +288,12 @@ def trend_stream(df: DataFrame, time: str = TIME, score: str = "anomaly_score",
 
 
 def monitor_stream(df: DataFrame, monitor: Monitor, sink: Callable[[DataFrame, int], None],
-                   checkpoint: str) -> StreamingQuery:
-    """Staleness of every micro-batch: ``sink`` receives one row (batch, score, alarm)."""
+                   checkpoint: str, **trigger) -> StreamingQuery:
+    """Staleness of every micro-batch: ``sink`` receives one row (batch, score, alarm).
+
+    A batch may be run again after a failure with the same number: the sink
+    should overwrite by it.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         if not held.isEmpty():
@@ -298,7 +302,8 @@ def monitor_stream(df: DataFrame, monitor: Monitor, sink: Callable[[DataFrame, i
                 [(batch_id, value, alarm)], "batch_id long, mmd double, alarm boolean"), batch_id)
         held.unpersist()
 
-    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    writer = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start() if trigger else writer.start()
 
 
 def ledger_stream(df: DataFrame, path: str, checkpoint: str, late: str = "7 days", **trigger) -> StreamingQuery:
