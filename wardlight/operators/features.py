@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
@@ -13,11 +14,35 @@ from wardlight.operators.history import longitudinal_features
 from wardlight.operators.nearest import impute_nearest
 from wardlight.operators.ordered import PatientOrder
 from wardlight.schema import KEY, ROW, TIME, Settings
-from wardlight.session import collect_bounded
+from wardlight.session import broadcast_if_fits, collect_bounded, cut_lineage
 
+#: Values of one column that become columns of their own; a column with more is coded by frequency.
 MAX_VOCABULARY = 5_000
 
 
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(c, v, n): how often each value of each categorical column occurs, however many there are."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "c", "v")
+    return long.where("v IS NOT NULL").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequency_codes(counts: DataFrame) -> DataFrame:
+    """(c, v, code): the surprise of each value, -ln of its share of the column. A value never seen counts half a row."""
+    total = counts.groupBy("c").agg(F.sum("n").alias("all"))
+    return (counts.join(F.broadcast(total), "c")  # one row a column
+            .select("c", "v", (-F.log(F.col("n") / F.col("all"))).alias("code")))
+
+
+def with_codes(df: DataFrame, codes: DataFrame, columns: dict[str, tuple[str | None, float]]) -> DataFrame:
+    """Add ``<c>_surprise`` for every column of ``columns``: (value that fills gaps, code of a value never seen)."""
+    for c, (fill, unseen) in columns.items():
+        known = codes.where(F.col("c") == c).select(F.col("v").alias("_v"), F.col("code").alias("_code"))
+        held = F.coalesce(F.col(c).cast("string"), F.lit(fill)) if c in df.columns else F.lit(fill).cast("string")
+        df = (df.withColumn("_v", held).join(broadcast_if_fits(known), "_v", "left")
+              .withColumn(f"{c}_surprise", F.coalesce("_code", F.lit(unseen))).drop("_v", "_code"))
+    return df
+
+
 def learn_vocabulary(df: DataFrame, column: str) -> list[str]:
     """Distinct tokens of a list column, sorted. Each becomes a column, hence the bound."""
     tokens = df.select(F.explode(column).alias("t")).where("t IS NOT NULL").distinct()
@@ -28,11 +53,10 @@ def category_domains(df: DataFrame, columns: list[str]) -> dict[str, tuple[str |
     """Mode (ties to the smallest) and sorted categories for every column, in one pass."""
     if not columns:
         return {}
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "c", "v")
-    counts = collect_bounded(long.where("v IS NOT NULL").groupBy("c", "v").count(), MAX_VOCABULARY)
+    counts = collect_bounded(value_counts(df, columns), MAX_VOCABULARY * len(columns))
     out: dict[str, tuple[str | None, list[str]]] = {}
     for c in columns:
-        mine = sorted((r["v"], r["count"]) for r in counts if r["c"] == c)
+        mine = sorted((r["v"], r["n"]) for r in counts if r["c"] == c)
         mode = min(mine, key=lambda p: (-p[1], p[0]))[0] if mine else None
         out[c] = (mode, [v for v, _ in mine])
     return out
@@ -91,6 +115,8 @@ class FeatureModel:
     means: dict[str, float] = field(default_factory=dict)
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
     donors: DataFrame | None = None
+    coded: dict[str, tuple[str | None, float]] = field(default_factory=dict)
+    codes: DataFrame | None = None
     pca: PCAModel | None = None
     pca_columns: int = 0
 
@@ -109,6 +135,8 @@ class FeatureModel:
         base = [c for c in s.numeric_features if c in have]
         order = PatientOrder(df, hot=hot)
         out = longitudinal_features(order, base, s.rolling_windows_days, s.lag_steps, s.interaction_terms).done()
+        if self.coded:
+            out = with_codes(out, self.codes, self.coded)
         extra: dict[str, Column] = {}
         for c in self.list_columns:
             extra.update(list_summary(c) if c in have else {
@@ -149,7 +177,8 @@ class FeatureModel:
         for c in self.numeric:
             kind = self.kinds[c]
             path = {"direct": ["raw"], "engineered_time_series": ["raw", "time_series_engineer"],
-                    "expanded_multi_value": ["raw", "multi_value_expand"]}[kind]
+                    "expanded_multi_value": ["raw", "multi_value_expand"],
+                    "frequency_encoded": ["raw", "frequency_encode"]}[kind]
             sources = self.engineered_from[c]
             rows.append(_lineage(c, c if kind != "expanded_multi_value" else sources[0], sources, path, kind))
         for c, (_, categories) in self.domains.items():
@@ -175,6 +204,22 @@ def _lineage(name, source, columns, path, kind) -> dict:
     return dict(zip(MAP_COLUMNS, (name, source, columns, path, len(path), kind)))
 
 
+def _fit_codes(m: FeatureModel, df: DataFrame, categories: list[str]) -> list[str]:
+    """Code the columns with more values than columns can be made of; returns the others."""
+    counts = cut_lineage(value_counts(df, categories))
+    sizes = {r["c"]: r for r in counts.groupBy("c").agg(
+        F.count(F.lit(1)).alias("values"), F.sum("n").alias("all")).collect()}  # one row a column
+    many = [c for c in categories if c in sizes and sizes[c]["values"] > MAX_VOCABULARY]
+    if many:
+        most = counts.where(F.col("c").isin(many)).groupBy("c", "n").agg(F.min("v").alias("v"))
+        modes = {r["c"]: r["v"] for r in most.groupBy("c").agg(F.max_by("v", "n").alias("v")).collect()}
+        m.codes = cut_lineage(frequency_codes(counts.where(F.col("c").isin(many))))
+        for c in many:
+            m.coded[c] = (modes[c], math.log(2.0 * sizes[c]["all"]))
+            m.kinds[f"{c}_surprise"], m.engineered_from[f"{c}_surprise"] = "frequency_encoded", [c]
+    return [c for c in categories if c not in many]
+
+
 def fit_features(df: DataFrame, settings: Settings | None = None, hot=True) -> FeatureModel:
     s = settings or Settings()
     have = dict(df.dtypes)
@@ -200,8 +245,10 @@ def fit_features(df: DataFrame, settings: Settings | None = None, hot=True) -> F
             m.vocabularies[c] = learn_vocabulary(df, c)
             for t in m.vocabularies[c]:
                 m.kinds[f"{c}__{t}"], m.engineered_from[f"{c}__{t}"] = "expanded_multi_value", [c]
+    categories = [c for c in s.categorical_features if c in have]
+    wide = _fit_codes(m, df, categories) if categories else []
     m.numeric = list(m.kinds)
-    m.domains = category_domains(df, [c for c in s.categorical_features if c in have])
+    m.domains = category_domains(df, wide)
 
     raw = m.engineer(df, hot).persist()
     stats = raw.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(m.numeric)]).first()

@@ -330,12 +330,14 @@ def save_model(model: Model, path: str, spark: SparkSession) -> str:
         "nonconformity": model.nonconformity_source,
         "features": {k: getattr(fm, k) for k in (
             "numeric", "engineered_from", "kinds", "vocabularies", "domains", "list_columns", "means", "scales",
-            "pca_columns")},
+            "pca_columns", "coded")},
         "meta": type(model.meta).__name__ if model.meta is not None else None}
     if model.calibration is not None:
         tables["calibration"] = model.calibration
     if fm.donors is not None:
         tables["donors"] = fm.donors
+    if fm.codes is not None:
+        tables["codes"] = fm.codes
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
     if fm.pca is not None:
@@ -360,7 +362,7 @@ def load_model(path: str, spark: SparkSession) -> Model:
     tables = {n: spark.read.parquet(f"{path}/tables/{n}") for n in json.loads(row["tables"])}
     settings = Settings(**p["settings"])
     features = FeatureModel(settings, **p["features"])
-    features.donors = tables.get("donors")
+    features.donors, features.codes = tables.get("donors"), tables.get("codes")
     if features.pca_columns:
         features.pca = PCAModel.load(f"{path}/pca")
     detectors = []
