@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir), where ``docs`` is what the stage before
 it wrote, and returns a DataFrame; all but the last return the columns of
 ``documents``. ``run`` writes every stage's result as Parquet to the shared
 folder and reads it again.
+
+Defined results: documents with null, empty or unreadable texts leave with the
+language stage; rows without an id are rows like any other, but have no label
+and no class of their own in near duplicates; repeated rows are copies of one
+another, of which one stays; repeated label rows count as often as they occur;
+extra columns pass through every stage but the last; empty tables give an
+empty result.
 """
 
 from __future__ import annotations
