@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.operators.monitor import fourier
-from wardlight.operators.nearest import nearest
+from wardlight.operators.nearest import Cells, complete, nearest
 from wardlight.operators.ranking import exact_quantiles
 from wardlight.schema import ROW
 from wardlight.session import cut_lineage
@@ -335,7 +335,8 @@ def fit_local_outlier_factor(df: DataFrame, features: list[str], row: str = ROW,
 def _density_scorer(spark, features, state):
     """``reference`` stays a table: it is saved and loaded as one."""
     ref, row, k = state["reference"], state["row"], state["neighbors"]
-    pairs = nearest(ref, ref, features, k, row, skip_self=True)
+    cells = Cells.of(complete(ref, features, row), features, k, row)  # dealt out once for all searches
+    pairs = nearest(ref, ref, features, k, row, skip_self=True, cells=cells)
     reach_to = pairs.groupBy(row).agg(F.max("distance").alias("_kd")).select(F.col(row).alias("neighbour"), "_kd")
 
     def density(found: DataFrame) -> DataFrame:
@@ -346,7 +347,7 @@ def _density_scorer(spark, features, state):
     known = cut_lineage(density(pairs).select(F.col(row).alias("neighbour"), F.col("_lrd").alias("_nd")))
 
     def raw(frame, output):
-        found = nearest(frame.select(row, *features), ref, features, k, row)
+        found = nearest(frame.select(row, *features), ref, features, k, row, cells=cells)
         own = density(found)
         around = found.join(known, "neighbour").groupBy(row).agg(F.avg("_nd").alias("_around"))
         factor = own.join(around, row).select(row, (F.col("_around") / F.col("_lrd")).alias(output))
