@@ -156,6 +156,26 @@ def test_adaptive_window_in_runs_equals_all_splits(name):
     assert [w.push(v)[1] or -1 for v in x[:400]] == expected[:400, 1].tolist()
 
 
+@pytest.mark.parametrize("seed", range(80, 340, 4))
+def test_adaptive_window_ties_go_to_the_first_split(seed):
+    """Few levels and repeats make equal splits; plain sums in the order of time, as in SQL, tell which are equal."""
+    for rng in (np.random.default_rng(seed), np.random.default_rng(seed + 23)):
+        x = np.round(rng.integers(0, 4, 60) * rng.choice([0.1, 0.7, 1.1, 3.3]), 2)
+        x = np.repeat(x[:20], 3) if seed % 8 == 0 else x
+        live, expected = [], []
+        for v in x.tolist():
+            live.append(v)
+            best, cut, n = 0.0, -1, len(live)
+            for s in range(5, n - 4):
+                left, right = float(np.cumsum(live[:s])[-1]), float(np.cumsum(live[s:])[-1])
+                e = abs(right / (n - s) - left / s) - np.sqrt(0.5 * np.log(4 / 0.01) * (1.0 / s + 1.0 / (n - s)))
+                best, cut = (e, s) if e > best else (best, cut)
+            live = live[-5:] if best > 0 else live
+            expected.append((float(best), cut))
+        excess, split = AdaptiveWindow(5, 0.01).extend(x)
+        assert [*zip(excess.tolist(), split.tolist(), strict=True)] == expected
+
+
 def test_adaptive_window_grows_nearly_in_proportion():
     """A quiet stream of 16 times the length costs far less than 256 times the work."""
     def seconds(n):

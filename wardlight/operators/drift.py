@@ -65,6 +65,10 @@ class AdaptiveWindow:
     whose bound turns positive are looked through, and take the mean of that
     moment; the last, open splits are tested one by one. Scores come in runs,
     so a quiet stream costs a few vector operations for each run.
+
+    Differences of prefix sums lose a little to rounding, so they only find
+    suspects. Plain sums of both sides in the order of time decide whether one
+    alarms and at which split; of equal splits the first counts.
     """
 
     BLOCK, RUN = 256, 64
@@ -98,6 +102,23 @@ class AdaptiveWindow:
         gap = np.abs((self.sums[n - 1] - heads) / right - heads / left)
         return gap - np.sqrt(self.c * (1.0 / left + 1.0 / right))
 
+    def _loss(self, n: int) -> float:
+        """What an excess among the first n scores may lose to rounding."""
+        return 1e-15 * math.sqrt(n) * (1.0 + float(np.abs(self.sums[:n]).max()))
+
+    def _best(self, n: int) -> tuple[float, int]:
+        """The strongest split of the first n scores, from plain sums of both sides."""
+        m = self.min_window
+        every = self._excess(n, m, n - m + 1)
+        best, split = -math.inf, m
+        for s in np.flatnonzero(every >= every.max() - 2 * self._loss(n)) + m:
+            right = n - s
+            gap = abs(np.cumsum(self.values[s:n])[-1] / right - self.sums[s - 1] / s)
+            found = float(gap - np.sqrt(self.c * (1.0 / s + 1.0 / right)))
+            if found > best:
+                best, split = found, int(s)
+        return best, split
+
     def _stray(self, block: int, mean: float) -> None:
         """Measure a block at a mean; blocks are measured in order."""
         left = np.arange(block * self.BLOCK + 1, (block + 1) * self.BLOCK + 1)
@@ -123,12 +144,13 @@ class AdaptiveWindow:
             self._stray(len(self.high), self.sums[n0 - 1] / n0)
         left = np.arange(max(m, closed * block + 1), self.size - m + 1)
         alarm = np.zeros(len(n), bool)
+        loss = self._loss(self.size)
         if len(left):
             right = n[:, None] - left[None]
             with np.errstate(divide="ignore", invalid="ignore"):
                 heads = self.sums[left - 1][None]
                 gap = np.abs((total[:, None] - heads) / right - heads / left[None])
-                alarm = ((gap - np.sqrt(self.c * (1.0 / left[None] + 1.0 / right)) > 0) & (right >= m)).any(axis=1)
+                alarm = ((gap - np.sqrt(self.c * (1.0 / left[None] + 1.0 / right)) > -loss) & (right >= m)).any(axis=1)
         bound = np.zeros((len(n), closed), bool)
         if closed:
             mean = total / n
@@ -164,15 +186,15 @@ class AdaptiveWindow:
             closed = max(0, (n0 - m) // self.BLOCK)
             tail = max(m, closed * self.BLOCK + 1)
             open_ = self._excess(n, tail, n - m + 1) if n - m + 1 > tail else np.zeros(0)
-            hit = bool((open_ > 0).any())
+            loss = self._loss(n)
+            hit = bool((open_ > -loss).any())
             for b in blocks:
                 first = max(m, b * self.BLOCK + 1)
-                hit = hit or bool((self._excess(n, first, (b + 1) * self.BLOCK + 1) > 0).any())
+                hit = hit or bool((self._excess(n, first, (b + 1) * self.BLOCK + 1) > -loss).any())
                 self._stray(b, self.sums[n - 1] / n)
-            if hit:
-                every = self._excess(n, m, n - m + 1)
-                best = int(np.argmax(every))
-                excess[places[at - 1]], split[places[at - 1]] = every[best], m + best
+            best, where = self._best(n) if hit else (0.0, -1)
+            if best > 0:
+                excess[places[at - 1]], split[places[at - 1]] = best, where
                 self._truncate()
         return excess, split
 
