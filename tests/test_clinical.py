@@ -1,11 +1,14 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tests.oracle import rows as comparable
 from wardlight.functions.cleaning import clean_frame, quality_rules
 from wardlight.operators import evaluate as ev
 from wardlight.operators import labs
 from wardlight.operators.risk import clinical_risk, percent_scale, risk_category, risk_weights
+from wardlight.plans import clinical_queries
 from wardlight.sources.splits import append_feedback, load_lab_reports, load_ledger, load_splits, save_splits
 from wardlight.sources.tabular import load_encounters, with_row_id, write_scored_csv
 from wardlight.operators.split import with_split
@@ -129,6 +132,22 @@ def test_lab_text(spark):
         spark.createDataFrame([("fast 12",)], "text string")).first()["ast"] is None
 
 
+@pytest.mark.parametrize("name, table, key, column", [
+    ("a15_lab_text_fields", "documents", "doc_id", "text"), ("a15_page_fields", "pages", "page_id", "html")])
+def test_given_texts_are_searched_whole(spark, tmp_path, name, table, key, column):
+    """What stands in a given text counts, in the query and in its SQL; missing texts keep the report alone."""
+    texts = [(0, "x " * 5000 + "fasting glucose: 301.5"), (1, None), (2, "Hb 3.5\nHB 9"), (3, "")]
+    spark.createDataFrame(texts, f"{key} long, {column} string").write.parquet(str(tmp_path / f"{table}.parquet"))
+    got = {r[key]: r for r in clinical_queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got[0]["fastingGlucose"] == 301.5 and got[2]["hemoglobin"] == 3.5
+    assert got[1]["fastingGlucose"] == 80.1 and got[3]["fastingGlucose"] == 80.3
+    con = duckdb.connect()
+    con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    cur = con.execute(clinical_queries.ORACLE[name])
+    columns = [c[0] for c in cur.description]
+    assert comparable(columns, cur.fetchall()) == comparable([*got[0].asDict()], [tuple(r) for r in got.values()])
+
+
 def test_findings(spark):
     df = one(spark, age="50", symptomOnset="2 days", comorbidities="asthma", heartRate="150", systolicBp="120",
              diastolicBp="80", spo2="97", temperature="36.6", respiratoryRate="", fastingGlucose="90",
