@@ -13,8 +13,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,11 +132,15 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> tuple[list, li
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser that spreads the bits of a 64-bit hash."""
+    """A finaliser that spreads the bits of a 64-bit hash; writes over ``x``."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+        shifted = x >> np.uint64(30)
+        x ^= shifted
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= np.right_shift(x, np.uint64(27), out=shifted)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= np.right_shift(x, np.uint64(31), out=shifted)
+    return x
 
 
 def _drawn(trees: int, features: list[str], seed: int, share: float) -> Callable:
@@ -144,15 +150,20 @@ def _drawn(trees: int, features: list[str], seed: int, share: float) -> Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = _mixed(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                h = part.column("_h").to_numpy().view(np.uint64)
-                rank = _mixed(h[:, None] ^ salt[None])
+            h = batch.column("_h").to_numpy().view(np.uint64)
+            rows, drawn, ranks = [], [], []
+            for at in range(0, len(h), 64):  # a block of hashes stays in the cache
+                rank = _mixed(h[at:at + 64, None] ^ salt[None])
                 row, tree = np.nonzero(rank <= top)
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree.astype(np.int32)), pa.array((rank[row, tree] >> np.uint64(1)).astype(np.int64)),
-                     *[taken.column(f) for f in features]], names=["tree", "_rank", *features])
+                rows.append(row + at)
+                drawn.append(tree)
+                ranks.append(rank[row, tree] >> np.uint64(1))
+            if not rows:
+                continue
+            taken = batch.take(pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(drawn).astype(np.int32)), pa.array(np.concatenate(ranks).astype(np.int64)),
+                 *[taken.column(f) for f in features]], names=["tree", "_rank", *features])
 
     return run
 
@@ -211,18 +222,23 @@ def _forest_scorer(spark, features, state):
     forest = spark.sparkContext.broadcast(state)
 
     def path_score(x: np.ndarray) -> np.ndarray:
+        """Rows go down one small tree after another; a leaf sends every row back to itself."""
         s = forest.value
-        feature, cut, left, depth = s["feature"], s["cut"], s["left"], s["depth"]
-        t = np.arange(len(feature))[None, :]
+        leaf = s["feature"] < 0
+        feature = np.where(leaf, 0, s["feature"]).astype(np.intp)
+        cut = np.where(leaf, np.inf, s["cut"])
+        left = np.where(leaf, np.arange(leaf.shape[1])[None], s["left"]).astype(np.intp)
         out = np.empty(len(x))
-        for i in range(0, len(x), 1024):
-            part = x[i:i + 1024]
-            node = np.zeros((len(part), len(feature)), dtype=int)
-            for _ in range(s["limit"]):
-                f = feature[t, node]
-                go = np.take_along_axis(part, np.maximum(f, 0), axis=1) > cut[t, node]
-                node = np.where(f >= 0, left[t, node] + go, node)
-            out[i:i + 1024] = 2.0 ** (-depth[t, node].mean(axis=1) / s["norm"])
+        for i in range(0, len(x), 4096):
+            part = np.ascontiguousarray(x[i:i + 4096])
+            flat, base = part.ravel(), np.arange(len(part)) * part.shape[1]
+            total = np.zeros(len(part))
+            for f, c, l, d in zip(feature, cut, left, s["depth"], strict=True):
+                node = np.zeros(len(part), np.intp)
+                for _ in range(s["limit"]):
+                    node = l.take(node) + (flat.take(base + f.take(node)) > c.take(node))
+                total += d.take(node)
+            out[i:i + 4096] = 2.0 ** (-total / len(feature) / s["norm"])
         return out
 
     return lambda frame, output: frame.withColumn(output, _batch(path_score, features))
@@ -234,15 +250,27 @@ BUILDERS["isolation_forest"] = _forest_scorer
 # -- reconstruction detectors -----------------------------------------------
 
 
+def principal_axes(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Principal axes (columns) and their shares of the variance, largest first.
+
+    Spark sums the covariance; its symmetric eigenproblem is solved as one, since
+    the general decomposition in Spark's PCA does not always converge on the
+    singular matrices that one-hot columns make.
+    """
+    rows = VectorAssembler(inputCols=features, outputCol="_v").transform(df.select(*features)).select("_v")
+    covariance = RowMatrix(MLUtils.convertVectorColumnsFromML(rows, "_v")).computeCovariance().toArray()
+    values, axes = np.linalg.eigh((covariance + covariance.T) / 2)
+    values = np.maximum(values[::-1], 0.0)
+    return axes[:, ::-1], values / (values.sum() or 1.0)
+
+
 @register_detector("pca_reconstruction")
 def fit_pca_reconstruction(df: DataFrame, features: list[str], share: float = 0.9, **_) -> Fitted:
     """Error left after projecting on the leading principal axes."""
     centre = np.array([v or 0.0 for v in df.agg(*[F.avg(f).alias(f) for f in features]).first()])
-    rows = VectorAssembler(inputCols=features, outputCol="_v").transform(df.select(*features))
-    model = PCA(k=len(features), inputCol="_v", outputCol="_y").fit(rows)
-    ratios = model.explainedVariance.toArray()
+    axes, ratios = principal_axes(df, features)
     keep = min(len(features) - 1, int(np.searchsorted(np.cumsum(ratios), share)) + 1) if len(features) > 1 else 1
-    axes = model.pc.toArray()[:, :max(keep, 1)]
+    axes = axes[:, :max(keep, 1)]
 
     return build("pca_reconstruction", df.sparkSession, features, {"axes": axes, "centre": centre})
 
