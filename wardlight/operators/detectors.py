@@ -374,12 +374,19 @@ def _density_scorer(spark, features, state):
 
     known = cut_lineage(density(pairs).select(F.col(row).alias("neighbour"), F.col("_lrd").alias("_nd")))
 
-    def raw(frame, output):
-        found = nearest(frame.select(row, *features), ref, features, k, row, cells=cells)
+    searched: list[tuple[DataFrame, DataFrame]] = []  # the last searched rows with their factors: fitting scores what is then scored
+
+    def factors(rows: DataFrame) -> DataFrame:
+        found = nearest(rows, ref, features, k, row, cells=cells)
         own = density(found)
         around = found.join(known, "neighbour").groupBy(row).agg(F.avg("_nd").alias("_around"))
-        factor = own.join(around, row).select(row, (F.col("_around") / F.col("_lrd")).alias(output))
-        return frame.join(factor, row, "left")
+        return cut_lineage(own.join(around, row).select(row, (F.col("_around") / F.col("_lrd")).alias("_factor")))
+
+    def raw(frame, output):
+        rows = frame.select(row, *features)
+        if not (searched and searched[0][0].sameSemantics(rows)):
+            searched[:] = [(rows, factors(rows))]
+        return frame.join(searched[0][1].withColumnRenamed("_factor", output), row, "left")
 
     return raw
 
