@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wardlight.llm import apportion, jaccard, langid, nbsvm, packing
 from wardlight.llm.textio import handed_over, key_remainder
-from wardlight.session import ship_package
+from wardlight.session import ship_package, small_batches
 
 ship_package()
 
@@ -29,28 +29,33 @@ WORDS, PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, does not reject."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return nbsvm.good_documents(docs, nbsvm.fit(docs, labels))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus names."""
+    small_batches(spark)
     known = docs.where(key_remainder("doc_id", 4) != 2).select("text", "lang")
     return langid.readable_documents(docs, langid.learn(known))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
+    small_batches(spark)
     return jaccard.one_of_each(docs, WORDS, PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents cut and repeated so that the sources have their target weights."""
+    small_batches(spark)
     return apportion.mixed_texts(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -348,3 +348,20 @@ def test_pipeline_on_empty_documents(spark, sf, tmp_path):
 def test_long_text_is_read_to_its_end(odd):
     found = {r["doc_id"]: r["n_words"] for r in licenses.scan(odd).collect()}
     assert found[7] == len(LONG.split()) and found[8] == len(NEAR.split())
+
+
+def test_pipeline_hands_whole_texts_to_python_in_small_batches(spark, sf):
+    """Ten thousand texts in a batch, Spark's default, take hundreds of megabytes outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(key), []
+    try:
+        spark.conf.set(key, "10000")
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        many = docs.crossJoin(spark.range(15)).drop("id").coalesce(1)
+        for _, stage in corpus_pipeline.STAGES[1:2]:
+            stage(spark, docs, sf)
+        seen = many.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1).set_column(
+            0, "doc_id", pa.array([b.num_rows], pa.int64())) for b in batches), "doc_id long").collect()
+        assert sum(r[0] for r in seen) == 15 * docs.count() and max(r[0] for r in seen) <= 1000
+    finally:
+        spark.conf.set(key, before)

@@ -243,7 +243,8 @@ def tree_links(targets: list[np.ndarray], probes: list[np.ndarray], percent: int
     behind = None
     if member.size <= PRUNE_CELLS:  # n-grams of each probe at or behind a rank
         behind = np.zeros((len(grams) + 1, len(probes)), np.int32)
-        behind[:-1] = member[::-1].cumsum(axis=0, dtype=np.int32)[::-1]
+        if len(grams):
+            np.cumsum(member[::-1], axis=0, dtype=np.int32, out=behind[-2::-1])
     least = -(-percent * size_p // 100)
     walk = sorted(range(len(paths)), key=lambda i: paths[i].astype(">u4").tobytes())
 
