@@ -114,3 +114,22 @@ def test_discrepancy_tracks_the_exact_kernel(spark):
     assert not score_batch(df, m)[1]
     moved = df.select("row_id", *[(F.col(c) * 8 + 50).alias(c) for c in "pqr"])
     assert score_batch(moved, m)[1]
+
+
+def test_totals_of_each_model_meet_its_rows_without_dealing_all_rows_by_model(spark):
+    """Dealt by model alone, all rows would go to as many tasks as there are models."""
+    import re
+
+    from wardlight.operators.evaluate import evaluate_scores
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        df = spark.range(200).select((F.col("id") / 200).alias("a"), (F.col("id") % 7 / 7).alias("b"),
+                                     (F.col("id") % 2).cast("int").alias("label"))
+        plan = evaluate_scores(df, ["a", "b"], "label")._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"BroadcastHashJoin \[model#\d+\]", plan)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -101,7 +101,7 @@ def evaluate_scores(df: DataFrame, columns: list[str] | None = None, label: str
     sizes = counted.groupBy("model").agg(
         F.sum("n").alias("rows_all"), F.sum("pos").alias("pos_all"),
         (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score_mean"))
-    rows = totals.join(sizes, "model")
+    rows = totals.join(F.broadcast(sizes), "model")  # one row a score column; by model all rows would go to a few tasks
 
     s, n, pos, size, p = (F.col(c) for c in ("score", "n", "pos", "rows_all", "pos_all"))
     f = min(max(float(top_fraction), 0.01), 0.5)
