@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests.oracle import rows as comparable
-from wardlight.functions.cleaning import clean_frame, quality_rules
+from wardlight.functions.cleaning import Fields, clean_frame, quality_rules
 from wardlight.operators import evaluate as ev
 from wardlight.operators import labs
-from wardlight.operators.risk import clinical_risk, percent_scale, risk_category, risk_weights
+from wardlight.operators.risk import clinical_risk, condition_tokens, percent_scale, risk_category, risk_weights
 from wardlight.plans import clinical_queries
 from wardlight.sources.splits import append_feedback, load_lab_reports, load_ledger, load_splits, save_splits
 from wardlight.sources.tabular import load_encounters, with_row_id, write_scored_csv
@@ -202,3 +202,25 @@ def test_score_column_rules():
     cols = ["anomaly_score", "x_anomaly_score", "nutritional_score", "distribution_mmd_score", "decision_margin"]
     assert ev.score_columns(cols) == ["anomaly_score", "x_anomaly_score", "distribution_mmd_score"]
     assert "nutritional_score" in ev.score_columns(cols, loose=True)
+
+
+def test_wide_rules_run_as_compiled_code(spark, sf):
+    session = spark.newSession()  # as a driver starts it: fused methods of up to 65,535 bytes
+    session.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    session.conf.set("spark.sql.debug.maxToStringFields", "5000")
+    session.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    for name in ("r1_r6_clinical_risk", "r9_risk_actions", "t8_finding_cells", "r7_d23_range_findings"):
+        session.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        out = clinical_queries.QUERIES[name](session, sf)
+        plan = session._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended").split("== Optimized")[1]
+        assert "lambdafunction" not in plan.lower(), name  # Spark interprets functions over list items
+        assert int(session.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000, name
+
+
+def test_condition_words_of_odd_texts(spark):
+    texts = ["CKD", " ckd ;; Type-2  Diabetes/", "n/a", "N/A,gout", "none of the above|nil", "", None, "a.b, a b\nA-B", "/,;", "x\t, x",
+             "Ärzte, né", "n/a;n/a|t2d", "no known conditions", "hay  fever (mild), hay fever mild", "n/abc/n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, comorbidities string")
+    got = [r[0] for r in df.orderBy("i").select(condition_tokens(Fields(df))).collect()]
+    assert got == [["ckd"], ["ckd", "type 2 diabetes"], [], ["gout"], [], [], [], ["a b"], [], ["x"],
+                   ["rzte", "n"], ["t2d"], [], ["hay fever mild"], ["n", "abc"]]
