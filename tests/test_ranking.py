@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators import nearest as nn
 from wardlight.operators.conformal import conformal_p_values
-from wardlight.operators.monitor import discrepancy, fit_monitor, fourier, score_batch
+from wardlight.operators.monitor import discrepancy, feature_sums, fit_monitor, fourier, score_batch
 from wardlight.operators.ranking import exact_quantiles, hash_sample, ordered_totals, rank_cuts
 from wardlight.operators.split import with_split
 
@@ -133,3 +133,16 @@ def test_totals_of_each_model_meet_its_rows_without_dealing_all_rows_by_model(sp
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_feature_sums_of_one_file_use_all_cores(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (2500, 2)) * [1.0, 400.0] + [0.0, 5000.0]
+    df = spark.createDataFrame(x.tolist(), "a double, b double").coalesce(1)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("feature-sums", "one file")
+    total, rows = feature_sums(df, ["a", "b"], 0.3, 7)[0]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [s for j in tracker.getJobIdsForGroup("feature-sums") for s in tracker.getJobInfo(j).stageIds]
+    assert max(tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s)) >= spark.sparkContext.defaultParallelism
+    assert rows == 2500 and np.abs(total - fourier(x, 0.3, 7).sum(0)).max() < 1e-6 * rows

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.schema import ROW
+from wardlight.session import spread
 
 WIDTH = 1024
 
@@ -39,6 +40,24 @@ def fourier(x: np.ndarray, gamma: float, seed: int, width: int = WIDTH) -> np.nd
     return np.concatenate([np.cos(angle), np.sin(angle)], axis=1) / np.sqrt(width)
 
 
+def fourier_sum(x: np.ndarray, gamma: float, seed: int, width: int = WIDTH, rows: int = 512) -> np.ndarray:
+    """``fourier(...).sum(0)`` over a few hundred rows at a time.
+
+    Angles are counted in turns and brought into half a turn in double precision; only then are they narrowed, since
+    single precision cosines take a third of the time. A row's error stays near 1e-7; sums are kept in double precision.
+    """
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], width)) / (2 * np.pi)
+    out = np.zeros(2 * width)
+    for at in range(0, len(x), rows):
+        turns = x[at:at + rows] @ w
+        turns -= np.rint(turns)
+        angle = turns.astype(np.float32) * np.float32(2 * np.pi)
+        out[:width] += np.cos(angle).sum(0, dtype=float)
+        out[width:] += np.sin(angle).sum(0, dtype=float)
+    return out / np.sqrt(width)
+
+
 def kernel_width(df: DataFrame, features: list[str]) -> float:
     """1 / (2 * mean squared distance of two rows), which is twice the sum of the variances of the whole table."""
     spread = df.agg(*[F.var_pop(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"v{i}")
@@ -65,14 +84,15 @@ def feature_sums(df: DataFrame, features: list[str], gamma: float, seed: int, gr
         for pdf in batches:
             pdf = pdf[np.isfinite(pdf[features].to_numpy(dtype=float)).all(axis=1)]
             for group, rows in pdf.groupby("_group"):
-                part = fourier(rows[features].to_numpy(dtype=float), gamma, seed).sum(0)
+                part = fourier_sum(rows[features].to_numpy(dtype=float), gamma, seed)
                 held[group] = held.get(group, 0.0) + np.append(part, len(rows))
         for group, total in held.items():
             yield pd.DataFrame({"_group": group, "i": np.arange(len(total)), "v": total})
 
     cast = [F.col(c).cast("double").alias(c) for c in features]
-    sums = (df.select((F.lit(0) if groups is None else groups).cast("int").alias("_group"), *cast)
-            .mapInPandas(partial, "_group int, i int, v double")
+    # A row costs two thousand cosines: a batch that arrives as one file is dealt to all cores first.
+    narrow = spread(df.select((F.lit(0) if groups is None else groups).cast("int").alias("_group"), *cast))
+    sums = (narrow.mapInPandas(partial, "_group int, i int, v double")
             .groupBy("_group", "i").agg(F.sum("v").alias("v")).collect())  # groups x (2 * WIDTH + 1) rows
     out: dict[int, np.ndarray] = {}
     for r in sums:
