@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wardlight.operators.monitor import fit_monitor
 from wardlight.plans.evaluation_queries import rounded
-from wardlight.session import shared_dir
+from wardlight.session import shared_dir, spread
 from wardlight.sources import splits
 from wardlight.sources.standins import table, visits
 from wardlight.streaming import jobs
@@ -65,19 +65,23 @@ def trend(spark, d):
 
 
 def monitored(spark, d):
-    """Three arriving files of visits, the third far from the rest: the monitor's alarms, batch by batch."""
+    """Visits arrive three times, the third far from the rest: the monitor's alarms, batch by batch.
+
+    A part is written by all cores; the stream starts again from its checkpoint and takes the files that are new as one batch.
+    """
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = visits(spark, d).select("row_id", F.col("value"), F.col("k"))
     part = F.pmod(F.xxhash64("row_id"), F.lit(3))
+    out = spark.createDataFrame([], "batch_id long, mmd double, alarm boolean").schema
+    monitor = fit_monitor(rows, ["value", "k"])
     for i in range(3):
         moved = [(F.col(c) * 8 + 5000).alias(c) if i == 2 else F.col(c) for c in ("value", "k")]
-        rows.where(part == i).select("row_id", *moved).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    out = spark.createDataFrame([], "batch_id long, mmd double, alarm boolean").schema
-    stream = jobs.file_stream(spark, f"{base}/in", rows.schema, files_per_trigger=1)
-    query = jobs.monitor_stream(
-        stream, fit_monitor(rows, ["value", "k"]),
-        lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/part={i}"), f"{base}/checkpoint", availableNow=True)
-    query.awaitTermination()
+        spread(rows.where(part == i).select("row_id", *moved)).write.mode("append").parquet(f"{base}/in")
+        # above any number of files a part is written in: one part, one batch
+        stream = jobs.file_stream(spark, f"{base}/in", rows.schema, files_per_trigger=1_000_000)
+        jobs.monitor_stream(
+            stream, monitor, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/part={n}"),
+            f"{base}/checkpoint", availableNow=True).awaitTermination()
     return spark.read.schema(out).parquet(f"{base}/out").groupBy("alarm").agg(F.count(F.lit(1)).alias("batches"))
 
 
