@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wardlight.operators import detectors
+from wardlight.operators import detectors, explain
 from wardlight.plans import job_queries, model_queries
 
 QUERIES = entry.queries()
@@ -133,3 +133,17 @@ def test_nearest_imputation(spark, small):
 def test_token_indicators(spark, small):
     got = {r["feature"]: r["rows"] for r in QUERIES["i2_d19_token_indicators"](spark, small[0]).collect()}
     assert got == {"tags__en": 7, "tags__src0": 3, "tags__src1": 2, "tags__src2": 2}
+
+
+def test_pairs_are_ranked_before_they_are_shuffled(spark, sf):
+    rows = [(1, 1.0, -2.0, 3.0, 0.5), (2, 0.0, 0.0, 0.0, 0.0), (3, 1.0, None, 2.0, -2.0), (4, float("nan"), 1.0, 2.0, 3.0),
+            (5, 1.0, 1.0, 1.0, 1.0), (5, 9.0, 1.0, 0.5, 4.0)]
+    df = spark.createDataFrame(rows, "row_id int, a double, b double, c double, d double")
+    names = ["a", "b", "c", "d"]
+    means = dict.fromkeys(names, 0.0)
+    plain = explain.top_pairs(explain.interactions(df, names, means), 3)
+    fast = explain.top_interactions(df, names, means, 3)
+    order = ["row_id", "rank"]
+    assert [str(r) for r in fast.orderBy(order).collect()] == [str(r) for r in plain.orderBy(order).collect()]
+    out = job_queries.QUERIES["x3_pair_interactions"](spark, sf)
+    assert "posexplode" not in spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "extended")

@@ -68,6 +68,18 @@ def top_alerts(df: DataFrame, explanations: DataFrame, score: str = "anomaly_sco
     return best.join(kept, row, "left")
 
 
+def _deviations(df: DataFrame, features: list[str], background: dict[str, float], strength: Column | None,
+                row: str) -> tuple[DataFrame, Column]:
+    dev = F.array(*[F.col(f) - F.lit(background[f]) for f in features])
+    held = df.select(row, dev.alias("_d"), (strength if strength is not None else F.lit(1.0)).alias("_scale"))
+    peak = F.array_max(F.transform("_d", lambda v: F.abs(v)))
+    return held.withColumn("_p", peak * peak), F.array(*[F.lit(f) for f in features])
+
+
+def _pair_value(x: Column, y: Column) -> Column:
+    return F.when(F.col("_p") > 0, x * y / F.col("_p")).otherwise(0.0) * F.greatest("_scale", F.lit(1e-6))
+
+
 def interactions(df: DataFrame, features: list[str], background: dict[str, float], strength: Column | None = None,
                  row: str = ROW) -> DataFrame:
     """Outer product of the deviations from the background, normalised per row and scaled.
@@ -75,19 +87,42 @@ def interactions(df: DataFrame, features: list[str], background: dict[str, float
     Long form (row, feature_i, feature_j, value), i < j; the grid of one row is
     built from its own columns.
     """
-    dev = F.array(*[F.col(f) - F.lit(background[f]) for f in features])
-    held = df.select(row, dev.alias("_d"), (strength if strength is not None else F.lit(1.0)).alias("_scale"))
-    peak = F.array_max(F.transform("_d", lambda v: F.abs(v)))
-    held = held.withColumn("_p", peak * peak)
-    names = F.array(*[F.lit(f) for f in features])
+    held, names = _deviations(df, features, background, strength, row)
     a = held.select(row, "_d", "_p", "_scale", F.posexplode("_d").alias("_i", "_x"))
     later = F.slice("_d", F.col("_i") + 2, F.greatest(F.size("_d") - F.col("_i") - 1, F.lit(0)))
     b = a.select(row, "_i", "_x", "_p", "_scale", F.posexplode(later).alias("_k", "_y"))
-    value = F.when(F.col("_p") > 0, F.col("_x") * F.col("_y") / F.col("_p")).otherwise(0.0) * F.greatest("_scale", F.lit(1e-6))
+    value = _pair_value(F.col("_x"), F.col("_y"))
     return b.select(row, F.element_at(names, F.col("_i") + 1).alias("feature_i"),
                     F.element_at(names, F.col("_i") + F.col("_k") + 2).alias("feature_j"), value.alias("interaction_value"))
 
 
+def top_interactions(df: DataFrame, features: list[str], background: dict[str, float], top_k: int,
+                     strength: Column | None = None, row: str = ROW) -> DataFrame:
+    """``top_pairs(interactions(...), top_k)``, but every pair of a row is ranked where the row is.
+
+    Only ``top_k`` pairs a row are shuffled, to rank rows that share an id together.
+    """
+    held, names = _deviations(df, features, background, strength, row)
+
+    def pair(v: Column, i: Column, k: Column) -> Column:
+        # as in a descending order: NaN first, null last
+        kind = F.when(v.isNull(), 2).when(F.isnan(v), 0).otherwise(1)
+        size = F.when(kind == 1, -F.abs(v)).otherwise(0.0)
+        return F.struct(kind.alias("kind"), size.alias("size"), names[i].alias("feature_i"),
+                        names[i + k + 1].alias("feature_j"), v.alias("interaction_value"))
+
+    def later(i: Column) -> Column:
+        return F.slice("_d", i + 2, F.greatest(F.size("_d") - i - 1, F.lit(0)))
+
+    # a value is worked out once, in a list of its own, and then described
+    every = F.flatten(F.transform("_d", lambda x, i: F.transform(
+        F.transform(later(i), lambda y: _pair_value(x, y)), lambda v, k: pair(v, i, k))))
+    best = held.select(row, F.slice(F.sort_array(every), 1, top_k).alias("_t"))
+    # The outer form keeps Spark from copying the whole array expression into a filter.
+    long = best.select(row, F.explode_outer("_t").alias("_e")).where("_e IS NOT NULL")
+    return top_pairs(long.select(row, "_e.feature_i", "_e.feature_j", "_e.interaction_value"), top_k, row)
+
+
 def top_pairs(pairs: DataFrame, top_k: int, row: str = ROW) -> DataFrame:
     w = Window.partitionBy(row).orderBy(F.desc(F.abs("interaction_value")), "feature_i", "feature_j")
     return (pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

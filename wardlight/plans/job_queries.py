@@ -56,8 +56,8 @@ def attribution_top(spark, d):
 
 def pair_interactions(spark, d):
     df = vectors(spark, d)
-    pairs = explain.interactions(df, DIMS, _background(df, DIMS))
-    return rounded(explain.top_pairs(pairs, 3).select("row_id", "feature_i", "feature_j", "interaction_value", "rank"))
+    pairs = explain.top_interactions(df, DIMS, _background(df, DIMS), 3)
+    return rounded(pairs.select("row_id", "feature_i", "feature_j", "interaction_value", "rank"))
 
 
 def residuals(spark, d):
