@@ -56,12 +56,3 @@ def sigmoid(c: Column) -> Column:
 def ratio(num: Column, den: Column) -> Column:
     """num / den, 0 where the denominator is 0."""
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
-
-
-def first_peak(values: list[Column], names: list[str]) -> tuple[Column, Column]:
-    """Name and value of the entry with the largest magnitude; the first one wins ties."""
-    sizes = F.array(*[F.abs(v) for v in values])
-    at = F.array_position(sizes, F.array_max(sizes)).cast("int")
-    at = F.when(at > 0, at)
-    return (F.element_at(F.array(*[F.lit(n) for n in names]), at),
-            F.element_at(F.array(*values), at))

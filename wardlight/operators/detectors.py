@@ -40,9 +40,12 @@ class Fitted:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``<name>_raw_score`` and the standardised ``<name>_score``."""
-        out = self.raw(df, f"{self.name}_raw_score")
+        return self.standard(self.raw(df, f"{self.name}_raw_score"))
+
+    def standard(self, df: DataFrame) -> DataFrame:
+        """Adds the standardised ``<name>_score`` to rows that hold the raw one."""
         z = (F.col(f"{self.name}_raw_score") - F.lit(self.mean)) / F.lit(self.std)
-        return out.withColumn(f"{self.name}_score", z)
+        return df.withColumn(f"{self.name}_score", z)
 
 
 DETECTORS: dict[str, Callable[..., Fitted]] = {}
@@ -82,13 +85,29 @@ def register_scorer(name: str, fit_state: Callable, score_batch: Callable[[objec
 
 def fit_detector(name: str, df: DataFrame, features: list[str], **options) -> Fitted:
     fitted = DETECTORS[name](df, features, **options)
-    column = f"{name}_raw_score"
-    row = fitted.raw(df, column).agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
-    fitted.mean = row["m"] or 0.0
-    fitted.std = row["s"] if row["s"] and row["s"] > 0 else 1.0
+    _fit_spread([fitted], fitted.raw(df, f"{name}_raw_score"))
     return fitted
 
 
+def fit_detectors(names: list[str], df: DataFrame, features: list[str], **options) -> tuple[list[Fitted], DataFrame]:
+    """Fit several detectors; returns them and the rows with their raw scores, which are computed once and kept."""
+    fitted = [DETECTORS[n](df, features, **options) for n in names]
+    scored = df
+    for d in fitted:
+        scored = d.raw(scored, f"{d.name}_raw_score")
+    scored = cut_lineage(scored)
+    _fit_spread(fitted, scored)
+    return fitted, scored
+
+
+def _fit_spread(fitted: list[Fitted], scored: DataFrame) -> None:
+    row = scored.agg(*[e for i, d in enumerate(fitted) for e in (
+        F.avg(f"{d.name}_raw_score").alias(f"m{i}"), F.stddev_pop(f"{d.name}_raw_score").alias(f"s{i}"))]).first()
+    for i, d in enumerate(fitted):
+        d.mean = row[f"m{i}"] or 0.0
+        d.std = row[f"s{i}"] if row[f"s{i}"] and row[f"s{i}"] > 0 else 1.0
+
+
 def _batch(fn: Callable[[np.ndarray], np.ndarray], features: list[str]):
     @F.pandas_udf("double")
     def run(*cols: pd.Series) -> pd.Series:
@@ -218,27 +237,46 @@ def fit_isolation_forest(df: DataFrame, features: list[str], row: str = ROW, tre
         "depth": table("depth", 0.0, float), "limit": limit, "norm": max(float(_average_path(psi)), 1e-12)})
 
 
+def _levels(s: dict) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Each level's features and cuts (trees x 2**level) and the depths below; a leaf sends rows left to the last level."""
+    trees = np.arange(len(s["feature"]))[:, None]
+    at = np.zeros((len(trees), 1), np.intp)
+    levels = []
+    for _ in range(s["limit"]):
+        feature = s["feature"][trees, at]
+        leaf = feature < 0
+        levels.append((np.where(leaf, 0, feature).astype(np.intp), np.where(leaf, np.inf, s["cut"][trees, at])))
+        left = np.where(leaf, at, s["left"][trees, at])
+        at = np.stack([left, np.where(leaf, at, left + 1)], axis=2).reshape(len(trees), -1)
+    return levels, s["depth"][trees, at]
+
+
 def _forest_scorer(spark, features, state):
     forest = spark.sparkContext.broadcast(state)
 
     def path_score(x: np.ndarray) -> np.ndarray:
-        """Rows go down one small tree after another; a leaf sends every row back to itself."""
+        """Rows go down one small tree after another; a node's place in its level says where its children lie."""
         s = forest.value
-        leaf = s["feature"] < 0
-        feature = np.where(leaf, 0, s["feature"]).astype(np.intp)
-        cut = np.where(leaf, np.inf, s["cut"])
-        left = np.where(leaf, np.arange(leaf.shape[1])[None], s["left"]).astype(np.intp)
+        levels, depth = _levels(s)
         out = np.empty(len(x))
-        for i in range(0, len(x), 4096):
-            part = np.ascontiguousarray(x[i:i + 4096])
-            flat, base = part.ravel(), np.arange(len(part)) * part.shape[1]
-            total = np.zeros(len(part))
-            for f, c, l, d in zip(feature, cut, left, s["depth"], strict=True):
-                node = np.zeros(len(part), np.intp)
-                for _ in range(s["limit"]):
-                    node = l.take(node) + (flat.take(base + f.take(node)) > c.take(node))
-                total += d.take(node)
-            out[i:i + 4096] = 2.0 ** (-total / len(feature) / s["norm"])
+        for i in range(0, len(x), 8192):
+            part = np.ascontiguousarray(x[i:i + 8192])
+            n, flat = len(part), part.ravel()
+            base = np.arange(n) * part.shape[1]
+            total, at, value, cut, right = np.zeros(n), np.empty(n, np.intp), np.empty(n), np.empty(n), np.empty(n, bool)
+            for tree in range(len(depth)):
+                node = np.zeros(n, np.intp)
+                for features_, cuts in levels:
+                    # nodes are in range: clipping only spares a buffer
+                    np.take(features_[tree], node, out=at, mode="clip")
+                    at += base
+                    np.take(flat, at, out=value, mode="clip")
+                    np.take(cuts[tree], node, out=cut, mode="clip")
+                    np.greater(value, cut, out=right)
+                    node <<= 1
+                    node += right
+                total += np.take(depth[tree], node, out=value, mode="clip")
+            out[i:i + 8192] = 2.0 ** (-total / len(depth) / s["norm"])
         return out
 
     return lambda frame, output: frame.withColumn(output, _batch(path_score, features))
@@ -409,7 +447,7 @@ def fit_sequence(df: DataFrame, features: list[str], steps: int = 4, share: floa
         return None
     state = fit_pca_reconstruction(rows, names, share).state
     model = {"axes": state["axes"], "centre": state["centre"], "steps": steps, "features": len(features)}
-    errors = rows.select(_window_error(F.array(*names), model).alias("e"))
+    errors = cut_lineage(rows.select(_window_error(F.array(*names), model).alias("e")))
     stats = errors.agg(F.avg("e").alias("m"), F.stddev_pop("e").alias("s")).first()
     threshold = exact_quantiles(errors, "e", {"t": quantile}).first()["t"]
     return {**model, "mean": stats["m"], "std": stats["s"], "threshold": threshold}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.numeric import add_all, first_peak, squash, usable_std
+from wardlight.functions.numeric import add_all, squash, usable_std
 from wardlight.operators.ordered import PatientOrder
 from wardlight.operators.ranking import exact_quantiles
 
@@ -22,27 +22,47 @@ def fit_baseline(df: DataFrame, features: list[str]) -> dict[str, tuple[float, f
     return out
 
 
-def _summary(zs: dict[str, Column], prefix: str, keep_z: bool) -> dict[str, Column]:
-    sizes = F.filter(F.array(*[F.abs(z) for z in zs.values()]), lambda v: v.isNotNull())
-    name, value = first_peak(list(zs.values()), list(zs))
-    peak = F.array_max(sizes)
-    total = F.aggregate(sizes, F.lit(0.0), lambda a, v: a + v)
+SCRATCH = ("_sizes", "_peak", "_at")
+
+
+def with_peak(df: DataFrame, values: list[Column], names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Adds the values and their peak as scratch columns; returns also name and value of the first largest one.
+
+    Every step reads columns of the step before: Spark would work out a whole expression at each of its places again,
+    thirty times for a value below a condition.
+    """
+    held = [f"_v{i}" for i in range(len(values))]
+    df = df.withColumns(dict(zip(held, values)))
+    df = df.withColumn("_sizes", F.array(*[F.abs(F.col(c)) for c in held]))
+    df = df.withColumn("_peak", F.array_max("_sizes"))
+    at = F.array_position("_sizes", F.col("_peak")).cast("int")
+    df = df.withColumn("_at", F.when(at > 0, at))
+    return df, {"name": F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_at")),
+                "value": F.element_at(F.array(*[F.col(c) for c in held]), F.col("_at"))}
+
+
+def _summary(df: DataFrame, zs: dict[str, Column], prefix: str, keep_z: bool) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    df, top = with_peak(df, list(zs.values()), list(zs))
+    there = F.filter("_sizes", lambda v: v.isNotNull())
+    df = df.withColumn("_there", there)
+    total = F.aggregate("_there", F.lit(0.0), lambda a, v: a + v)
     out = {
-        f"{prefix}_anomaly_score": squash(peak),
-        f"{prefix}_anomaly_max_abs_zscore": peak,
-        f"{prefix}_anomaly_mean_abs_zscore": total / F.when(F.size(sizes) > 0, F.size(sizes)),
-        f"{prefix}_anomaly_top_feature": name,
-        f"{prefix}_anomaly_top_feature_zscore": value,
+        f"{prefix}_anomaly_score": squash(F.col("_peak")),
+        f"{prefix}_anomaly_max_abs_zscore": F.col("_peak"),
+        f"{prefix}_anomaly_mean_abs_zscore": total / F.when(F.size("_there") > 0, F.size("_there")),
+        f"{prefix}_anomaly_top_feature": top["name"],
+        f"{prefix}_anomaly_top_feature_zscore": top["value"],
     }
     if keep_z:
-        out.update({f"{prefix}_zscore__{f}": z for f, z in zs.items()})
-    return out
+        out.update({f"{prefix}_zscore__{f}": F.col(f"_v{i}") for i, f in enumerate(zs)})
+    return df, out, [*SCRATCH, "_there", *[f"_v{i}" for i in range(len(zs))]]
 
 
 def score_point(df: DataFrame, baseline: dict[str, tuple[float, float]], keep_z: bool = False) -> DataFrame:
     """Deviation from the population baseline; row-wise, no shuffle."""
     zs = {f: (F.col(f) - F.lit(m)) / F.lit(s) for f, (m, s) in baseline.items()}
-    return df.withColumns(_summary(zs, "point", keep_z))
+    out, cols, scratch = _summary(df, zs, "point", keep_z)
+    return out.withColumns(cols).drop(*scratch)
 
 
 def score_contextual(order: PatientOrder, features: list[str], keep_z: bool = False) -> PatientOrder:
@@ -53,12 +73,12 @@ def score_contextual(order: PatientOrder, features: list[str], keep_z: bool = Fa
         f: (F.col(f) - F.col(f"{f}_prior_mean")) / usable_std(F.col(f"{f}_prior_std"))
         for f in features
     }
-    cols = _summary(zs, "contextual", keep_z)
+    df, cols, held = _summary(seen.df.withColumn("_history", history), zs, "contextual", keep_z)
     blank = {k: F.lit("") if k.endswith("top_feature") else F.lit(0.0) for k in cols}
-    df = seen.df.withColumns({
-        k: F.when(history > 0, v).otherwise(blank[k]) for k, v in cols.items()})
-    df = df.withColumn("contextual_anomaly_history_length", history)
-    scratch = [f"{f}_prior_{s}" for f in features for s in ("n", "mean", "std")]
+    df = df.withColumns({
+        k: F.when(F.col("_history") > 0, v).otherwise(blank[k]) for k, v in cols.items()})
+    df = df.withColumn("contextual_anomaly_history_length", F.col("_history"))
+    scratch = ["_history", *held] + [f"{f}_prior_{s}" for f in features for s in ("n", "mean", "std")]
     return seen.replace(df.drop("_seen", *scratch))
 
 
@@ -99,13 +119,14 @@ def score_collective(df: DataFrame, groups: dict[str, list[str]], residual: str
         group_slug(g): F.sqrt(add_all([value_of(f) * value_of(f) for f in fs]) / F.lit(float(len(fs))))
         for g, fs in groups.items()
     }
-    name, value = first_peak(list(errors.values()), list(errors))
-    return df.withColumns({
-        **{f"collective_group_error__{g}": e for g, e in errors.items()},
-        "collective_anomaly_score": squash(value),
-        "collective_anomaly_top_group": name,
-        "collective_anomaly_top_group_error": value,
-    })
+    out, top = with_peak(df, list(errors.values()), list(errors))
+    out = out.withColumn("_value", top["value"])
+    return out.withColumns({
+        **{f"collective_group_error__{g}": F.col(f"_v{i}") for i, g in enumerate(errors)},
+        "collective_anomaly_score": squash(F.col("_value")),
+        "collective_anomaly_top_group": top["name"],
+        "collective_anomaly_top_group_error": F.col("_value"),
+    }).drop("_value", *SCRATCH, *[f"_v{i}" for i in range(len(errors))])
 
 
 def head_summary(df: DataFrame, score: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wardlight.operators import evaluate as ev
 from wardlight.operators import fusion
 from wardlight.operators.conformal import conformal_p_values
-from wardlight.operators.detectors import Fitted, build, fit_detector, fit_sequence, score_sequence
+from wardlight.operators.detectors import Fitted, build, fit_detectors, fit_sequence, score_sequence
 from wardlight.operators.drift import drift_alarms
 from wardlight.operators.features import FeatureModel, fit_features
 from wardlight.operators.feedback import retraining_rows
@@ -27,7 +27,7 @@ from wardlight.operators.monitor import Monitor, fit_monitor, mark_batch
 from wardlight.operators.ordered import PatientOrder, hot_keys
 from wardlight.operators.risk import assessments, clinical_risk
 from wardlight.schema import KEY, ROW, TIME, Settings
-from wardlight.session import cut_lineage
+from wardlight.session import compiled_methods, cut_lineage
 
 
 @dataclass
@@ -57,12 +57,19 @@ class Model:
 def _component_scores(table: DataFrame, model: Model, scaling: str = "fit",
                       available: list[str] | None = None) -> DataFrame:
     """Each detector's score scaled into [0, 1] as ``<name>_anomaly_score``; detectors that are not available do not run."""
-    out = table
     running = [d for d in model.detectors if available is None or d.name in available]
     if not running:
         raise ValueError("no detector of the model is available")
+    out = table
+    for d in running:
+        out = d.raw(out, f"{d.name}_raw_score")
+    return _scaled(out, model, running, scaling)
+
+
+def _scaled(out: DataFrame, model: Model, running: list[Fitted], scaling: str = "fit") -> DataFrame:
+    """Component scores of rows that hold the raw ones."""
     for d in running:
-        out = d.score(out)
+        out = d.standard(out)
     names = {f"{d.name}_score": f"{d.name}_anomaly_score" for d in running}
     ranges = {c: r for c, r in model.ranges.items() if c in names} if scaling == "fit" else None
     out = fusion.scale_components(out, ranges, list(names), names)
@@ -134,19 +141,20 @@ def train(df: DataFrame, settings: Settings | None = None, label: str | None = N
     """
     started = time.time()
     s = settings or Settings()
+    compiled_methods(df.sparkSession)
     hot = hot_keys(df)
     features = fit_features(df.drop(label) if label else df, s, hot)
     keep = [ROW, KEY, TIME] + ([label] if label else [])
     table = cut_lineage(features.transform(df, keep, hot))
     names = features.names
-    model = Model(s, features, [
-        fit_detector(n, table, names, contamination=s.contamination, seed=s.seed) for n in s.detectors])
-    standard = table
-    for d in model.detectors:
-        standard = d.score(standard)
+    detectors, raw = fit_detectors(s.detectors, table, names, contamination=s.contamination, seed=s.seed)
+    model = Model(s, features, detectors)
+    standard = raw
+    for d in detectors:
+        standard = d.standard(standard)
     model.ranges = fusion.fit_ranges(standard, [f"{c}_score" for c in model.components])
     parts = [f"{c}_anomaly_score" for c in model.components]
-    scored = cut_lineage(_component_scores(table, model))
+    scored = _scaled(raw, model, detectors)
     if s.fusion_strategy == "stacking":
         if label is None:
             raise ValueError("stacking needs labels")
@@ -237,6 +245,7 @@ def score(df: DataFrame, model: Model, scaling: str = "fit", available: list[str
           keep_z: bool = False, adaptive_drift: bool = True) -> DataFrame:
     """Every score, alarm, p-value and risk column next to the input columns, joined by row id."""
     s = model.settings
+    compiled_methods(df.sparkSession)
     hot = hot_keys(df)
     names = model.features.names
     table = cut_lineage(model.features.transform(df, [ROW, KEY, TIME], hot))
