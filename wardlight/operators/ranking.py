@@ -14,6 +14,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlight.session import cut_lineage
+
 ROWS_PER_BIN = 1_000_000
 MAX_BINS = 4096
 
@@ -37,8 +39,10 @@ def ordered_totals(counted: DataFrame, groups: list[str], value: str, measures:
                    descending: bool = True, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """Running totals ``cum_<measure>`` up to and including each distinct ``value``.
 
-    ``counted`` holds one row per (groups, value).
+    ``counted`` holds one row per (groups, value). It is kept once: its rows are counted, cut into bins and read on two
+    sides of a join, and each of these would run everything before it again.
     """
+    counted = cut_lineage(counted)
     binned = value_bins(counted, value, rows_per_bin)
     per_bin = binned.groupBy(*groups, "_bin").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     step = F.col("_bin").desc() if descending else F.col("_bin").asc()
