@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions.numeric import add_all, clamp01
 from wardlight.operators.ranking import exact_quantiles
+from wardlight.session import cut_lineage
 
 # Default fusion weight per detector, before normalising.
 DEFAULT_WEIGHTS = {
@@ -75,15 +79,52 @@ def fit_stacking(df: DataFrame, components: list[str], label: str, kind: str = "
         model = MultilayerPerceptronClassifier(
             featuresCol="_components", layers=[len(components), 32, 16, 2], maxIter=200, seed=seed)
     elif kind in ("gbt", "xgboost"):
-        model = GBTClassifier(featuresCol="_components", maxIter=40, maxDepth=3, seed=seed)
+        return _boosted(rows, components, GBTClassifier(featuresCol="_components", maxIter=40, maxDepth=3, seed=seed))
     else:
         raise ValueError("stacking model must be 'mlp' or 'gbt'")
     return model.fit(rows)
 
 
+def _split_candidates(rows: DataFrame, trees: GBTClassifier) -> list[list[float]]:
+    """The thresholds between which the trees may choose for each feature: MLlib's own, from its own sample of the rows."""
+    jvm = rows.sparkSession._jvm
+    impl = jvm.org.apache.spark.ml.tree.impl
+    trees._transfer_params_to_java()
+    utils = getattr(jvm.org.apache.spark.ml.util, "DatasetUtils$")
+    instances = getattr(utils, "MODULE$").extractInstances(trees._java_obj, rows._jdf, jvm.scala.Some(2))
+    strategy = jvm.org.apache.spark.mllib.tree.configuration.Strategy.defaultStrategy("Regression")
+    strategy.setMaxBins(trees.getMaxBins())
+    metadata = impl.DecisionTreeMetadata.buildMetadata(instances, strategy, 1, trees.getFeatureSubsetStrategy())
+    forest = getattr(getattr(impl, "RandomForest$"), "MODULE$")
+    return [[split.threshold() for split in feature] for feature in forest.findSplits(instances, metadata, trees.getSeed())]
+
+
+def _boosted(rows: DataFrame, components: list[str], trees: GBTClassifier) -> PipelineModel:
+    """Boosted trees, fitted on the counts of equal rows.
+
+    A tree sees a component only through the bin between two split candidates, so rows of equal bins and labels are one
+    row with their number as weight: two passes over the rows, whatever the number of trees and levels.
+    """
+    names = [f"_bin{i}" for i in range(len(components))]
+    # a value at a threshold goes left with those below, in the trees; a bucket ends before its upper bound
+    bounds = [[-math.inf, *([math.nextafter(t, math.inf) for t in cuts] or [0.0]), math.inf]
+              for cuts in _split_candidates(rows, trees)]
+    bins = Bucketizer(splitsArray=bounds, inputCols=components, outputCols=names)
+    vector = VectorAssembler(inputCols=names, outputCol="_components")
+    plain = [(F.col(n) + F.lit(0.0)).alias(n) for n in names]  # numbers, where bins would be categories
+    counted = cut_lineage(bins.transform(rows).select("label", *plain).groupBy("label", *names).agg(
+        F.count(F.lit(1)).cast("double").alias("_rows")))
+    # enough bins that MLlib takes the candidates from all of these rows: each of them lies between two bins
+    most = max(trees.getMaxBins(), math.isqrt(counted.count()) + 1)
+    fitted = trees.copy({trees.maxBins: most, trees.weightCol: "_rows"}).fit(vector.transform(counted))
+    return PipelineModel([bins, vector, fitted])
+
+
 def apply_stacking(df: DataFrame, model, components: list[str], output: str) -> DataFrame:
-    rows = VectorAssembler(inputCols=components, outputCol="_components").transform(df)
-    scored = model.transform(rows)
+    if isinstance(model, PipelineModel):  # with its own bins of the components
+        scored = model.transform(df).drop(*model.stages[0].getOutputCols())
+    else:
+        scored = model.transform(VectorAssembler(inputCols=components, outputCol="_components").transform(df))
     extra = [c for c in ("rawPrediction", "prediction", "probability", "_components") if c in scored.columns]
     return scored.withColumn(output, vector_to_array("probability")[1]).drop(*extra)
 

@@ -7,6 +7,7 @@ import pickle
 import time
 from dataclasses import asdict, dataclass, field
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel)
 from pyspark.ml.feature import PCAModel
@@ -379,7 +380,7 @@ def load_model(path: str, spark: SparkSession) -> Model:
         state.update({n.split("__", 1)[1]: t for n, t in tables.items() if n.startswith(f"{name}__")})
         detectors.append(build(name, spark, names, state, mean, std))
     kinds = {c.__name__: c for c in (
-        GBTClassificationModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel)}
+        GBTClassificationModel, LogisticRegressionModel, MultilayerPerceptronClassificationModel, PipelineModel)}
     meta = kinds[p["meta"]].load(f"{path}/meta") if p["meta"] else None
     return Model(settings, features, detectors, p["ranges"], p["baseline"], p["threshold"], p["calibrated"], meta,
                  p["monitor"], p["sequence"], tables.get("calibration"), p["source"], p["seconds"],
