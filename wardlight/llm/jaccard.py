@@ -9,7 +9,9 @@ skipped, and most nodes end there. What is left are small rows (n-gram, node).
 
 Nodes that share such an n-gram form clusters (connected components, found in
 DataFrame rounds). The sets of a cluster's nodes meet in one task, or in blocks
-of bounded size where the cluster is large. There the sets are put in a prefix
+of bounded size where the cluster is large; a block holds sets of one class of
+sizes and meets those of its own class and the two beside it, since no other
+set can be in reach. There the sets are put in a prefix
 tree, most frequent n-gram first; one walk over the tree carries the overlaps
 with all probing sets at once, shares them among the sets below a tree node,
 and drops a probe once what it has left cannot reach its bound. In a large
@@ -31,19 +33,23 @@ whole sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlight.llm.textio import Marks, handed_over, lowered, mix64, raw, release, slices, text_of, word_edges, word_hashes
+from wardlight.session import broadcast_if_fits
 
 WORDS, PERCENT = 3, 90
 #: A block of a cluster holds at most so many sets, and n-grams in all.
 BLOCK_SETS, BLOCK_GRAMS = 1_000, 300_000
+#: Centres of large clusters, whole sets, that are broadcast.
+CENTRES = 500
 #: Frequencies are told apart up to here; any function of the n-gram gives a valid order.
 FREQUENT = 4096
 #: Cells of the running sums that the walk keeps for pruning; without them it only prunes by size.
@@ -170,10 +176,9 @@ def _shared(rows: DataFrame) -> DataFrame:
             .mapInArrow(run, "gram long, node long, df long"))
 
 
-def prefix_rows(nodes: DataFrame, first: DataFrame, percent: int = PERCENT) -> DataFrame:
+def prefix_rows(nodes: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(gram, node): the n-grams in each node's prefix that another node has as well."""
     bound = F.lit(_low_bound(percent))
-    shared = _shared(first.select(F.explode("first").alias("gram"), "node"))
     listed = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(
         (F.col("gram") >= bound).cast("int").alias("late"),
         F.when(F.col("gram") < bound, F.col("df")).otherwise(F.lit(0)).alias("df"), "gram"))).alias("grams"))
@@ -346,34 +351,61 @@ def _against_centre(percent: int):
     return run
 
 
+def _size_class(percent: int) -> Column:
+    """Sets whose classes are more than one apart have sizes that are out of each other's reach."""
+    if percent >= 100:
+        return F.col("n_grams")
+    if percent <= 0:
+        return F.lit(0).cast("long")
+    return F.floor(F.log("n_grams") / F.lit(-math.log(percent / 100) * (1 + 1e-9)))
+
+
+def _block_pairs(members: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """Sets of large clusters (grams, probe) dealt by pairs of blocks: every set of ``rest`` as a probe to all that may be in reach.
+
+    A pair is named by cluster, class and block of the probes (size_i, i), and of the others (size_j, j).
+    """
+    sized = members.withColumn("size_j", _size_class(percent))
+    counts = sized.groupBy("cluster", "size_j").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    counts = broadcast_if_fits(counts)
+    rows = sized.join(counts, ["cluster", "size_j"]).select(
+        "cluster", "node", "grams", "size_j", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("j"))
+    probes = rows.join(rest.select("node"), "node", "left_semi").withColumnsRenamed({"size_j": "size_i", "j": "i"})
+    near = lambda size: F.explode(F.array(F.col(size) - 1, F.col(size), F.col(size) + 1))
+    asked = (probes.withColumn("size_j", near("size_i")).join(counts, ["cluster", "size_j"])
+             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
+    asking = broadcast_if_fits(probes.select("cluster", "size_i", "i").distinct())
+    told = rows.withColumn("size_i", near("size_j")).join(asking, ["cluster", "size_i"])
+    return asked.withColumn("probe", F.lit(True)).unionByName(told.withColumn("probe", F.lit(False)))
+
+
 def _large_cluster_links(members: DataFrame, percent: int) -> DataFrame:
     """Links in clusters of more than one block: all with the centre, then what it does not reach with all."""
     centres = members.groupBy("cluster").agg(F.min("node").alias("node")).select("node")
-    centre_sets = members.join(centres, "node", "left_semi").select(
-        "cluster", F.col("node").alias("centre"), F.col("grams").alias("centre_grams"))
+    centre_sets = broadcast_if_fits(members.join(centres, "node", "left_semi").select(
+        "cluster", F.col("node").alias("centre"), F.col("grams").alias("centre_grams")), CENTRES)
     near = handed_over(members.join(centre_sets, "cluster").select("node", "centre", "grams", "centre_grams").mapInArrow(
         _against_centre(percent), "node long, centre long, linked boolean"), "centres")
-    rest = members.join(near.where("not linked").select("node"), "node", "left_semi")
-    blocks = F.greatest(F.ceil(F.col("sets_in") / BLOCK_SETS), F.ceil(F.col("grams_in") / BLOCK_GRAMS)).cast("int")
-    block = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = members.select("cluster", "node", "grams", "sets_in", "grams_in", block.alias("j"))
-    asked = rest.select("cluster", "node", "grams", block.alias("i"), F.explode(F.sequence(
-        F.lit(0), blocks - 1)).alias("j"))
-    asking = rest.select("cluster", block.alias("i")).distinct()
-    told = rows.join(asking, "cluster").select("cluster", "node", "grams", "i", "j")
-    pairs = asked.withColumn("probe", F.lit(True)).unionByName(told.withColumn("probe", F.lit(False)))
-    far = pairs.groupBy("cluster", "i", "j").applyInArrow(_link_group(percent), "a long, b long")
+    far = (_block_pairs(members, near.where("not linked"), percent).groupBy("cluster", "size_i", "i", "size_j", "j")
+           .applyInArrow(_link_group(percent), "a long, b long"))
     return near.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")).union(far)
 
 
 def links(docs: DataFrame, rows: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A forest of links (a, b) between nodes that has the components of all links. ``rows`` is ``signatures``."""
+    """A forest of links (a, b) between nodes that has the components of all links. ``rows`` is ``narrow``."""
+    spark = docs.sparkSession
     some = rows.where("n_grams > 0")
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_grams").alias("n_grams"),
                                      F.first("n_low").alias("n_low"))
-    keys = handed_over(prefix_rows(nodes, some.where("first is not null"), percent), "prefixes")
+    # read from the texts again, so that the n-grams are in the shuffle only
+    shared = handed_over(_shared(signatures(docs, n, percent).where("first is not null").select(
+        F.explode("first").alias("gram"), "node")), "shared")
+    keys = handed_over(prefix_rows(nodes, shared, percent), "prefixes")
+    release(spark, shared)
     hubs = keys.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub != other")
     clusters = components(keys.join(hubs, "gram").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
+    release(spark, keys)
     wanted = clusters.select("node", F.col("label").alias("cluster")).join(nodes, "node")
     sizes = wanted.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets_in"), F.sum("n_grams").alias("grams_in"))
     wanted = wanted.join(sizes, "cluster").select("doc_id", "node", "cluster", "n_grams", "sets_in", "grams_in")
@@ -381,7 +413,14 @@ def links(docs: DataFrame, rows: DataFrame, n: int = WORDS, percent: int = PERCE
     small = (F.col("sets_in") <= BLOCK_SETS) & (F.col("grams_in") <= BLOCK_GRAMS)
     near = (members.where(small).select("cluster", "node", "grams", F.lit(False).alias("probe"))
             .groupBy("cluster").applyInArrow(_link_group(percent), "a long, b long"))
-    return handed_over(near.union(_large_cluster_links(members.where(~small), percent)), "links")
+    found = handed_over(near.union(_large_cluster_links(members.where(~small), percent)), "links")
+    release(spark, members, clusters)
+    return found
+
+
+def narrow(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_grams, node and n_low of every document, handed over."""
+    return handed_over(signatures(docs, n, percent).drop("first"), "signatures")
 
 
 def labels(docs: DataFrame, rows: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -393,7 +432,7 @@ def labels(docs: DataFrame, rows: DataFrame, n: int = WORDS, percent: int = PERC
 
 def classes(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    rows = handed_over(signatures(docs, n, percent), "signatures")
+    rows = narrow(docs, n, percent)
     labelled = labels(docs, rows, n, percent)
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(smallest, "label").select("node", "component_id")
@@ -407,7 +446,7 @@ def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> Data
 
     Rows with an empty set are in no class and stay; of equal rows one stays.
     """
-    rows = handed_over(signatures(docs, n, percent), "signatures")
+    rows = narrow(docs, n, percent)
     labelled = labels(docs, rows, n, percent)
     kept = labelled.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
                                          .alias("k")).select(F.col("k.node").alias("kept_node"),

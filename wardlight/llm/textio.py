@@ -24,6 +24,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 1 << 20
 #: Bits of the largest filter of ids.
 MARK_BITS = 1 << 26
+#: Spark's setting to delete the shuffle files of a statement when it ends.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def text_of(column: str = "text") -> Column:
@@ -51,10 +53,21 @@ def width(df: DataFrame) -> int:
 
 
 def handed_over(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage is cut and later reads are pruned by column."""
+    """Write to the shared folder and read back: lineage is cut and later reads are pruned by column.
+
+    The shuffle files of the write go when it ends; otherwise they stay until the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANED)
+        else:
+            spark.conf.set(CLEANED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
